@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from isobar.llm.block_matrix_knn import nearest
+from isobar.llm.itq_dedup import near_duplicates
 from isobar.llm.ngram_jaccard import jaccard_groups
 
 
@@ -11,9 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_block_matrix_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard}
+QUERIES = {
+    "op6_block_matrix_knn": op6_block_matrix_knn,
+    "op10_itq_dedup": op10_itq_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+}
 ORACLE: dict[str, str] = {}
