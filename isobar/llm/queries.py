@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.llm.block_matrix_knn import nearest
+from isobar.llm.fitting import remainder
 from isobar.llm.itq_dedup import near_duplicates
 from isobar.llm.ngram_jaccard import jaccard_groups
+from isobar.llm.quality import score_quality, train_quality
+from isobar.llm.toxicity import score_toxicity, train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +29,23 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels, remainder("doc_id", 4) != 2)
+    out = score_toxicity(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ranker = train_quality(docs, labels, remainder("doc_id", 3) != 1)
+    out = score_quality(docs.select("doc_id", "text"), ranker)
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op9_quality": op9_quality,
     "op6_block_matrix_knn": op6_block_matrix_knn,
     "op10_itq_dedup": op10_itq_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
