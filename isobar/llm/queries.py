@@ -9,8 +9,10 @@ from isobar.llm.block_matrix_knn import nearest
 from isobar.llm.fitting import remainder
 from isobar.llm.itq_dedup import near_duplicates
 from isobar.llm.ngram_jaccard import jaccard_groups
+from isobar.llm.packing import pack
 from isobar.llm.quality import score_quality, train_quality
 from isobar.llm.toxicity import score_toxicity, train_toxicity
+from isobar.llm.url_filter import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Host and path rules of the URL filter query.
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_url_filter": op5_url_filter,
+    "op8_packing": op8_packing,
     "op1_toxicity": op1_toxicity,
     "op9_quality": op9_quality,
     "op6_block_matrix_knn": op6_block_matrix_knn,
