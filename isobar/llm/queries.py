@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isobar.llm.block_matrix_knn import nearest
 from isobar.llm.fitting import remainder
+from isobar.llm.html_extract import extract_pages
 from isobar.llm.itq_dedup import near_duplicates
 from isobar.llm.ngram_jaccard import jaccard_groups
 from isobar.llm.packing import pack
@@ -57,7 +58,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op3_html_extract": op3_html_extract,
     "op5_url_filter": op5_url_filter,
     "op8_packing": op8_packing,
     "op1_toxicity": op1_toxicity,
