@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +10,11 @@ from isobar.llm.block_matrix_knn import nearest
 from isobar.llm.fitting import remainder
 from isobar.llm.html_extract import extract_pages
 from isobar.llm.itq_dedup import near_duplicates
+from isobar.llm.mixing import mix
 from isobar.llm.ngram_jaccard import jaccard_groups
 from isobar.llm.packing import pack
+from isobar.llm.preference import ORACLE as PREFERENCE_SQL
+from isobar.llm.preference import format_preferences
 from isobar.llm.quality import score_quality, train_quality
 from isobar.llm.toxicity import score_toxicity, train_toxicity
 from isobar.llm.url_filter import judge_urls
@@ -62,7 +66,31 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return format_preferences(turns, F.expr("conv_id div 2"), F.col("conv_id") % 2 == 1)
+
+
+#: Weights of the mixing query; max_epochs lets small leaves be repeated.
+MIX_LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+MIX_DOMAINS = {"web": 0.4, "books": 0.3, "code": 0.2, "forum": 0.1}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weight = lambda path: (MIX_DOMAINS, MIX_LANGUAGES, {})[len(path) - 1].get(path[-1], 1.0)
+    out = mix(docs.select("doc_id", "text", "lang", "source"), [corpus_pipeline.domain(F.col("source")), F.col("lang"), F.col("source")], weight, 0.8, max_epochs=3, seed=7)
+    return out.select("doc_id", F.col("__level0").alias("domain"), "lang", "source", F.col("__tokens").alias("tokens"), F.col("__epoch").alias("epoch"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op2_preference": op2_preference,
+    "op4_mixing": op4_mixing,
+    "pipeline": pipeline,
     "op3_html_extract": op3_html_extract,
     "op5_url_filter": op5_url_filter,
     "op8_packing": op8_packing,
@@ -72,4 +100,4 @@ QUERIES = {
     "op10_itq_dedup": op10_itq_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_preference": PREFERENCE_SQL}
