@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from isobar.llm.common import by_run, prepare
 from isobar.llm.vectors import matrix, usable
 
-#: Queries held by a group, and candidates in one tile.
+#: Queries held by a group, candidates in one tile, and candidates that a stripe holds at least.
 QUERY_BLOCK = 4096
 TILE = 2048
+STRIPE_ROWS = 2048
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,13 +130,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """
     spark = vectors.sparkSession
     prepare(spark)
-    ids = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"))
-    rows = usable(vectors.withColumn("__q", is_query), id_col, vec_col)
+    rows = usable(vectors, id_col, vec_col)
     queries = usable(vectors.where(is_query), id_col, vec_col)
-    many = ids.count()
-    blocks = max(1, -(-many // QUERY_BLOCK))
+    counted = vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
+    blocks = max(1, -(-counted["q"] // QUERY_BLOCK))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    stripes = max(1, parts // blocks)
+    stripes = max(1, min(parts // blocks, counted["n"] // STRIPE_ROWS))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))
     stripe = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(stripes))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
