@@ -9,7 +9,10 @@ copies are never expanded into pairs.
 * Large sets are put on inverted lists. A list does not belong to one shingle but to the shingles of a
   set in one of k ranges of hash values. k is one more than the most elements by which two linked sets of
   this size class can differ, so (by the pigeonhole principle) linked sets share at least one list.
-  Lists of single shingles would grow with common passages; these grow only with sets that are alike.
+  Lists of single shingles would grow with common passages; these grow mostly with sets that are alike.
+  SPARE more ranges than that are made, so that linked sets share as many more lists; then each set may leave the
+  longest of its long lists, half of the spare ones, and linked sets still meet. That rids most texts of
+  the lists that only a common passage made.
 * The boundary is the size at which the listed subsets cost more rows than the inverted lists, taken
   from the size histogram of all documents.
 
@@ -29,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isobar.llm.common import Scratch, by_run, components, forest, mix, mix1, prepare, runs, signed, small
@@ -36,7 +40,11 @@ from isobar.llm.common import Scratch, by_run, components, forest, mix, mix1, pr
 RATIO = 1.6
 #: Sizes up to which subsets may be enumerated; beyond it the lists are always cheaper.
 MOST_SMALL = 24
-LIST_BLOCK = 256
+#: Spare ranges, as a share of the most elements by which linked sets differ; lists of more than LONG nodes are long.
+SPARE, LONG = 0.15, 32
+#: The low bits of a list's hash name its size class; the last name stands for subsets.
+CLASS_BITS, SUBSETS = 63, 63
+LIST_BLOCK = 512
 FAMILY_BLOCK, FAMILY_BLOCK_MOST, FAMILY_BLOCKS = 64, 1024, 24
 P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,6 +79,17 @@ def size_class(n: int) -> tuple[int, int, int]:
     return c, low, high
 
 
+def ranges(top: int, num: int, den: int) -> tuple[int, int]:
+    """For sets of less than top elements: the ranges of hash values, and how many lists each set may leave."""
+    most = 2 * (top - 1) * (den - num) // (den + num)
+    spare = int(SPARE * most)
+    return most + 1 + spare, spare // 2
+
+
+def tagged(hashes: np.ndarray, cls: int) -> np.ndarray:
+    return ((hashes & ~np.uint64(CLASS_BITS)) | np.uint64(cls)).view(np.int64)
+
+
 def lists_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """The inverted lists of a large set, as signed hashes: those of its class, and of the next if it can link there."""
     c, _, high = size_class(len(s))
@@ -78,13 +97,13 @@ def lists_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
     out = []
     mixed = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(s + np.uint64(1)), dtype=np.uint64)])
     for cls, top in [(c, high)] + ([(c + 1, after)] if den * len(s) >= num * high else []):
-        k = 2 * (top - 1) * (den - num) // (den + num) + 1
+        k, _ = ranges(top, num, den)
         part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         at = np.searchsorted(part, np.arange(k + 1, dtype=np.uint64))
         seg = mixed[at[1:]] - mixed[at[:-1]]
         tag = mix(np.arange(k, dtype=np.uint64) + np.uint64(mix1(cls * 1_000_003 + 17)))
-        out.append(mix(seg ^ tag))
-    return np.concatenate(out).view(np.int64)
+        out.append(tagged(mix(seg ^ tag), cls))
+    return np.concatenate(out)
 
 
 def subsets_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -97,7 +116,7 @@ def subsets_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
     for gone in range(n - least + 1):
         gone_sum = np.array([np.add.reduce(x[list(g)]) if g else np.uint64(0) for g in combinations(range(n), gone)], dtype=np.uint64)
         out.append(mix((total - gone_sum) ^ np.uint64(mix1(n - gone + 7_000_003))))
-    return np.concatenate(out).view(np.int64)
+    return tagged(np.concatenate(out), SUBSETS)
 
 
 def sketch_of(s: np.ndarray) -> bytes:
@@ -136,7 +155,7 @@ def cost_small(n: int, num: int, den: int) -> float:
 
 def cost_large(n: int, sizes: dict[int, int], num: int, den: int) -> float:
     _, low, high = size_class(n)
-    k = 2 * (high - 1) * (den - num) // (den + num) + 1
+    k, _ = ranges(high, num, den)
     alike = sum(c for m, c in sizes.items() if low <= m < high)
     return k * (1 + alike * float(np.exp(-2 * n / k)))
 
@@ -185,55 +204,59 @@ def _light(num: int, den: int, x: int):
     return f
 
 
-def block_rows(members: np.ndarray, block: int, name: int) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(key, members, how many of them come first) of each pair of blocks, the diagonal once for all."""
+def block_rows(members: np.ndarray, block: int, name: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, members) of each pair of blocks."""
     parts = [members[i : i + block] for i in range(0, len(members), block)]
     if len(parts) <= 2:
-        yield name, members, 0
+        yield name, members
         return
     for i in range(len(parts)):
         for j in range(i + 1, len(parts)):
-            yield signed(mix1(name + i * 1_000_003 + j * 7)), np.concatenate([parts[i], parts[j]]), len(parts[i])
+            yield signed(mix1(name + i * 1_000_003 + j * 7)), np.concatenate([parts[i], parts[j]])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by list: rows (key, node) of each list of two nodes or more, cut into pairs of blocks; equal lists once a task."""
-    told: set[int] = set()
+def _meet(blocks: bool):
+    """From rows sorted by list, the lists of two nodes or more, equal ones once a task.
 
-    def whole() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rest_k = rest_n = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            k = np.concatenate([rest_k, batch.column(0).to_numpy()])
-            n = np.concatenate([rest_n, batch.column(1).to_numpy()])
-            if not len(k):
-                continue
-            cut = int(np.searchsorted(k, k[-1]))
-            yield k[:cut], n[:cut]
-            rest_k, rest_n = k[cut:], n[cut:]
-        yield rest_k, rest_n
-
-    for k, n in whole():
-        if len(k) < 2:
-            continue
-        same = np.flatnonzero(k[1:] == k[:-1])
-        if not len(same):
-            continue
-        keys, nodes = [], []
-        edges = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
-        many = np.flatnonzero(np.diff(edges) > 1)
-        for a, b in zip(edges[many], edges[many + 1], strict=True):
-            members = np.unique(n[a:b])
-            if len(members) < 2:
-                continue
-            name = signed(int(mix(np.array([np.add.reduce(mix(members.view(np.uint64)))], dtype=np.uint64))[0]))
-            if name in told:
-                continue
-            told.add(name)
-            for key, own, _ in block_rows(members, LIST_BLOCK, name):
-                keys.append(np.full(len(own), key, dtype=np.int64))
-                nodes.append(own)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+    First (blocks False) as rows (key, node, m): short lists under their own name and with m 0, long ones under
+    their hash, with their size. Then (blocks True) cut into pairs of blocks, as rows (key, node, 0).
+    """
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
+
+        def whole() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            rest_k = rest_n = np.zeros(0, dtype=np.int64)
+            for batch in batches:
+                k = np.concatenate([rest_k, batch.column(0).to_numpy()])
+                n = np.concatenate([rest_n, batch.column(1).to_numpy()])
+                if not len(k):
+                    continue
+                cut = int(np.searchsorted(k, k[-1]))
+                yield k[:cut], n[:cut]
+                rest_k, rest_n = k[cut:], n[cut:]
+            yield rest_k, rest_n
+
+        for k, n in whole():
+            edges = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, dtype=np.int64)
+            many = np.flatnonzero(np.diff(edges) > 1)
+            rows: list[tuple[int, np.ndarray, int]] = []
+            for a, b in zip(edges[many], edges[many + 1], strict=True):
+                members = np.unique(n[a:b])
+                if len(members) < 2:
+                    continue
+                if not blocks and len(members) > LONG:
+                    rows.append((int(k[a]), members, len(members)))
+                    continue
+                name = signed(int(mix(np.array([np.add.reduce(mix(members.view(np.uint64)))], dtype=np.uint64))[0]))
+                if name not in told:
+                    told.add(name)
+                    rows += [(key, own, 0) for key, own in (block_rows(members, LIST_BLOCK, name) if blocks else [(name, members)])]
+            if rows:
+                sizes = [len(r[1]) for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r[0] for r in rows], sizes), pa.int64()), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.repeat([r[2] for r in rows], sizes), pa.int64())], names=["key", "node", "m"])
+
+    return f
 
 
 def _alike(num: int, den: int):
@@ -355,7 +378,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     x = boundary(sizes, num, den)
     heavy = scan.where("lists is not null").select(F.explode("lists").alias("list"), "node")
     light = scan.where("own is not null").select("node", "own").mapInArrow(_light(num, den, x), "list long, node long")
-    met = by_run(heavy.unionByName(light), "list", None, _meet, "key long, node long").dropDuplicates(["key", "node"])
+    first = scratch.keep(by_run(heavy.unionByName(light), "list", None, _meet(False), "key long, node long, m long"), "lists")
+    # Each set leaves the longest of its long lists, as many of each size class as it may.
+    may = [0] * (CLASS_BITS + 1)
+    c, high = 0, 2
+    while c < SUBSETS:
+        may[c] = ranges(high, num, den)[1]
+        c, _, high = size_class(high)
+    cls = F.col("key").bitwiseAND(CLASS_BITS)
+    place = F.row_number().over(W.partitionBy("node", cls).orderBy(F.desc("m"), "key"))
+    kept = first.where("m > 0").withColumn("place", place).where(F.col("place") > F.element_at(F.array(*map(F.lit, may)), cls.cast("int") + 1)).select("key", "node")
+    long = by_run(kept, "key", None, _meet(True), "key long, node long, m long")
+    met = first.where("m = 0").unionByName(long).select("key", "node").dropDuplicates(["key", "node"])
     sketches = scan.where("sketch is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     maybe = by_run(met.join(sketches, "node"), "key", None, _alike(num, den), "a long, b long").distinct()
     families = scratch.keep(components(maybe, scratch).withColumnRenamed("component", "family"), "families")
