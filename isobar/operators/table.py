@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,10 +39,11 @@ def sort(df: DataFrame, column: str | int, ascending: bool = True, stable_by: li
 def numbered(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """Row numbers from 0 in a total order, without a single-task window.
 
-    Rows are dealt by ranges of the order; each range is numbered on its own and shifted by the sizes of the ranges before.
+    Rows are dealt by ranges of the order; each range is numbered on its own and shifted by the sizes of the ranges before. The
+    ranges are kept (in memory, beyond it on disk), since Spark samples their bounds anew for each plan.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is not coalesced, so the ranges are the same in both uses
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row for each partition
     own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
