@@ -89,11 +89,16 @@ class UrlModel:
 
 
 def train(host_words: dict[str, int], block: str = BLOCK, allow: str = ALLOW, prior: float = PRIOR_BLOCK) -> UrlModel:
-    """Seed words count as often as the commonest tenth of the table's host words, so that their concatenations are split."""
-    common = sorted(host_words.values())[-max(1, len(host_words) // 10) :] if host_words else [1]
-    counts = Counter({w: n for w, n in host_words.items() if len(w) > 1})
+    """Seed words count as often as the commonest tenth of the table's host words. A host word that is itself made of seed words is
+    not taken as a word, however common, so that concatenations are split.
+    """
     block_words, allow_words, neutral = ((text.replace("-", " ").split() * SEEN) for text in (block, allow, NEUTRAL))
-    for w in {*block_words, *allow_words, *neutral}:
+    seeds = {*block_words, *allow_words, *neutral}
+    own = Segmenter(dict.fromkeys(seeds, 1))
+    made = lambda w: w not in seeds and all(len(p) > 1 and p in seeds for p in own.split(w))
+    common = sorted(host_words.values())[-max(1, len(host_words) // 10) :] if host_words else [1]
+    counts = Counter({w: n for w, n in host_words.items() if len(w) > 1 and not made(w)})
+    for w in seeds:
         counts[w] += max(1, common[0])
     return UrlModel(Segmenter(counts), Bayes(block_words + neutral, allow_words + neutral, prior))
 
