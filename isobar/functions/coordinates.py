@@ -31,7 +31,7 @@ def index_of(axis: list[float], value: float, lower: bool = True) -> int:
     a = [-v for v in axis] if down else axis
     v = -value if down else value
     i = bisect_right(a, v) - 1 if lower else bisect_left(a, v)
-    if not 0 <= i < len(a):
+    if not a or not a[0] <= v <= a[-1]:
         raise ValueError(f"{value} is outside the axis")
     return i
 
