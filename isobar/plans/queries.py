@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.functions import geometry
+from isobar.functions import calendars, coordinates, geometry
 from isobar.functions.geometry import Polygon
 from isobar.operators import components, cyclones, pointwise, programmable, stencil, table, temporal, vertical
 from isobar.operators.potential_intensity import potential_intensity
@@ -496,26 +496,55 @@ _convolution("convolution_gaussian", temporal.kernel("gaussian", 5), "centered")
 _convolution("convolution_high_pass", temporal.kernel("gaussian", 5, True), "centered")
 
 
-@query()
+# The filter as a circular convolution with the cosine transform of its response.
+@query(
+    f"WITH {SERIES}, o AS (SELECT step, cell, p, row_number() OVER (PARTITION BY cell ORDER BY step) - 1 AS t, count(*) OVER (PARTITION BY cell) AS n FROM s), c AS (SELECT DISTINCT cell, n FROM o), "
+    "h AS (SELECT cell, n, m.range AS m, m.range - n // 2 AS k, 1 / sqrt(1 + pow(abs(-0.5::DOUBLE / 86400 + m.range * (1.0::DOUBLE / 86400) / (n - 1)) * (30 * 86400), 4)) AS h FROM c, range(4000) m WHERE m.range < n), "
+    "g AS (SELECT cell, d.range AS d, sum(h * cos(2 * pi() * ((k * d.range) % n) / n)) / any_value(n) AS g FROM h, range(4000) d WHERE d.range < n GROUP BY 1, 2) "
+    "SELECT a.step, a.cell, round(sum(b.p * g.g), 3) + 0.0 AS p_low_pass FROM o a JOIN o b ON a.cell = b.cell JOIN g ON g.cell = a.cell AND g.d = (a.t - b.t + a.n) % a.n GROUP BY 1, 2"
+)
 def spectral_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.spectral_filter(series(spark, sf_dir), ["p"], "low_pass", 1.0 / (30 * 86400.0), 86400.0, 2.0, ("cell",))
+    out = temporal.spectral_filter(series(spark, sf_dir), ["p"], "low_pass", 1.0 / (30 * 86400.0), 86400.0, 2.0, ("cell",))
+    return out.select("step", "cell", r("p_low_pass", 3).alias("p_low_pass"))
 
 
 # Components and rivers ----------------------------------------------------------------------------
 
 
-@query()
+def reach_sql(active: str, by: str) -> str:
+    """CTEs that label the 8-connected cells q = j * NI + i of `active` (by, j, i, q), periodic in i, by their smallest cell."""
+    on = " AND ".join(f"a.{c} = b.{c}" for c in by.split(", "))
+    step = " AND ".join(f"r.{c} = e.{c}" for c in by.split(", "))
+    own = lambda t: ", ".join(f"{t}.{c}" for c in by.split(", "))
+    return (
+        f"e AS (SELECT {own('a')}, a.q AS a, b.q AS b FROM {active} a JOIN {active} b ON {on} AND abs(a.j - b.j) <= 1 AND (a.i - b.i + {NI}) % {NI} IN (0, 1, {NI - 1})), "
+        f"r AS (SELECT {by}, a, b FROM e UNION SELECT {own('r')}, r.a, e.b FROM r JOIN e ON {step} AND r.b = e.a), roots AS (SELECT {by}, a AS q, min(b) AS root FROM r GROUP BY {by}, a)"
+    )
+
+
+@query(
+    f"WITH RECURSIVE {MESH}, c AS (SELECT step, quantile_cont(v, 0.8) AS lo FROM mesh GROUP BY step), act AS (SELECT step, j, i, j * {NI} + i AS q FROM mesh JOIN c USING (step) WHERE v >= lo), {reach_sql('act', 'step')}, "
+    f"l AS (SELECT step, q, dense_rank() OVER (PARTITION BY step ORDER BY root) AS component FROM roots) SELECT m.step, j, i, CAST(coalesce(component, 0) AS INTEGER) AS component FROM mesh m LEFT JOIN l ON l.step = m.step AND l.q = m.j * {NI} + m.i"
+)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = pointwise.binary_segmentation(mesh(spark, sf_dir), "v", 60.0, by_percentile=True)
+    m = pointwise.binary_segmentation(mesh(spark, sf_dir), "v", 80.0, by_percentile=True)
     return components.connected_components(m, periodic_x=True).select("step", "j", "i", "component")
 
 
 PARAMETERS = pd.DataFrame([(w, q, a) for w in (5.0, 15.0) for q in (85.0, 92.0, 96.0) for a in (1e6, 5e6)], columns=["hwhm_latitude", "min_water_vapor", "min_component_area"])
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {AREA}, p(id, width, q, least) AS (VALUES {', '.join(f'({n}, {w}::DOUBLE, {q / 100}::DOUBLE, {a}::DOUBLE)' for n, (w, q, a) in enumerate(PARAMETERS.itertuples(index=False)))}), "
+    "d AS (SELECT id, step, j, i, least, q AS share, v * (1 - exp(-(y * y) / (2 * pow(width / sqrt(2 * ln(2.0::DOUBLE)), 2)))) AS v FROM mesh, p), "
+    f"c AS (SELECT id, step, CASE {' '.join(f'WHEN any_value(share) = {q / 100} THEN quantile_cont(v, {q / 100})' for q in PARAMETERS['min_water_vapor'].unique())} END AS lo FROM d GROUP BY 1, 2), "
+    f"act AS (SELECT d.id, d.step, j, i, j * {NI} + i AS q, least FROM d JOIN c ON c.id = d.id AND c.step = d.step WHERE v >= lo), {reach_sql('act', 'id, step')}, "
+    f"z AS (SELECT t.id, t.step, t.q, t.root, act.least, s.cell FROM roots t JOIN act ON act.id = t.id AND act.step = t.step AND act.q = t.q JOIN s ON s.step = t.step AND s.j * {NI} + s.i = t.q), k AS (SELECT id, step, root FROM z GROUP BY 1, 2, 3 HAVING sum(cell) >= any_value(least)), "
+    f"h AS (SELECT z.step, z.q, count(*) AS n FROM z JOIN k ON k.id = z.id AND k.step = z.step AND k.root = z.root GROUP BY 1, 2) SELECT m.step, m.j, m.i, round(coalesce(n, 0) / {len(PARAMETERS)}.0::DOUBLE, 6) + 0.0 AS ar_probability FROM mesh m LEFT JOIN h ON h.step = m.step AND h.q = m.j * {NI} + m.i"
+)
 def bayesian_ar_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.bayesian_ar_detect(mesh(spark, sf_dir), PARAMETERS, "v").select("step", "j", "i", "ar_probability")
+    out = components.bayesian_ar_detect(mesh(spark, sf_dir), PARAMETERS, "v")
+    return out.select(F.col("step"), F.col("j"), F.col("i"), r("ar_probability").alias("ar_probability"))
 
 
 # Cyclones --------------------------------------------------------------------------------------------
@@ -623,6 +652,22 @@ def tc_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cyclones.tc_trajectory(c, max_daily_distance=20000.0, min_wind_duration=0.5)
 
 
+# Functions of dates and runs -----------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CAST(day(last_day(o_orderdate)) AS INTEGER) AS days, CAST(year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0) AS INTEGER) AS leap, date_diff('day', DATE '1600-03-01', CAST(o_orderdate AS DATE)) + 584388 AS number FROM orders")
+def calendar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.day("o_orderdate").alias("d"))
+    y, m, d = F.col("y"), F.col("m"), F.col("d")
+    return o.select("o_orderkey", calendars.days_in_month(y, m, "standard").alias("days"), calendars.is_leap_year(y, "standard").cast("int").alias("leap"), calendars.gregorian_number(y, m, d).alias("number"))
+
+
+@query(f"WITH {POINTS}, k AS (SELECT user_id, event_id, floor(value / 50) AS level FROM points), n AS (SELECT *, CASE WHEN lag(level) OVER w IS DISTINCT FROM level AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run FROM n")
+def consecutive_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir).select("user_id", "event_id", F.floor(F.col("value") / 50).alias("level"))
+    return coordinates.consecutive_groups(p, "level", ["event_id"], ["user_id"], "run").drop("level")
+
+
 # Python-backed operators -----------------------------------------------------------------------------------
 
 
