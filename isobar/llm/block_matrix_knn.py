@@ -27,12 +27,21 @@ STRIPE_ROWS = 2048
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (as float32, in which products of up to 1000 dimensions are exact), scales, and the norms of the decoded vectors and of the residuals."""
+    """int8 codes (in floats that hold their products exactly), scales, and the norms of the decoded vectors and of the residuals."""
     top = np.abs(x).max(axis=1)
     scale = np.where(top > 0, top / 127.0, 1.0)
     code = np.rint(x / scale[:, None])
     back = code * scale[:, None]
-    return code.astype(np.float32), scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
+    exact = np.float32 if 127 * 127 * x.shape[1] < 1 << 24 else np.float64
+    return code.astype(exact), scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component on, as any engine sums them."""
+    out = x[:, 0] * y[:, 0]
+    for d in range(1, x.shape[1]):
+        out += x[:, d] * y[:, d]
+    return out
 
 
 class Heaps:
@@ -57,7 +66,8 @@ class Heaps:
             floor = np.maximum(floor, np.partition(low, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
         q, c = np.nonzero((about + slack >= floor[:, None]) & (about > -np.inf))
         for at in range(0, len(q), 200_000):
-            self._push(q[at : at + 200_000], ids[c[at : at + 200_000]], np.einsum("ij,ij->i", self.x[q[at : at + 200_000]], y[c[at : at + 200_000]]))
+            here = np.s_[at : at + 200_000]
+            self._push(q[here], ids[c[here]], products(self.x[q[here]], y[c[here]]))
 
     def _push(self, q: np.ndarray, who: np.ndarray, score: np.ndarray) -> None:
         rows = np.unique(q)
@@ -145,3 +155,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     found = by_run(dealt, "key", "kind", _stream(k), "query_id long, id long, score double", blocks * stripes)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+
+
+#: The 20 nearest of `embeddings` to rows whose vec_id is divisible by 20, in DuckDB's SQL.
+ORACLE = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_reduce(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]), lambda x, y: x + y) AS score
+  FROM u a JOIN u b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
+"""

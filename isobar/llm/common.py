@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 #: A side with at most so many short rows (two or three longs each) may be broadcast: under 32 MB.
 BROADCAST_ROWS = 500_000
-#: Rows in one Arrow batch; a batch of the longest texts then still fits a Python worker.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch, so that a batch of the longest texts still fits a Python worker.
+BATCH_ROWS, BATCH_BYTES = 512, "32m"
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches, since texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

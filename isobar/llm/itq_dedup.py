@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from isobar.llm.common import Scratch, by_run, components, forest, mix1, prepare, runs, signed, small
 from isobar.llm.vectors import matrix, usable
 
-#: Vectors (by hash of the id) from which the rotations are learned; all vectors are coded.
-FIT_ROWS = 10_000
+#: Vectors (by hash of the id) from which the rotations are learned, at most, and their components in all; all vectors are coded.
+FIT_ROWS, FIT_VALUES = 10_000, 2_000_000
+#: More lengths of vectors than this are an error: each has a model of its own.
+MOST_DIMS = 16
 KEY_ROWS = 128
 RECALL = 0.98
 BLOCK = 256
@@ -114,9 +116,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     width = max(4, ceil(log2(max(n, 1) / KEY_ROWS))) if n > KEY_ROWS else 4
     agree = (1 - acos(least) / pi) ** width
     tables = max(1, ceil(log(1 - RECALL) / log(1 - agree)))
-    sample = good.orderBy(F.xxhash64("id")).limit(FIT_ROWS).collect()
+    dims = [r["dim"] for r in good.select("dim").distinct().limit(MOST_DIMS + 1).collect()]
+    if len(dims) > MOST_DIMS:
+        raise ValueError(f"vectors of more than {MOST_DIMS} lengths")
+    sample = good.orderBy(F.xxhash64("id")).limit(max(1, min(FIT_ROWS, FIT_VALUES // max([1, *dims])))).collect()
     models = {}
-    for dim in {r["dim"] for r in sample} | {r["dim"] for r in good.select("dim").distinct().collect()}:
+    for dim in dims:
         x = np.array([r["v"] for r in sample if r["dim"] == dim], dtype=np.float64).reshape(-1, dim)
         if len(x) < 2:  # too rare for the sample: random directions serve
             x = np.random.default_rng(dim).normal(size=(4 * dim + 2, dim))
@@ -142,3 +147,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
         .join(small(told), "node", "left")
         .select(F.col("node").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "node").alias("component_id"), (F.coalesce("component", "node") == F.col("node")).alias("kept"))
     )
+
+
+#: Groups of `embeddings` at a cosine of 0.9, in DuckDB's SQL (all pairs: for small tables).
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, least(vec_id, coalesce(c, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""

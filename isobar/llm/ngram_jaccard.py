@@ -415,3 +415,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = nodes.join(told, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), "copies").where("copies > 1 or component_id <> least").select("node", "component_id")
     told = scratch.keep(told, "told")
     return scan.select("id", "node", "n").join(small(told), "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+#: Groups of `documents` on three-word shingles at 0.9, in DuckDB's SQL (pairs by common shingles: for small tables).
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+f AS (SELECT doc_id, unnest(s) AS s FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM f a JOIN f b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+o AS (SELECT p.a, p.b FROM p JOIN g x ON x.doc_id = p.a JOIN g y ON y.doc_id = p.b WHERE 100 * c >= 90 * (len(x.s) + len(y.s) - c)),
+l AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id FROM g LEFT JOIN c ON c.a = doc_id
+"""

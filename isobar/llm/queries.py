@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isobar.llm import block_matrix_knn, itq_dedup, ngram_jaccard
 from isobar.llm.block_matrix_knn import nearest
 from isobar.llm.fitting import remainder
 from isobar.llm.html_extract import extract_pages
@@ -100,4 +101,9 @@ QUERIES = {
     "op10_itq_dedup": op10_itq_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
 }
-ORACLE: dict[str, str] = {"op2_preference": PREFERENCE_SQL}
+ORACLE: dict[str, str] = {
+    "op2_preference": PREFERENCE_SQL,
+    "op6_block_matrix_knn": block_matrix_knn.ORACLE,
+    "op7_ngram_jaccard": ngram_jaccard.ORACLE,
+    "op10_itq_dedup": itq_dedup.ORACLE,
+}

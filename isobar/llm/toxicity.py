@@ -148,13 +148,15 @@ class Model:
 
 
 def patterns(text: str) -> set[str]:
-    """The stems (prefixes, with an asterisk) and whole words of a text."""
-    out = set()
-    for w in set(WORD.findall(text.lower())):
-        if len(w) >= SHORT:
-            out.add(w)
-            out.update(w[:n] + "*" for n in range(SHORT, min(LONG, len(w)) + 1))
-    return out
+    """The whole words of a text, and the stems (prefixes, with an asterisk) that two words or more of it share or one repeats.
+
+    A stem in one word may be chance; an insult's forms come in numbers.
+    """
+    words, stems = Counter(WORD.findall(text.lower())), Counter()
+    for w, n in words.items():
+        for end in range(SHORT, min(LONG, len(w)) + 1):
+            stems[w[:end]] += n
+    return {w for w in words if len(w) >= SHORT} | {f"{p}*" for p, n in stems.items() if n > 1}
 
 
 def _counts(y: int, only: frozenset[str] | None):
@@ -192,7 +194,8 @@ def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) ->
         return 2 * (a * log(share / base) + (b * log((1 - share) / (1 - base)) if b else 0.0)) if share > base else 0.0
 
     ratio = {p: surprise(p) for p in pos}
-    fine = [p for p in pos if ratio[p] >= 25 and odds(p) >= 1.5]
+    least = 2 * log(max(2, len(pos))) + 1  # so that chance alone seldom passes, however many patterns are tried
+    fine = [p for p in pos if ratio[p] >= least and odds(p) >= 1.5]
     stems, words = {}, {}
     taken: list[str] = []
     for p in sorted(fine, key=lambda p: (-ratio[p], -len(p), p)):
