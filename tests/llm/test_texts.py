@@ -82,6 +82,9 @@ def test_lexicon_finds_stems_and_words():
 def test_extract_keeps_the_article():
     page = '<html><head><title>no</title><script>var t="</p>";</script></head><body><nav><a>m</a></nav><div class="ad">buy</div><article><h1>T &amp; U</h1><p>One\n two<br>three<p><b>Four</b> 5&nbsp;6<div class="comments">nice</div><form>f</form></article><footer>&copy;</footer>'
     assert html_extract.extract(page, set()) == "T & U\nOne two three\nFour 5 6"
+    wide = '<body class="has-sidebar"><main class="menu-page"><article class="post"><div class="post-header"><h1>H</h1>by x</div><p>Text</p><article class="comment"><p>no</p></article></article></main></body>'
+    assert html_extract.extract(wide, set()) == "H\nText"
+    assert html_extract.extract('<body class="no-sidebar"><p>kept</p><div id="sidebarLeft">gone</div>', set()) == "kept"
     assert html_extract.extract(None, set()) == html_extract.extract("", set()) == ""
     assert html_extract.extract("plain &lt;b&gt; text", set()) == "plain <b> text"
     assert html_extract.extract("<p>a < b<p>c", set()) == "a < b\nc"
