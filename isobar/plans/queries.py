@@ -648,7 +648,7 @@ def tc_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = p.select(
         F.floor(F.col("t") * 4).cast("long").alias("step"), (F.floor(F.col("t") * 4) / 4.0).alias("time"), F.col("event_id").cast("int").alias("storm_id"), "lon", "lat", (F.col("value") / 3).alias("surface_wind"), F.lit(2e-4).alias("850mb_vorticity"),
         F.lit(99000.0).alias("sea_level_pressure"), F.lit(1).alias("have_core_temp"), F.lit(1).alias("have_thickness"), F.lit(1.0).alias("core_temp"), F.lit(50.0).alias("thickness"),
-    ).where("storm_id % 5 = 0")
+    )
     return cyclones.tc_trajectory(c, max_daily_distance=20000.0, min_wind_duration=0.5)
 
 

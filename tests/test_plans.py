@@ -99,3 +99,10 @@ def test_streams(spark, tmp_path):
     q.stop()
     last = spark.table("energy").where("k = 'a'").orderBy(F.desc("points")).first()
     assert last["points"] == 36 and last["energy"] == pytest.approx(sum(v * v * 2 / 24 for v in range(60, 72, 2)))
+
+
+def test_trajectories_link_all_events(spark, tmp_path):
+    rows = [(n, dt.datetime(2024, 1, 1) + dt.timedelta(hours=6 * n), 7, "t", 90.0, "") for n in range(91, 99)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    out = queries.QUERIES["tc_trajectory"](spark, str(tmp_path)).collect()
+    assert sorted(r["storm_id"] for r in out) == list(range(91, 99)) and {r["track_id"] for r in out} == {0}
