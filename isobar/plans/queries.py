@@ -673,7 +673,7 @@ def consecutive_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def potential_intensity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = levels(spark, sf_dir).where("step = 0 and j between 6 and 11 and i % 6 = 0")
+    m = levels(spark, sf_dir)
     m = m.withColumns({"t": F.lit(300.0) - 0.0008 * (100000 - F.col("z")) - F.coalesce("w", F.lit(0.0)) * 0.1, "r": F.lit(0.016) * F.exp(-(100000 - F.col("z")) / 25000.0), "sst": F.lit(301.0) - F.abs("y") * 0.05, "psl": F.lit(101300.0)})
     return potential_intensity(m, "sst", "psl", "t", mixing_ratio="r")
 

@@ -7,7 +7,7 @@ from isobar.functions.geometry import EQUATOR_KM, MEAN_M, Polygon
 from isobar.model import attributes, block_distribute, space_time_distribute, with_attributes
 from isobar.operators import components as comp
 from isobar.operators import cyclones, pointwise, programmable, stencil, table, temporal, vertical
-from isobar.operators.potential_intensity import potential_intensity_of, saturation_pressure
+from isobar.operators.potential_intensity import EPS, RD, cape, potential_intensity_of, saturation_pressure
 from isobar.sources import meshes
 
 # Tables
@@ -349,6 +349,29 @@ def test_potential_intensity_is_sensible():
     assert np.isnan(potential_intensity_of(2.0, 1010.0, p, t, r)[0])
 
 
+def test_potential_intensity_equals_a_scan_of_pressures():
+    p = np.array([1000, 880, 760, 640, 520, 400, 280.0])
+    for sst, psl in ((27.85, 1013.0), (26.0, 1013.0), (29.0, 1008.0)):
+        tk, r = 300.0 - 0.08 * (1000 - p), 0.016 * np.exp(-(1000 - p) / 250)
+        ts = sst + 273.15
+        env = cape(tk[0], r[0], p[0], tk, r, p)[0]
+
+        def at(pm):
+            pp = min(pm, 1000.0)
+            r_sat = EPS * saturation_pressure(sst) / (pp - saturation_pressure(sst))
+            wind = cape(tk[0], EPS * r[0] * psl / (pp * (EPS + r[0]) - r[0] * psl), pp, tk, r, p)[0]
+            sea, out, _, _ = cape(ts, r_sat, pp, tk, r, p)
+            tv = 0.5 * (tk[0] * (1 + r[0] / EPS) / (1 + r[0]) + ts * (1 + r_sat / EPS) / (1 + r_sat))
+            gain = 0.9 * ts / out * (sea - wind)
+            central = psl * np.exp(-max(wind - env + 0.5 * gain, 0.0) / (RD * tv))
+            return central - pm, 0.8 * np.sqrt(max(gain, 0.0)), central
+
+        scan = [at(pm) for pm in np.arange(850.0, psl, 0.25)]
+        _, v, low = min(scan, key=lambda x: abs(x[0]))
+        got = potential_intensity_of(sst, psl, p, tk - 273.15, r * 1e3)
+        assert got[2] == 1 and got[0] == pytest.approx(v, rel=0.01, abs=0.1) and got[1] == pytest.approx(low, abs=1.0)
+
+
 # User operators
 
 

@@ -106,3 +106,9 @@ def test_trajectories_link_all_events(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     out = queries.QUERIES["tc_trajectory"](spark, str(tmp_path)).collect()
     assert sorted(r["storm_id"] for r in out) == list(range(91, 99)) and {r["track_id"] for r in out} == {0}
+
+
+def test_potential_intensity_covers_the_mesh(spark, sf):
+    out = queries.QUERIES["potential_intensity"](spark, sf).select("step", "j", "i", "IFL").collect()
+    assert len(out) == len({tuple(r)[:3] for r in out}) == 7 * queries.NJ * queries.NI
+    assert sum(r["IFL"] == 1 for r in out) > len(out) / 2
