@@ -1,9 +1,12 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed into element subtrees. Subtrees outside the article are hashed and counted per host in
-Spark; those that recur across many pages of their host are its template and are deleted. What is left is
+Each page is parsed into element subtrees. Subtrees, also those inside the article, are hashed and counted per
+host in Spark; those that recur across many pages of their host, amid unlike texts, are its template and are deleted. What is left is
 cut down by what elements say of themselves (menus, notices, adverts, forms, comments ...), which also
 serves hosts with too few pages to show a template. Where a page marks its article, only that is text.
+
+Copies of an article share its paragraphs without being a template. So a page is told by min-hashes of the three-word
+runs of its text outside the subtree: copies mostly share them, pages of a template do not.
 """
 
 from __future__ import annotations
@@ -13,16 +16,19 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import Scratch, prepare, signed
+from isobar.llm.common import Scratch, mix, prepare, signed
 from isobar.llm.url_filter import host_and_path
 
 #: A subtree is template on a host if at least SHARE of its pages, and at least PAGES of them, hold it.
 SHARE, PAGES = 0.2, 4
+#: Min-hashes of a subtree's surroundings; those of template differ on at least UNLIKE of the pages (by the seed that tells most apart).
+SEEDS, UNLIKE = np.arange(1, 5, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15), 0.5
 #: Bytes of templates that may be broadcast.
 BROADCAST_BYTES = 32_000_000
 
@@ -34,6 +40,8 @@ CLOSES = {  # an opening tag ends these open elements first
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Parts of running text, a list or a table, which inside an article are no template without it.
+PIECES = INLINE | VOID | set("td th tr li dt dd".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # Words of class, id and role that mark what is not article text.
 MARKS = set(
@@ -205,24 +213,83 @@ def outside(root: Element) -> tuple[list[Element], dict[int, list[Element]]]:
     return mains, found
 
 
+def inside(mains: list[Element]) -> dict[int, list[Element]]:
+    """The subtrees with text within articles by their hash, without the articles themselves and pieces of text."""
+    found: dict[int, list[Element]] = {}
+    for e in mains:
+        for c in e.children:
+            if isinstance(c, Element):
+                digest(c, set(), found)
+    kept = {h: [e for e in es if e.name not in PIECES and e.name not in DROP] for h, es in found.items()}
+    return {h: es for h, es in kept.items() if es}
+
+
 def extract(page: str | None, template: set[int]) -> str:
     if not page:
         return ""
     root = parse(page)
     mains, found = outside(root)
+    if mains:
+        found = inside(mains)
     gone = {id(e) for h in template & found.keys() for e in found[h]} if template else set()
     return text_of(mains, gone, True) if mains else text_of([root], gone, False)
 
 
+def spans(roots: list[Element]) -> tuple[list[str], dict[int, tuple[int, int]]]:
+    """The words that may be text, in page order, and the range of them in each element."""
+    words: list[str] = []
+    at: dict[int, tuple[int, int]] = {}
+
+    def walk(e: Element) -> None:
+        begin = len(words)
+        for c in e.children:
+            if isinstance(c, str):
+                words.extend(c.split())
+            elif c.name not in DROP and not marks(c):
+                walk(c)
+        at[id(e)] = begin, len(words)
+
+    for e in roots:
+        walk(e)
+    return words, at
+
+
+def surroundings(words: list[str], ranges: list[tuple[int, int]]) -> np.ndarray:
+    """For each range of words, min-hashes of the runs of three words before and after it (of all the rest, if it is too short)."""
+    n = max(0, len(words) - 2)
+    run = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(n)], dtype=np.uint64)
+    hashed = mix(run[None, :] ^ SEEDS)
+    most = np.full((len(SEEDS), 1), np.iinfo(np.uint64).max, dtype=np.uint64)
+    before = np.concatenate([most, np.minimum.accumulate(hashed, axis=1)], axis=1)  # of the first i runs
+    after = np.concatenate([np.minimum.accumulate(hashed[:, ::-1], axis=1)[:, ::-1], most], axis=1)  # of the runs from i
+    out = np.empty((len(ranges), len(SEEDS)), dtype=np.uint64)
+    for row, (a, b) in enumerate(ranges):
+        if a < 3 and b > len(words) - 3:
+            out[row] = xxhash.xxh64_intdigest("\x1f".join([*words[:a], "", *words[b:]]))
+        else:
+            out[row] = np.minimum(before[:, max(0, a - 2)], after[:, min(b, n)])
+    return out.view(np.int64)
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, hashes = [], []
+        hosts, hashes, told = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if page:
-                _, found = outside(parse(page))
+                root = parse(page)
+                mains, found = outside(root)
+                words, at = spans(mains or [root])
+                if mains:  # what lies outside has the whole article around it
+                    found = {h: es for h, es in found.items() if any(e.name not in VOID for e in es)}
+                    within = inside(mains)
+                    found = {**found, **within}
+                # a subtree held twice is counted by its first place
+                ranges = [at.get(id(es[0]), (0, 0)) for es in found.values()]
                 hosts += [host] * len(found)
                 hashes += found
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
+                told.append(surroundings(words, ranges))
+        seen = np.concatenate(told) if told else np.zeros((0, len(SEEDS)), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), *(pa.array(c) for c in seen.T)], names=["host", "subtree", *(f"m{i}" for i in range(len(SEEDS)))])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +309,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Blocks are in page order, joined by one line end; white space inside a block is one space (a line break
     too); character references are decoded. A null or empty page has an empty text. Pages without a host
     share one. Repeated rows count as pages of their own; other columns are not read; an empty table gives
-    an empty table. Subtrees are told apart by 64-bit hashes.
+    an empty table. Subtrees are told apart by 64-bit hashes. Copies of a page count once for templates.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -250,8 +317,13 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host, _ = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages")).where(f"pages >= {PAGES}")
-    counted = rows.select("host", "html").mapInArrow(_subtrees, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("held")).where(f"held >= {PAGES}")
-    templates = counted.join(sizes, "host").where(F.col("held") >= F.lit(SHARE) * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    seeds = [f"m{i}" for i in range(len(SEEDS))]
+    each = rows.select("host", "html").mapInArrow(_subtrees, ", ".join(["host string", "subtree long", *(f"{m} long" for m in seeds)]))
+    # Pages with the same surroundings are copies: one page.
+    pages_of = each.groupBy("host", "subtree", *seeds).agg(F.count("*").alias("rows")).groupBy("host", "subtree")
+    counted = pages_of.agg(F.count("*").alias("held"), *(F.count_distinct(m).alias(m) for m in seeds)).withColumn("unlike", F.greatest(*seeds))
+    counted = counted.where((F.col("unlike") >= PAGES) & (F.col("unlike") >= F.lit(UNLIKE) * F.col("held")))
+    templates = counted.join(sizes, "host").where(F.col("unlike") >= F.lit(SHARE) * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))
     templates = scratch.keep(templates, "templates")
     size = templates.agg(F.sum(F.size("template") * 8 + F.length("host") + 64)).first()[0] or 0
     joined = rows.join(F.broadcast(templates) if size <= BROADCAST_BYTES else templates, "host", "left")

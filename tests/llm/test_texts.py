@@ -104,6 +104,18 @@ def test_templates_of_a_host_go(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_templates_inside_articles_go_and_copies_stay(spark):
+    offer = '<div class="box"><p>Read our other stories every week</p></div>'
+    rows = [(n, f"http://site.org/{n}", f"<body><article><h1>Title {n}</h1>{offer}<p>Story <b>not</b> number {n} told<br>at length in {n * 7} words</p></article></body>") for n in range(12)]
+    body = "".join(f"<p>{' '.join(f'w{k}x{i}' for i in range(30))}</p>" for k in range(6))
+    rows += [(100 + n, f"http://copy.org/{n}", f"<body><main>{body.replace(f'w{n % 6}x9', f'edit{n}')}</main></body>") for n in range(30)]
+    rows += [(200 + n, f"http://same.org/{n}", "<body><article><p>One text</p><p>stored again and again</p></article></body>") for n in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == f"Title {n}\nStory not number {n} told at length in {n * 7} words" for n in range(12))
+    assert all(got[100 + n].count("\n") == 5 and got[100 + n].count(" ") == 6 * 29 for n in range(30)), "near copies keep their paragraphs"
+    assert all(got[200 + n] == "One text\nstored again and again" for n in range(9))
+
+
 # URLs
 
 
