@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import Scratch, mix, prepare, signed
+from isobar.llm.common import Scratch, mix, prepare, signed, small
 from isobar.llm.url_filter import host_and_path
 
-#: A subtree is template on a host if at least SHARE of its pages, and at least PAGES of them, hold it.
-SHARE, PAGES = 0.2, 4
+#: A subtree is template on a host if at least PAGES unlike pages hold it, however many pages the host has.
+PAGES = 4
 #: Min-hashes of a subtree's surroundings; those of template differ on at least UNLIKE of the pages (by the seed that tells most apart).
 SEEDS, UNLIKE = np.arange(1, 5, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15), 0.5
 #: Bytes of templates that may be broadcast.
@@ -309,22 +309,24 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Blocks are in page order, joined by one line end; white space inside a block is one space (a line break
     too); character references are decoded. A null or empty page has an empty text. Pages without a host
     share one. Repeated rows count as pages of their own; other columns are not read; an empty table gives
-    an empty table. Subtrees are told apart by 64-bit hashes. Copies of a page count once for templates.
+    an empty table. Subtrees are told apart by 64-bit hashes. A subtree most of whose pages are copies is no template.
     """
     spark = pages.sparkSession
     prepare(spark)
     scratch = Scratch(spark)
     host, _ = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages")).where(f"pages >= {PAGES}")
     seeds = [f"m{i}" for i in range(len(SEEDS))]
     each = rows.select("host", "html").mapInArrow(_subtrees, ", ".join(["host string", "subtree long", *(f"{m} long" for m in seeds)]))
-    # Pages with the same surroundings are copies: one page.
-    pages_of = each.groupBy("host", "subtree", *seeds).agg(F.count("*").alias("rows")).groupBy("host", "subtree")
-    counted = pages_of.agg(F.count("*").alias("held"), *(F.count_distinct(m).alias(m) for m in seeds)).withColumn("unlike", F.greatest(*seeds))
+    each = scratch.keep(each, "subtrees")
+    often = scratch.keep(each.groupBy("host", "subtree").agg(F.count("*").alias("held")).where(f"held >= {PAGES}"), "often")
+    # Copies have like surroundings; only what recurs is told apart by them.
+    counted = each.join(small(often), ["host", "subtree"]).groupBy("host", "subtree").agg(F.first("held").alias("held"), *(F.count_distinct(m).alias(m) for m in seeds)).withColumn("unlike", F.greatest(*seeds))
     counted = counted.where((F.col("unlike") >= PAGES) & (F.col("unlike") >= F.lit(UNLIKE) * F.col("held")))
-    templates = counted.join(sizes, "host").where(F.col("unlike") >= F.lit(SHARE) * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    templates = counted.groupBy("host").agg(F.collect_list("subtree").alias("template"))
     templates = scratch.keep(templates, "templates")
+    scratch.drop(each)
+    scratch.drop(often)
     size = templates.agg(F.sum(F.size("template") * 8 + F.length("host") + 64)).first()[0] or 0
     joined = rows.join(F.broadcast(templates) if size <= BROADCAST_BYTES else templates, "host", "left")
     return joined.select("page_id", "url", "host", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -116,6 +116,12 @@ def test_templates_inside_articles_go_and_copies_stay(spark):
     assert all(got[200 + n] == "One text\nstored again and again" for n in range(9))
 
 
+def test_section_templates_of_a_large_host_go(spark):
+    rows = [(n, f"http://large.org/{n // 10}/{n}", f"<body><div><p>Notice of section {n // 10}</p></div><div><p>Story number {n} told at length</p></div></body>") for n in range(1000)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == f"Story number {n} told at length" for n in range(1000))
+
+
 # URLs
 
 
