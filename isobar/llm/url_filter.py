@@ -31,8 +31,8 @@ images public archive category topic tag search profile feed rss winter summer w
 NEUTRAL = "en fr de es it www m mobile web site page pages index html htm php asp org com net info example online user users home"
 #: With it, one word to block is not enough; each seed word counts as SEEN sightings.
 PRIOR_BLOCK, SEEN = 0.15, 4
-#: Host words of the table itself that the unigram model takes in, the commonest first.
-MOST_WORDS = 20_000
+#: A word of the table itself is on so many hosts at least: one host's name is no evidence of a word.
+LEAST_HOSTS = 2
 UNKNOWN = 1e-9
 LONGEST = 24
 
@@ -47,10 +47,12 @@ class Segmenter:
     def unknown(self, n: int) -> float:
         return -log(UNKNOWN) + n
 
-    def split(self, name: str) -> list[str]:
+    def split(self, name: str, but: str = "") -> list[str]:
+        """The words of a name; `but` is not taken as a known word."""
+        cost = lambda w: self.cost.get(w, self.unknown(len(w))) if w != but else self.unknown(len(w))
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(name) + 1):
-            best.append(min((best[begin][0] + self.cost.get(name[begin:end], self.unknown(end - begin)), begin) for begin in range(max(0, end - LONGEST), end)))
+            best.append(min((best[begin][0] + cost(name[begin:end]), begin) for begin in range(max(0, end - LONGEST), end)))
         out, at = [], len(name)
         while at:
             out.append(name[best[at][1] : at])
@@ -89,15 +91,23 @@ class UrlModel:
 
 
 def train(host_words: dict[str, int], block: str = BLOCK, allow: str = ALLOW, prior: float = PRIOR_BLOCK) -> UrlModel:
-    """Seed words count as often as the commonest tenth of the table's host words. A host word that is itself made of seed words is
-    not taken as a word, however common, so that concatenations are split.
+    """host_words: hosts that hold each word. Seed words count as often as the commonest tenth of them. A host word is not taken as a
+    word, so that it is split, if it is made of seed words only, or of seed words and longer words that are each on more hosts than itself;
+    a word on fewer than LEAST_HOSTS hosts is none.
     """
     block_words, allow_words, neutral = ((text.replace("-", " ").split() * SEEN) for text in (block, allow, NEUTRAL))
     seeds = {*block_words, *allow_words, *neutral}
-    own = Segmenter(dict.fromkeys(seeds, 1))
-    made = lambda w: w not in seeds and all(len(p) > 1 and p in seeds for p in own.split(w))
+    host_words = {w: n for w, n in host_words.items() if n >= LEAST_HOSTS}
     common = sorted(host_words.values())[-max(1, len(host_words) // 10) :] if host_words else [1]
-    counts = Counter({w: n for w, n in host_words.items() if len(w) > 1 and not made(w)})
+    own = Segmenter(dict.fromkeys(seeds, 1))
+    both = Segmenter({**host_words, **{w: host_words.get(w, 0) + max(1, common[0]) for w in seeds}})
+
+    def made(w: str, n: int) -> bool:
+        if w in seeds:
+            return False
+        return all(len(p) > 1 and p in seeds for p in own.split(w)) or all(len(p) > 1 and p in seeds or len(p) > 2 and p != w and host_words.get(p, 0) > n for p in both.split(w, w))
+
+    counts = Counter({w: n for w, n in host_words.items() if len(w) > 1 and not made(w, n)})
     for w in seeds:
         counts[w] += max(1, common[0])
     return UrlModel(Segmenter(counts), Bayes(block_words + neutral, allow_words + neutral, prior))
@@ -154,7 +164,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     host, path = host_and_path(F.col(url_col))
     which, verdict = rule_for(F.col("host"), F.col("path"), rules)
     out = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("rule", which).withColumn("verdict", verdict)
-    words = out.select(F.explode(F.split("host", r"[^\p{L}]+")).alias("word")).where("length(word) > 1").groupBy("word").agg(F.count("*").alias("n"))
-    counts = {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()}
+    words = out.select("host").distinct().select(F.explode(F.array_distinct(F.split("host", r"[^\p{L}]+"))).alias("word")).where("length(word) > 1").groupBy("word").agg(F.count("*").alias("n"))
+    counts = {r["word"]: r["n"] for r in words.where(f"n >= {LEAST_HOSTS}").collect()}
     fields = ", ".join(f"`{n}` {t}" for n, t in out.dtypes)
     return out.mapInArrow(_judge(train(counts)), fields)

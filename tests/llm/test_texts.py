@@ -153,6 +153,15 @@ def test_segmenter_finds_the_likeliest_split():
         assert cost(s.split(name)) == pytest.approx(min(map(cost, every(name))))
 
 
+def test_concatenated_names_are_split_at_every_table_size():
+    words = {"fresh": 50, "freshcasino": 1, "freshcasinobonus": 3, "zorbla": 5, "zorblafresh": 60, "com": 90}
+    for more in ({}, {f"q{'abcdefghij'[i // 1000 % 10]}x{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 10 % 10]}y{'abcdefghij'[i % 10]}": 4 for i in range(10_000)}):
+        model = url_filter.train({**words, **more})
+        assert model.words("freshcasino.com", "") == ["fresh", "casino", "com"]
+        assert model.words("freshcasinobonus.com", "")[:3] == ["fresh", "casino", "bonus"] and model.blocks("freshcasinobonus.com", "")
+        assert model.words("zorblafresh.com", "") == ["zorblafresh", "com"], "commoner than its parts: a word"
+
+
 # Packing
 
 
