@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isobar.llm.common import by_run, prepare
+from isobar.llm.common import by_run, sliced
 from isobar.llm.vectors import matrix, usable
 
 #: Queries held by a group, candidates in one tile, and candidates that a stripe holds at least.
@@ -139,7 +139,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     repeated id, each is a candidate. An empty table, or no query, gives no rows.
     """
     spark = vectors.sparkSession
-    prepare(spark)
     rows = usable(vectors, id_col, vec_col)
     queries = usable(vectors.where(is_query), id_col, vec_col)
     counted = vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()

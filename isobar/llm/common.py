@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,35 +13,57 @@ from pyspark.sql import functions as F
 
 #: A side with at most so many short rows (two or three longs each) may be broadcast: under 32 MB.
 BROADCAST_ROWS = 500_000
-#: Rows and bytes of one Arrow batch, so that a batch of the longest texts still fits a Python worker.
-BATCH_ROWS, BATCH_BYTES = 512, "32m"
+#: Rows of an Arrow batch that a function takes at a time; Spark itself bounds a batch's bytes (64 MB unless set otherwise).
+BATCH_ROWS = 512
 
 
-def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches, since texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most BATCH_ROWS rows, so that what is made of texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the one set by setCheckpointDir.
+
+    Where neither is set, a local session takes one of its own; on a cluster that is an error.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file:///tmp/checkpoints/isobar"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='isobar-')}"
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that df does not have."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in df.columns}:
+            name += "_"
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 
-    ``drop`` removes a table that nothing reads any more.
+    ``drop`` removes a table that nothing reads any more; the rest, which lazy results still read, goes when
+    the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/isobar-{uuid.uuid4().hex}"
         self.n = 0
+        where, files = self._at(self.base)
+        files.deleteOnExit(where)
+
+    def _at(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -53,9 +76,8 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_isobar_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where, files = self._at(path)
+            files.delete(where, True)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import Scratch, mix, prepare, signed, small
+from isobar.llm.common import Scratch, mix, signed, small
 from isobar.llm.url_filter import host_and_path
 
 #: A subtree is template on a host if at least PAGES unlike pages hold it, however many pages the host has.
@@ -312,7 +312,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     an empty table. Subtrees are told apart by 64-bit hashes. A subtree most of whose pages are copies is no template.
     """
     spark = pages.sparkSession
-    prepare(spark)
     scratch = Scratch(spark)
     host, _ = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))

@@ -10,6 +10,7 @@ passes on fewer tokens than one window.
 from __future__ import annotations
 
 import base64
+import json
 import sys
 import types
 import zlib
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import Scratch, by_run, prepare, runs
+from isobar.llm.common import Scratch, by_run, runs, sliced
 
 WINDOW, OPEN, FAN = 1024, 8, 16
 
@@ -31,17 +32,19 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part long, place long"
 
 
-def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a file of ranks, loaded once in each Python worker.
+def encoder(ranks: str, file: str) -> tiktoken.Encoding:
+    """The byte-level BPE of a file of ranks with the added tokens of the vocabulary's tokenizers file, loaded once in each Python worker.
 
-    It gives the ids of the same vocabulary's tokenizers file; strings that name special tokens are ordinary text.
+    It gives the ids of that file's own tokenizer: a text that names an added token holds that token's id.
     """
     held = sys.modules.setdefault("_isobar_held", types.ModuleType("_isobar_held"))
-    if path not in held.__dict__:
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        held.__dict__[path] = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return held.__dict__[path]
+    if ranks not in held.__dict__:
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(file, encoding="utf-8") as whole:
+            added = {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
+        held.__dict__[ranks] = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+    return held.__dict__[ranks]
 
 
 class Packer:
@@ -111,13 +114,13 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(PIECES), PIECES, strict=True)], schema=PIECES)
 
 
-def _pack(path: str, end: int):
+def _pack(ranks: str, file: str, end: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        packer, bpe = Packer(part << 36), encoder(path)
-        for batch in batches:
+        packer, bpe = Packer(part << 36), encoder(ranks, file)
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*bpe.encode_ordinary(text or ""), end], dtype="<u4")
+                ids = np.array([*bpe.encode(text or "", allowed_special="all"), end], dtype="<u4")
                 packer.add(doc_id, ids, len(ids))
             yield packer.take()
         packer.left(part)
@@ -139,21 +142,21 @@ def _merge(level: int, last: bool):
     return f
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, end: int = 0) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, file: str | None = None, end: int = 0) -> DataFrame:
     """Pieces of all documents' ids in sequences of at most WINDOW ids.
 
     A document is the ids of its whole text, then `end`. Returns for each piece: doc_id, start (the document's ids
     before it), length, ids_crc32 (of its unsigned little-endian 32-bit ids), doc_tokens, sequence_id and
     offset. Every sequence but the last is full. Null and empty texts are the one id `end`; repeated ids are
-    documents of their own; other columns are not read; an empty table gives no pieces. `ranks` is the path of a
-    tiktoken file on the executors (by default that of the installed public tokenizers).
+    documents of their own, and so are null ids; other columns are not read; an empty table gives no pieces. `ranks` and
+    `file` are the paths of one vocabulary's tiktoken and tokenizers files on the executors (by default those of
+    the installed public tokenizers). A text that names an added token of the file holds that token's id.
     """
     spark = docs.sparkSession
-    prepare(spark)
     scratch = Scratch(spark)
-    path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    paths = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), file or public_tokenizers.path("byte_bpe_50k.json")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = scratch.keep(source.mapInArrow(_pack(path, end), DDL), "packed")
+    out = scratch.keep(source.mapInArrow(_pack(*paths, end), DDL), "packed")
     done = [out.where("ids is null")]
     left, level = out.where("ids is not null"), 0
     most = left.agg(F.max("part")).first()[0]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import prepare
+from isobar.llm.common import sliced
 from isobar.llm.fitting import labelled, newton
 
 #: Bounds of the fit: labelled documents read, and pairs drawn for each rejected document.
@@ -117,7 +117,6 @@ def score_quality(docs: DataFrame, ranker: Ranker, text_col: str = "text", score
     are scored alike; other columns are kept, and one that is named like `score` is replaced. An empty
     table gives an empty table.
     """
-    prepare(docs.sparkSession)
     kept = docs.drop(score)
     fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
     return kept.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(_score(ranker), f"{fields}, `__score` double").withColumnRenamed("__score", score)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import Scratch, prepare
+from isobar.llm.common import Scratch, sliced
 from isobar.llm.fitting import labelled, newton
 
 #: Bounds of the fit: labelled documents read, and candidate stems counted.
@@ -236,7 +236,6 @@ def _features(lexicon: Lexicon):
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, fit_on: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
     spark = docs.sparkSession
-    prepare(spark)
     scratch = Scratch(spark)
     kept = labelled(docs, labels, "toxic", fit_on, FIT_DOCS, id_col, text_col)
     # One of each group of near copies, else a copied text's words look like a common pattern.
@@ -277,7 +276,6 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score:
     matches. Repeated rows are scored alike; other columns are kept, and one that is named like `score` is
     replaced. An empty table gives an empty table.
     """
-    prepare(docs.sparkSession)
     kept = docs.drop(score)
     fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
     return kept.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(_score(model), f"{fields}, `__score` double").withColumnRenamed("__score", score)

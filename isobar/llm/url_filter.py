@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import prepare
+from isobar.llm.common import sliced
 
 # Seed words of hosts and paths to block and to allow; parameters of train().
 BLOCK = """casino win bet bets betting free gamble gambling poker slots slot roulette jackpot lottery bingo prize winner bonus spin cheap pills pill pharma viagra cialis
@@ -160,7 +160,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     Only the url column is read. Null urls and urls without `://` have an empty host and path, and the
     verdict of no words. Repeated rows are judged alike; an empty table gives an empty table.
     """
-    prepare(pages.sparkSession)
     host, path = host_and_path(F.col(url_col))
     which, verdict = rule_for(F.col("host"), F.col("path"), rules)
     out = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("rule", which).withColumn("verdict", verdict)

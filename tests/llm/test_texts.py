@@ -169,16 +169,17 @@ def reference_ids(text):
     import public_tokenizers as p
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(p.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
 def test_pieces_cover_documents(spark):
     rng = np.random.default_rng(0)
-    texts = [None, "", "hello world", "a" * 5000, " " * 3000, "\n\n\t x", "<|endoftext|> ünï 漢字 🎉", "it's  they'll 12345 !!"] + [" ".join(map(str, rng.integers(0, 9999, n))) for n in rng.integers(1, 1500, 60)]
+    texts = [None, "", "hello world", "a" * 5000, " " * 3000, "\n\n\t x", "<|endoftext|> ünï 漢字 🎉", "a <|endoftext|> b", "x\n <|endoftext|><|endoftext|>\t's <|endoftext|", "it's  they'll 12345 !!"] + [" ".join(map(str, rng.integers(0, 9999, n))) for n in rng.integers(1, 1500, 60)]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("length", F.lit("clash")).repartition(7)
+    assert reference_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
     out = pack(df).toPandas()
+    twice = pack(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], DOCS)).toPandas()
+    assert sorted(twice["doc_tokens"]) == [2, 3, 3] and twice["doc_id"].isna().sum() == 1
     want = {i: np.array([*reference_ids(t or ""), 0], dtype="<u4") for i, t in enumerate(texts)}
     for i, own in out.groupby("doc_id"):
         own = own.sort_values("start")
