@@ -18,8 +18,9 @@ copies are never expanded into pairs.
 
 Sets on a common list are compared by parity sketches, which bound the symmetric difference from below
 and so never lose a link; what is left falls into families, in which whole sets are compared exactly.
-Long lists and large families are cut into blocks, and each pair of blocks is a group of its own: no
-task holds more than two blocks and no pair of documents is ever written out.
+Long lists and large families are cut into blocks, and each pair of blocks is a group of its own; lists that a
+sample of nodes shows to be very long are never gathered, so that a task holds two blocks, or a list of
+about HOT nodes before it is cut. No pair of documents is ever written out.
 """
 
 from __future__ import annotations
@@ -35,16 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isobar.llm.common import Scratch, by_run, components, forest, mix, mix1, prepare, runs, signed, small
+from isobar.llm.common import Scratch, by_run, components, forest, mix, mix1, runs, signed, sliced, small
 
 RATIO = 1.6
-#: Sizes up to which subsets may be enumerated; beyond it the lists are always cheaper.
-MOST_SMALL = 24
+#: A set is never enumerated if its subsets would be more rows than this; whatever the table, inverted lists then cost less.
+MOST_SUBSETS = 1_000_000
 #: Spare ranges, as a share of the most elements by which linked sets differ; lists of more than LONG nodes are long.
 SPARE, LONG = 0.15, 32
 #: The low bits of a list's hash name its size class; the last name stands for subsets.
 CLASS_BITS, SUBSETS = 63, 63
-LIST_BLOCK = 512
+LIST_BLOCK = 256
+#: Lists of about HOT nodes or more, found by the sets of one node in EVERY, are dealt in blocks from the start.
+HOT, EVERY = 8192, 32
 FAMILY_BLOCK, FAMILY_BLOCK_MOST, FAMILY_BLOCKS = 64, 1024, 24
 P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,12 +146,20 @@ def boundary(sizes: dict[int, int], num: int, den: int) -> int:
     """
     best, at = None, 0
     total = lambda x: sum(c * cost_small(n, num, den) for n, c in sizes.items() if n <= x) + sum(c * cost_large(n, sizes, num, den) for n, c in sizes.items() if den * n >= num * (x + 1))
-    for x in range(MOST_SMALL + 1):
+    for x in range(most_small(num, den) + 1):
         if best is None or total(x) < best:
             best, at = total(x), x
     return at
 
 
+def most_small(num: int, den: int) -> int:
+    """The size up to which a set has at most MOST_SUBSETS subsets to list."""
+    n = 0
+    while cost_small(n + 1, num, den) <= MOST_SUBSETS:
+        n += 1
+    return n
+
+
 def cost_small(n: int, num: int, den: int) -> float:
     return sum(comb(n, d) for d in range(n - -(-num * n // den) + 1))
 
@@ -165,11 +176,11 @@ def _scan(k: int, num: int, den: int, small_top: int):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            rows: dict[str, list] = {"id": [], "node": [], "n": [], "lists": [], "sketch": [], "own": []}
+        for batch in sliced(batches):
+            rows: dict[str, list] = {"id": [], "told": batch.column(2).to_pylist(), "node": [], "n": [], "lists": [], "sketch": [], "own": []}
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 s = shingles(t, k)
-                node = node_of(s) if len(s) else None
+                node = node_of(s) if len(s) and i is not None else None
                 new = node is not None and node not in seen
                 if new:
                     seen.add(node)
@@ -184,14 +195,14 @@ def _scan(k: int, num: int, den: int, small_top: int):
     return f
 
 
-SCAN = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("lists", pa.list_(pa.int64())), ("sketch", pa.binary()), ("own", pa.list_(pa.int64()))])
+SCAN = pa.schema([("id", pa.int64()), ("told", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("lists", pa.list_(pa.int64())), ("sketch", pa.binary()), ("own", pa.list_(pa.int64()))])
 
 
 def _light(num: int, den: int, x: int):
     """Rows (list, node) of the sets kept whole by _scan: subsets up to the boundary, lists from where they can meet larger sets."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, nodes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = np.array(own, dtype=np.int64).view(np.uint64)
@@ -226,16 +237,19 @@ def _meet(blocks: bool):
         told: set[int] = set()
 
         def whole() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            rest_k = rest_n = np.zeros(0, dtype=np.int64)
+            held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last list, perhaps not yet whole
             for batch in batches:
-                k = np.concatenate([rest_k, batch.column(0).to_numpy()])
-                n = np.concatenate([rest_n, batch.column(1).to_numpy()])
+                k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 if not len(k):
                     continue
                 cut = int(np.searchsorted(k, k[-1]))
-                yield k[:cut], n[:cut]
-                rest_k, rest_n = k[cut:], n[cut:]
-            yield rest_k, rest_n
+                if cut or held and held[0][0][0] != k[-1]:
+                    held.append((k[:cut], n[:cut]))
+                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                held.append((k[cut:], n[cut:]))
+            if held:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
         for k, n in whole():
             edges = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, dtype=np.int64)
@@ -304,7 +318,7 @@ def _alike(num: int, den: int):
 
 def _sets(k: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [shingles(t, k) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "n", "own"])
 
@@ -365,20 +379,32 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns one row for each row of docs: id, n_shingles (the set's size) and component_id (the smallest
     id reachable by links, the row's own included). Null and empty texts have no shingles, count 0 and are
-    alone. Repeated ids give repeated rows. An empty table gives an empty table. Other columns of docs are
-    not read. Shingles and sets are told apart by 64-bit hashes.
+    alone; so are rows without an id, whose component is null. A repeated id is a row for each time, each
+    linked by its own text. An empty table gives an empty table. Other columns of docs are
+    not read. Texts, shingles and sets are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    prepare(spark)
     scratch = Scratch(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scan = scratch.keep(source.mapInArrow(_scan(k, num, den, MOST_SMALL), "id long, node long, n long, lists array<long>, sketch binary, own array<long>"), "scan")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("told", F.xxhash64("text"))
+    top = most_small(num, den)
+    scan = scratch.keep(source.mapInArrow(_scan(k, num, den, top), "id long, told long, node long, n long, lists array<long>, sketch binary, own array<long>"), "scan")
 
-    sizes = {r["n"]: r["c"] for r in scan.where(f"n between 1 and {4 * MOST_SMALL}").groupBy("n").agg(F.count("*").alias("c")).collect()}
+    sizes = {r["n"]: r["c"] for r in scan.where(f"n between 1 and {4 * top}").groupBy("n").agg(F.count("*").alias("c")).collect()}
     x = boundary(sizes, num, den)
-    heavy = scan.where("lists is not null").select(F.explode("lists").alias("list"), "node")
-    light = scan.where("own is not null").select("node", "own").mapInArrow(_light(num, den, x), "list long, node long")
-    first = scratch.keep(by_run(heavy.unionByName(light), "list", None, _meet(False), "key long, node long, m long"), "lists")
+
+    def listed(sets: DataFrame) -> DataFrame:
+        heavy = sets.where("lists is not null").select(F.explode("lists").alias("list"), "node")
+        return heavy.unionByName(sets.where("own is not null").select("node", "own").mapInArrow(_light(num, den, x), "list long, node long"))
+
+    # Where a node is repeated in other tasks, its lists are too: a list's nodes are counted once in each.
+    seen = listed(scan.where(F.pmod(F.xxhash64("node"), F.lit(EVERY)) == 0)).distinct().groupBy("list").agg((F.count("*") * EVERY).alias("m"))
+    hot = scratch.keep(seen.where(F.col("m") >= HOT), "hot")
+    n_hot = hot.count()
+    rows = listed(scan)
+    cool = rows.join(small(hot, n_hot), "list", "left_anti") if n_hot else rows
+    first = scratch.keep(by_run(cool, "list", None, _meet(False), "key long, node long, m long"), "lists")
+    if n_hot:
+        first = first.unionByName(scratch.keep(rows.join(small(hot, n_hot), "list").select(F.col("list").alias("key"), "node", "m").distinct(), "long"))
     # Each set leaves the longest of its long lists, as many of each size class as it may.
     may = [0] * (CLASS_BITS + 1)
     c, high = 0, 2
@@ -387,16 +413,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         c, _, high = size_class(high)
     cls = F.col("key").bitwiseAND(CLASS_BITS)
     place = F.row_number().over(W.partitionBy("node", cls).orderBy(F.desc("m"), "key"))
-    kept = first.where("m > 0").withColumn("place", place).where(F.col("place") > F.element_at(F.array(*map(F.lit, may)), cls.cast("int") + 1)).select("key", "node")
-    long = by_run(kept, "key", None, _meet(True), "key long, node long, m long")
-    met = first.where("m = 0").unionByName(long).select("key", "node").dropDuplicates(["key", "node"])
+    kept = first.where("m > 0").withColumn("place", place).where(F.col("place") > F.element_at(F.array(*map(F.lit, may)), cls.cast("int") + 1)).select("key", "node", "m")
+    long = by_run(kept.where(F.col("m") < HOT).select("key", "node"), "key", None, _meet(True), "key long, node long, m long")
+    met = first.where("m = 0").unionByName(long).select("key", "node")
+    if n_hot:
+        blocks = F.ceil(F.col("m") / LIST_BLOCK)
+        cut = kept.where(F.col("m") >= HOT).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> other")
+        met = met.unionByName(cut.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node"))
+    met = met.dropDuplicates(["key", "node"])
     sketches = scan.where("sketch is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     maybe = by_run(met.join(sketches, "node"), "key", None, _alike(num, den), "a long, b long").distinct()
     families = scratch.keep(components(maybe, scratch).withColumnRenamed("component", "family"), "families")
 
-    nodes = scratch.keep(scan.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "nodes")
-    wanted = scratch.keep(families.join(nodes, "node").select(F.col("least").alias("id"), "node"), "wanted")
-    text = source.join(small(wanted), "id").select("node", "text")
+    nodes = scratch.keep(scan.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min_by("told", "id").alias("told"), F.count("*").alias("copies")), "nodes")
+    wanted = scratch.keep(families.join(nodes, "node").select(F.col("least").alias("id"), "told", "node"), "wanted")
+    text = source.join(small(wanted), ["id", "told"]).select("node", "text")
     sets = text.mapInArrow(_sets(k), "node long, n long, own binary").dropDuplicates(["node"])
     held = families.groupBy("family").agg(F.count("*").alias("m"))
     held = held.withColumn("blocks", F.ceil(F.col("m") / F.greatest(F.lit(FAMILY_BLOCK), F.least(F.lit(FAMILY_BLOCK_MOST), F.ceil(F.col("m") / FAMILY_BLOCKS)))))
