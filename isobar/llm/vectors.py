@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Rows (id, v array<double>, dim) whose vectors take part: not null, no null or non-finite component, not all zero."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, as_it_is: bool = False) -> DataFrame:
+    """Rows (id, v array<double>, dim), or v of the column's own type if as_it_is, whose vectors take part: not null, no null or non-finite component, not all zero."""
     v = F.col(vec_col).cast("array<double>")
     fine: Column = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(vec_col).isNotNull()).where(F.coalesce(fine & some, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim"))
+    return vectors.where(F.col(vec_col).isNotNull()).where(F.coalesce(fine & some, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), (F.col(vec_col) if as_it_is else v).alias("v"), F.size(vec_col).alias("dim"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

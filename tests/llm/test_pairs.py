@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from isobar.llm.block_matrix_knn import nearest
 from isobar.llm.common import components, forest, runs, Scratch
 from isobar.llm.itq_dedup import near_duplicates
-from isobar.llm.ngram_jaccard import boundary, jaccard_groups, lists_of, overlaps, ranges, shingles, size_class, subsets_of
+from isobar.llm.itq_dedup import Model, packed, pairs_at
+from isobar.llm.ngram_jaccard import boundary, cost_small, jaccard_groups, lists_of, most_small, overlaps, ranges, shingles, size_class, subsets_of
 
 DOCS = "doc_id long, text string"
 
@@ -72,6 +73,35 @@ def test_jaccard_long_lists_and_large_families(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == brute_groups(rows, 3, 80, 100)
 
 
+def test_jaccard_very_long_lists_are_dealt_in_blocks(spark, monkeypatch):
+    import isobar.llm.ngram_jaccard as j
+
+    for name, value in (("LONG", 4), ("LIST_BLOCK", 8), ("HOT", 24), ("EVERY", 2)):
+        monkeypatch.setattr(j, name, value)
+    rows = corpus(8, [60, 10, 9], 80, 3)
+    out = jaccard_groups(spark.createDataFrame(rows, DOCS).repartition(6), k=3, num=80, den=100)
+    assert sorted(map(tuple, out.collect())) == brute_groups(rows, 3, 80, 100)
+
+
+def test_jaccard_long_lists_across_batches():
+    import pyarrow as pa
+
+    from isobar.llm.ngram_jaccard import _meet
+
+    k, n = np.repeat([1, 2, 3, 4], [1, 700, 3, 1]), np.arange(705)
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(k[a:b]), pa.array(n[a:b])], names=["list", "node"])
+    for cuts in ([0, 705], [0, 1, 2, 300, 699, 701, 702, 705], [0, 350, 700, 704, 705]):
+        got = [(r["key"], r["node"], r["m"]) for b in _meet(False)(map(batch, cuts, cuts[1:])) for r in b.to_pylist()]
+        assert sorted(x for _, x, m in got if m == 700) == list(range(1, 701)) and sorted(x for _, x, m in got if m == 0) == [701, 702, 703]
+
+
+def test_jaccard_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(5, a), (5, b), (1, a.replace("a79", "x")), (2, b.replace("b79", "x")), (None, a)]
+    got = [tuple(r) for r in jaccard_groups(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 78, 1), (2, 78, 2), (5, 78, 1), (5, 78, 2), (None, 78, None)], key=str)
+
+
 def test_jaccard_edge_cases(spark):
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "One"), (3, "one"), (9, "a b"), (10, "A\tB"), (2, "x " * 5000), (1, "X " * 5000), (4, "x"), (11, "ÄB c d"), (12, "äB c d")]
     df = spark.createDataFrame([(i, t, i, "z") for i, t in rows], "doc_id long, text string, n_shingles int, component_id string")
@@ -106,7 +136,9 @@ def test_linked_sets_share_enough_lists(num, den):
 
 def test_boundary_and_overlaps():
     assert boundary({}, 90, 100) == 0
-    assert 0 <= boundary({n: 1000 for n in range(1, 60)}, 90, 100) <= 24
+    few, many = (boundary({n: c for n in range(1, 60)}, 90, 100) for c in (1000, 10**11))
+    assert 0 <= few < many < most_small(90, 100), "cost alone decides: the limit of rows is not reached"
+    assert cost_small(most_small(80, 100), 80, 100) <= 1_000_000 < cost_small(most_small(80, 100) + 1, 80, 100)
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 50, n).astype(np.uint64)) for n in (1, 5, 20, 60)]
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
@@ -179,7 +211,7 @@ def test_near_duplicates_recall_and_precision(spark):
 def test_near_duplicates_equal_vectors_in_blocks(spark, monkeypatch):
     import isobar.llm.itq_dedup as d
 
-    monkeypatch.setattr(d, "BLOCK", 16)
+    monkeypatch.setattr(d, "BLOCK", 4)
     rows = [(i, [1.0, 2.0, 3.0, 4.0], 0) for i in range(100, 200)] + [(1, [-1.0, 0.0, 0.0, 0.0], 0), (2, [1.0, 2.0, 3.0], 0)]
     out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
     assert all(out[i] == (99, 100, i == 100) for i in range(100, 200))
@@ -187,6 +219,61 @@ def test_near_duplicates_equal_vectors_in_blocks(spark, monkeypatch):
     assert near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+@pytest.mark.parametrize("base", [0.0, 0.5, 0.8])
+def test_near_duplicates_recall_whatever_the_common_direction(spark, base):
+    rng = np.random.default_rng(5)
+    mean = np.zeros(64)
+    mean[0] = 1
+    z = rng.normal(size=(6000, 64))
+    z[:, 0] = 0
+    x = np.sqrt(base) * mean + np.sqrt(1 - base) * z / np.linalg.norm(z, axis=1)[:, None]
+    a, b, _ = pairs_at(x, 0.9005)
+    x = np.concatenate([x, a[:400], b[:400], a[-400:], b[-400:]])
+    out = near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).toPandas()
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = (x @ x.T >= 0.9).sum() - len(x)
+    assert 0.95 * links <= out["n_links"].sum() <= links
+
+
+def test_substrings_of_a_learned_code():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    model = Model(x, 0.9, 100_000)
+    signs = model.signs(x)
+    assert 0.4 < signs.mean() < 0.6, "balanced bits"
+    keys = model.keys(signs)
+    for t in range(model.tables):
+        for j in range(model.width):
+            assert ((keys[:, t] >> j & 1) == signs[:, t * model.width + j]).all()
+    assert (model.apart(x[:250], x[250:]) == (signs[:250] != signs[250:]).sum(axis=1)).all() and packed(signs).dtype == np.uint64
+
+
+def test_near_duplicates_in_blocks_with_probes(spark, monkeypatch):
+    import isobar.llm.itq_dedup as d
+
+    monkeypatch.setattr(d, "BLOCK", 8)
+    monkeypatch.setattr(d, "FAMILY_BLOCK", 8)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6, 24))[rng.integers(0, 6, 400)] + rng.normal(scale=0.15, size=(400, 24))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    out = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    p, q = np.nonzero(near)
+    assert 0.97 * len(p) <= out["n_links"].sum() <= len(p)
+    assert (out["component_id"].to_numpy() == forest(400, p, q)).mean() > 0.99
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    v, w = [1.0, 2.0, 3.0], [-3.0, 1.0, 0.5]
+    rows = [(1, v, 0), (1, v, 0), (2, v, 0), (7, v, 0), (7, w, 0), (8, w, 0), (None, v, 0), (9, [-0.0, 0.0, 0.0], 0), (10, [0.1], 0), (11, [5.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int").withColumn("h0", F.lit(1))
+    got = sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (7, 3, 1, False), (7, 1, 7, True), (8, 1, 7, False), (None, 0, None, None), (9, 0, 9, True), (10, 1, 10, True), (11, 1, 10, False)], key=str)
+
+
 def test_runs_cross_batches():
     import pyarrow as pa
 
