@@ -122,6 +122,73 @@ def test_section_templates_of_a_large_host_go(spark):
     assert all(got[n] == f"Story number {n} told at length" for n in range(1000))
 
 
+def test_templates_decide_without_hints(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    whole = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}
+    alone = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages, hints=False).collect()}
+    html = {r["page_id"]: (r["html"], r["url"].split("/")[2]) for r in pages.collect()}
+    hosts = [h for _, h in html.values()]
+    known = [i for i, (_, h) in html.items() if hosts.count(h) >= html_extract.PAGES]
+    assert len(known) > 0.6 * len(html)
+    assert all(alone[i] == whole[i] for i in known), "templates alone find the article where a host has pages enough"
+    assert all(html_extract.extract(html[i][0], set(), hints=False) != alone[i] for i in known), "and every page changes by them"
+
+
+def test_untold_boxes_are_found_by_shape_or_content(spark):
+    page = '<body><div class="q1"><ul><li><a>{0}a</a><li><a>b{0} c</a></ul></div><div class="q7"><p>Same words on all</p></div><div class="z"><p>Story {0} of this <a>page</a></p></div></body>'
+    marked = '<body><div class="q1">Menu {0}</div><main><p>Told {0}</p></main><div class="q2"><i>Slot {0}</i> {0}</div></body>'
+    rows = [(n, f"http://a.org/{n}", page.format(n)) for n in range(9)] + [(20 + n, f"http://b.org/{n}", marked.format(n)) for n in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for hints in (True, False):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df, hints=hints).collect()}
+        assert all(got[n] == f"Story {n} of this page" and got[20 + n] == f"Told {n}" for n in range(9))
+
+
+def test_shapes_are_counted_as_by_recursion(spark):
+    from collections import Counter
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = Counter()
+    for r in pages.collect():
+        page = html_extract.parse(r["html"])
+        parts = [[] for _ in page.name]
+        for i in range(1, len(page.name)):
+            parts[page.up[i]].append(i)
+        seen = set()
+
+        def shape(i):
+            """(shape as nested tuples or None around the article, has it words)"""
+            if page.name[i] is None:
+                return ("#", True) if page.value[i].split() else ("", False)
+            if page.name[i] == "article":
+                return None, True
+            below = [shape(c) for c in parts[i]]
+            words = page.name[i] not in html_extract.SILENT and any(w for _, w in below)
+            if any(b is None for b, _ in below):
+                return None, True
+            folded = []
+            for b, _ in below:
+                if b and b != (folded or [None])[-1]:
+                    folded.append(b)
+            out = (page.name[i], html_extract.told(page.value[i]), *folded)
+            if words:
+                seen.add(out)
+            return out, words
+
+        shape(0)
+        want.update((r["url"].split("/")[2], s) for s in seen)
+    got = html_extract.site_templates(pages.select(F.split("url", "/")[2].alias("host"), "html"), html_extract.Scratch(spark)).collect()
+    assert Counter((r["host"], r["held"]) for r in got) == Counter((h, n) for (h, _), n in want.items() if n >= html_extract.PAGES)
+
+
+def test_pages_nest_without_bound(spark):
+    deep = ["<div>" * 100_000 + "x", "<font>" * 100_000 + "<p>y<p>z", "<p>" + "<i>" * 30_000 + "<div></div>" * 30_000 + "</b>" * 30_000 + "w", "<!-- never closed <p>x"]
+    rows = [(n, f"http://deep.org/{n}", t) for n, t in enumerate(deep)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "x", 1: "y\nz", 2: "w", 3: ""}
+
+
 # URLs
 
 
