@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: A side with at most so many short rows (two or three longs each) may be broadcast: under 32 MB.
 BROADCAST_ROWS = 500_000
@@ -48,6 +49,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def add_score(docs: DataFrame, text_col: str, score: str, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """docs with a double column `score` of each text, in one pass; `make` gives a task its function of a batch's texts."""
+    text, own = fresh(docs, "__text", "__score")
+    rows = docs.withColumn(text, F.col(text_col).cast("string")).drop(score)
+    kept = rows.drop(text)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = make()
+        for batch in sliced(batches):
+            at = batch.schema.get_field_index(text)
+            told = pa.array(scores(batch.column(at)), pa.float64())
+            keep = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), told], names=[*(batch.schema.names[i] for i in keep), own])
+
+    return rows.mapInArrow(f, StructType([*kept.schema.fields, StructField(own, DoubleType())])).withColumnRenamed(own, score)
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import sliced
+from isobar.llm.common import add_score, sliced
 from isobar.llm.fitting import labelled, newton
 
 #: Bounds of the fit: labelled documents read, and pairs drawn for each rejected document.
@@ -87,23 +87,11 @@ def fit_ranker(x: np.ndarray, y: np.ndarray) -> Ranker:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         x = [features(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
 
-def _score(ranker: Ranker):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            x = np.array([features(t) for t in batch.column(at).cast(pa.binary()).to_pylist()])
-            score = ranker.score(x) if len(x) else np.zeros(0)
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(score, pa.float64())], names=[*(batch.schema.names[i] for i in keep), "__score"])
-
-    return f
-
-
 def train_quality(docs: DataFrame, labels: DataFrame, fit_on: Column, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
     rows = labelled(docs, labels, "quality", fit_on, FIT_DOCS, id_col, text_col).select("text", "y").mapInArrow(_features, "x array<double>, y int").collect()
     rows = sorted((tuple(r["x"]), r["y"]) for r in rows)  # the fit does not depend on the order of partitions
@@ -114,9 +102,14 @@ def score_quality(docs: DataFrame, ranker: Ranker, text_col: str = "text", score
     """docs with a column `score` (0 to 1, higher is better; 0.5 is the threshold) of each whole text.
 
     One pass without a shuffle. Null and empty texts are scored by the features of no words. Repeated rows
-    are scored alike; other columns are kept, and one that is named like `score` is replaced. An empty
-    table gives an empty table.
+    are scored alike, and so are ties: a score of just 0.5 is preferred. Other columns are kept, whatever their names, and one that
+    is named like `score` is replaced. An empty table gives an empty table.
     """
-    kept = docs.drop(score)
-    fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
-    return kept.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(_score(ranker), f"{fields}, `__score` double").withColumnRenamed("__score", score)
+
+    def make():
+        def scores(texts: pa.Array) -> np.ndarray:
+            return ranker.score(np.array([features(t) for t in texts.cast(pa.binary()).to_pylist()]))
+
+        return scores
+
+    return add_score(docs, text_col, score, make)

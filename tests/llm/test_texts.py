@@ -40,7 +40,7 @@ def test_scores_of_odd_texts(spark):
     ranker = quality.fit_ranker(np.random.default_rng(0).normal(size=(40, 13)), np.array([0, 1] * 20))
     out = quality.score_quality(df, ranker).toPandas()
     assert len(out) == 5 and out["score"].between(0, 1).all() and list(out.columns) == ["doc_id", "text", "score"]
-    model = toxicity.Model(toxicity.Lexicon({}, {"idiot": 5.0}), np.array([-5.0, 1.0, 0, 0, 0]))
+    model = toxicity.Model(toxicity.Lexicon({}, {"idiot": 5.0}), np.r_[-5.0, 1.0, np.zeros(8)])
     got = toxicity.score_toxicity(df, model).toPandas()
     assert len(got) == 5 and got["score"].nunique() == 1
     assert toxicity.score_toxicity(df.limit(0), model).count() == 0 and quality.score_quality(df.limit(0), ranker).count() == 0
@@ -52,28 +52,111 @@ def test_ranker_with_one_label_or_none():
 
 
 def test_grammar_weighs_clauses():
-    g = toxicity.Grammar(toxicity.Lexicon({"mor": 4.0}, {"idiot": 5.0}))
-    one = lambda t: sum(g.clauses(t))
-    assert one("the idiot walks") == 5.0
-    assert one("you are an idiot") == pytest.approx(7.5)
-    assert one("not an idiot") == pytest.approx(2.0)
-    assert one("he said: an idiot.") == 5.0, "a report ends with its clause"
-    assert one("mary said an idiot came") == pytest.approx(3.0)
+    g = toxicity.Grammar(toxicity.Lexicon({"mor": 4.0}, {"idiot": 2.0}))
+    hits = lambda t: [x for c in g.clauses(t) for x in c]
+    one = lambda t: sum(w for _, w in hits(t))
+    assert one("the idiot walks") == 2.0
+    assert one("you are an idiot") == one("idiot, that is you") == pytest.approx(3.0)
+    assert one("not an idiot") == pytest.approx(0.8)
+    for no in ("can't", "can\u2019t", "won't", "cannot", "aren\u2019t"):
+        assert one(f"you {no} be an idiot") == pytest.approx(2.0 * 1.5 * 0.4), no
+    for said in ("he said: you are an idiot", "you are an idiot, he said", "according to mary: you are an idiot"):
+        assert one(said) == pytest.approx(2.0 * 1.5 * 0.6), said
+    assert one("mary said so. the idiot walks") == 2.0, "a report ends with its sentence"
+    assert one("we kill the process") == 0 and hits("kill") == []
+    assert one("kill you") == pytest.approx(4.5) and one("I will kill you") == pytest.approx(6.75) and one("you will be shot") == pytest.approx(6.75)
+    assert one("I will not kill you") == pytest.approx(6.75 * 0.4)
     assert one("idiotic") == 0.0 and one("moronic morons") == 8.0 and one("xidiot") == 0.0
-    assert list(g.clauses("an idiot. a good day; idiot")) == [5.0, 5.0]
-    assert g.features(None) == g.features("") == [1.0, 0.0, 0.0, 0.0, 0.0]
+    assert [sum(w for _, w in c) for c in g.clauses("an idiot. a good day; idiot")] == [2.0, 2.0]
+    assert g.features(None) == g.features("") == [1.0] + [0.0] * 9
+
+
+def by_hand(path):
+    """The marks of each insult and threat, from the rules as the module's docstring states them."""
+    reach = toxicity.REACH
+    n = len(path)
+
+    def near(i, what, before=0, after=0):
+        return any(path[j] == what for j in range(max(0, i - before), min(n, i + after + 1)) if j != i)
+
+    def armed(b):  # an intention whose target stands before it
+        return near(b, "T", before=3) or any(path[c] == "M" and armed(c) for c in range(max(0, b - 3), b))
+
+    out = []
+    for i, s in enumerate(path):
+        if s not in "IH":
+            continue
+        marks = ""
+        if near(i, "T", after=reach["target after"]) or s == "I" and near(i, "T", before=reach["target before"]):
+            marks += "T"
+        elif s == "H" and any(path[b] == "M" and armed(b) and "T" not in path[b:i] for b in range(max(0, i - 3), i)):
+            marks += "T"
+        if s == "H" and near(i, "M", before=3):
+            marks += "M"
+        if near(i, "N", before=reach["negation"]):
+            marks += "N"
+        if near(i, "R", before=n) or near(i, "R", after=reach["report after"]):
+            marks += "R"
+        weight = float(np.prod([toxicity.FACTORS[m] for m in marks]))
+        if s == "I" or "T" in marks:
+            out.append((s + marks, weight))
+    return out
+
+
+def test_composed_grammar_equals_the_rules_on_every_path():
+    from itertools import product
+
+    g = toxicity.Grammar(toxicity.Lexicon({}, {}))
+    rng = np.random.default_rng(0)
+    paths = [p for n in range(6) for p in product("IHTMNRO", repeat=n)]
+    paths += [tuple(rng.choice(list("IHTMNROOOO"), 24)) for _ in range(3000)]
+    for path in paths:
+        got, want = g.weigh([(s, 1.0) for s in path]), by_hand(path)
+        assert [s for s, _ in got] == [s for s, _ in want] and np.allclose([w for _, w in got], [w for _, w in want]), path
 
 
 def test_composition_is_the_product_of_its_parts():
-    both = toxicity.scope("N", 2, 0.5).compose(toxicity.scope("T", 2, 2.0))
+    a, b = toxicity.scope("N", 2, "N"), toxicity.scope("T", 2, "T")
     path = [("N", 0.0), ("T", 0.0), ("I", 1.0), ("I", 1.0)]
-    assert both.total(path) == pytest.approx(0.5 * 2.0 + 1.0 * 2.0)
+    assert a.compose(b).run(path) == b.run(a.run(path)) == [("N", 0.0), ("T", 0.0), ("ITN", pytest.approx(0.6)), ("IT", pytest.approx(1.5))]
+
+
+def test_lexicon_finds_stems_and_words(spark):
+    counts = {"idiot": (50, 0), "idiot*": (50, 0), "idi*": (50, 0), "the": (60, 900), "bad*": (40, 1), "badly": (12, 0), "badge": (14, 0), "baddie": (14, 0), "rare": (3, 0), "good": (0, 5)}
+    fine = {r["pattern"]: (r["pos"], r["odds"], r["ratio"]) for r in toxicity.telling(spark.createDataFrame([(p, *n) for p, n in counts.items()], "pattern string, pos long, neg long"), 60, 900).collect()}
+    base = 60 / 960
+    for p, (a, b) in counts.items():
+        share = a / (a + b)
+        ratio = 2 * (a * np.log(share / base) + (b * np.log((1 - share) / (1 - base)) if b else 0)) if share > base else 0
+        assert (p in fine) == (ratio >= toxicity.least(8)), p  # "rare" is held too seldom to count as a try
+        assert p not in fine or fine[p][2] == pytest.approx(ratio)
+    lex = toxicity.choose([(p, *x) for p, x in fine.items()])
+    assert "idiot" in lex.words and "bad" in lex.stems and "the" not in lex.words
 
 
-def test_lexicon_finds_stems_and_words():
-    pos = {"idiot": 50, "idiot*": 50, "idi*": 50, "the": 60, "bad*": 40, "badly": 12, "badge": 14, "baddie": 14}
-    lex = toxicity.choose(pos, {"the": 900, "bad*": 1}, 60, 900)
-    assert "idiot" in lex.words and "bad" in lex.stems and "the" not in lex.words
+def test_quality_features_and_pairs_by_hand():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 13)), rng.integers(0, 2, 60)
+    x[y == 1, 0] += 2
+    ranker = quality.fit_ranker(x, y)
+    z = (x - ranker.mean) / ranker.scale
+    good, bad = z[y == 1], z[y == 0]
+    draw = np.random.default_rng(0)
+    diff = np.concatenate([good[draw.integers(0, len(good), len(bad))] - bad for _ in range(quality.PAIRS)])
+    loss = lambda w: np.log1p(np.exp(-diff @ w)).sum() + 0.0005 * len(diff) * w @ w
+    best = loss(ranker.weight)
+    assert all(loss(ranker.weight + d) >= best for d in rng.normal(scale=0.01, size=(200, 13))), "the weights are the minimum of the pairs' logistic loss"
+    errors = lambda cut: ((ranker.worth(x) >= cut) != (y == 1)).sum()
+    assert errors(ranker.cut) == min(errors(c) for c in [*ranker.worth(x), np.inf])
+
+
+def test_scores_keep_any_columns(spark):
+    df = spark.createDataFrame([(1, "plain text", "a", 1.0, 2), (2, None, "b", 2.0, 3)], "doc_id long, text string, __text string, __score double, `odd name` int")
+    ranker = quality.fit_ranker(np.random.default_rng(0).normal(size=(40, 13)), np.array([0, 1] * 20))
+    model = toxicity.Model(toxicity.Lexicon({}, {"idiot": 5.0}), np.r_[-5.0, 1.0, np.zeros(8)])
+    for out in (quality.score_quality(df, ranker), toxicity.score_toxicity(df, model)):
+        assert out.columns == [*df.columns, "score"]
+        assert [tuple(r)[:-1] for r in out.orderBy("doc_id").collect()] == [tuple(r) for r in df.orderBy("doc_id").collect()]
 
 
 # Extraction
