@@ -22,17 +22,23 @@ from isobar.llm.fitting import labelled, newton
 
 #: Bounds of the fit: labelled documents read, and pairs drawn for each rejected document.
 FIT_DOCS, PAIRS = 20_000, 20
+#: Words of a stretch, of which the least varied counts.
+STRETCH = 50
 SYMBOLS = np.array([ord(c) for c in "%*&$#@^~=+<>{}[]\\_"])
 
 
 def features(text: bytes | None) -> list[float]:
-    """What the score reads from a whole UTF-8 text; an empty or null text gives the values of no words."""
+    """What the score reads from a whole UTF-8 text: shares of kinds of characters, of repeated words, word pairs and lines, and lengths.
+
+    An empty or null text gives the values of no words.
+    """
     b = text or b""
     count = np.bincount(np.frombuffer(b, dtype=np.uint8), minlength=256)
     words = b.split()
     chars, m = max(1, len(b)), max(1, len(words))
     upper, lower = int(count[65:91].sum()), int(count[97:123].sum()) + int(count[128:].sum()) / 2
-    ends = words[-50:]
+    lines = [line for line in b.splitlines() if line.strip()]
+    variety = [len(set(part)) / len(part) for part in (words[i : i + STRETCH] for i in range(0, len(words), STRETCH)) if len(part) > 1]
     return [
         min(1.0, 10 * int(count[SYMBOLS].sum()) / chars),
         min(1.0, 3 * upper / max(1, upper + lower)),
@@ -46,7 +52,9 @@ def features(text: bytes | None) -> list[float]:
         float(np.log1p(m / (int(count[10]) + 1))) / 5,
         min(2.0, int(count[46] + count[44]) / m),
         min(1.0, 3 / m),
-        len(set(ends)) / max(1, len(ends)),
+        min(variety, default=1.0),
+        len(set(zip(words, words[1:]))) / (m - 1) if m > 1 else 1.0,
+        len(set(lines)) / max(1, len(lines)),
     ]
 
 

@@ -12,6 +12,7 @@ from isobar.llm.packing import Packer, encoder, pack
 from isobar.llm.preference import ORACLE, format_preferences
 
 DOCS = "doc_id long, text string"
+WIDTH = len(quality.features(b""))
 
 
 def held_out(i, mod, rest):
@@ -37,7 +38,7 @@ def test_classifiers_on_held_out_documents(spark, name, label, mod, rest, cut, l
 def test_scores_of_odd_texts(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "word " * 200_000, "z"), (4, "plain text here.", None), (4, "plain text here.", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    ranker = quality.fit_ranker(np.random.default_rng(0).normal(size=(40, 13)), np.array([0, 1] * 20))
+    ranker = quality.fit_ranker(np.random.default_rng(0).normal(size=(40, WIDTH)), np.array([0, 1] * 20))
     out = quality.score_quality(df, ranker).toPandas()
     assert len(out) == 5 and out["score"].between(0, 1).all() and list(out.columns) == ["doc_id", "text", "score"]
     model = toxicity.Model(toxicity.Lexicon({}, {"idiot": 5.0}), np.r_[-5.0, 1.0, np.zeros(8)])
@@ -46,9 +47,19 @@ def test_scores_of_odd_texts(spark):
     assert toxicity.score_toxicity(df.limit(0), model).count() == 0 and quality.score_quality(df.limit(0), ranker).count() == 0
 
 
+def test_quality_features_read_the_whole_text():
+    base = quality.features(b"one two three four five six " * 40)
+    assert quality.features(None) == quality.features(b"") and len(base) == WIDTH
+    varied = " ".join(f"w{i}" for i in range(400))
+    spam = " ".join(["buy"] * 50)
+    x = [quality.features(t.encode())[-3] for t in (varied, f"{varied} {spam}", f"{spam} {varied}", f"{varied} {spam} {varied}")]
+    assert x == [1.0, 0.02, 0.02, 0.02], "wherever the repetition stands"
+    assert quality.features(b"a b\na b\n\nc")[-1] == pytest.approx(2 / 3) and quality.features(b"a b a b a")[-2] == 0.5
+
+
 def test_ranker_with_one_label_or_none():
-    assert quality.fit_ranker(np.zeros((0, 13)), np.zeros(0)).score(np.zeros((1, 13)))[0] >= 0.5
-    assert quality.fit_ranker(np.ones((3, 13)), np.zeros(3)).score(np.zeros((1, 13)))[0] < 0.5
+    assert quality.fit_ranker(np.zeros((0, WIDTH)), np.zeros(0)).score(np.zeros((1, WIDTH)))[0] >= 0.5
+    assert quality.fit_ranker(np.ones((3, WIDTH)), np.zeros(3)).score(np.zeros((1, WIDTH)))[0] < 0.5
 
 
 def test_grammar_weighs_clauses():
@@ -152,7 +163,7 @@ def test_quality_features_and_pairs_by_hand():
 
 def test_scores_keep_any_columns(spark):
     df = spark.createDataFrame([(1, "plain text", "a", 1.0, 2), (2, None, "b", 2.0, 3)], "doc_id long, text string, __text string, __score double, `odd name` int")
-    ranker = quality.fit_ranker(np.random.default_rng(0).normal(size=(40, 13)), np.array([0, 1] * 20))
+    ranker = quality.fit_ranker(np.random.default_rng(0).normal(size=(40, WIDTH)), np.array([0, 1] * 20))
     model = toxicity.Model(toxicity.Lexicon({}, {"idiot": 5.0}), np.r_[-5.0, 1.0, np.zeros(8)])
     for out in (quality.score_quality(df, ranker), toxicity.score_toxicity(df, model)):
         assert out.columns == [*df.columns, "score"]
