@@ -302,25 +302,64 @@ def test_rules_and_hosts(spark):
     assert url_filter.judge_urls(df.limit(0), queries.RULES).count() == 0
 
 
-def test_segmenter_finds_the_likeliest_split():
-    s = url_filter.Segmenter({"free": 10, "bets": 10, "be": 2, "online": 10})
-    assert s.split("freebetsonline") == ["free", "bets", "online"]
+def test_viterbi_finds_the_likeliest_split():
+    counts = {"free": 10, "bets": 10, "be": 2, "online": 10}
+    cost = {w: -np.log(n / 32) for w, n in counts.items()}
+    known = lambda t: [(i, len(w), c) for w, c in cost.items() for i in range(len(t)) if t.startswith(w, i)]
+    assert url_filter.viterbi("freebetsonline", known("freebetsonline")) == ["free", "bets", "online"]
 
     def every(t):
         return [[t]] + [[t[:i], *r] for i in range(1, len(t)) for r in every(t[i:])] if t else [[]]
 
-    cost = lambda ws: sum(s.cost.get(w, s.unknown(len(w))) for w in ws)
-    for name in ("freebe", "xbets", "zzz", "beonline"):
-        assert cost(s.split(name)) == pytest.approx(min(map(cost, every(name))))
+    total = lambda ws: sum(cost.get(w, url_filter.unknown(len(w))) for w in ws)
+    for name in ("freebe", "xbets", "zzz", "beonline", "onlinexxbe"):
+        assert total(url_filter.viterbi(name, known(name))) == pytest.approx(min(map(total, every(name))))
+    long = "freebets" * 5000
+    assert url_filter.viterbi(long, known(long)) == ["free", "bets"] * 5000, "no cut within a word"
+    assert url_filter.viterbi("q" * 100_000, []) == ["q" * 100_000]
 
 
-def test_concatenated_names_are_split_at_every_table_size():
+@pytest.mark.parametrize("more", [0, 2000])
+def test_concatenated_names_are_split_at_every_table_size(spark, more):
     words = {"fresh": 50, "freshcasino": 1, "freshcasinobonus": 3, "zorbla": 5, "zorblafresh": 60, "com": 90}
-    for more in ({}, {f"q{'abcdefghij'[i // 1000 % 10]}x{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 10 % 10]}y{'abcdefghij'[i % 10]}": 4 for i in range(10_000)}):
-        model = url_filter.train({**words, **more})
-        assert model.words("freshcasino.com", "") == ["fresh", "casino", "com"]
-        assert model.words("freshcasinobonus.com", "")[:3] == ["fresh", "casino", "bonus"] and model.blocks("freshcasinobonus.com", "")
-        assert model.words("zorblafresh.com", "") == ["zorblafresh", "com"], "commoner than its parts: a word"
+    words |= {f"q{'abcdefghij'[i // 100 % 10]}x{'abcdefghij'[i // 10 % 10]}y{'abcdefghij'[i % 10]}{'klmn'[i // 1000]}": 4 for i in range(more)}
+    scratch = url_filter.Scratch(spark)
+    model = url_filter.unigrams(spark.createDataFrame([*words.items()], "word string, n long"), [*url_filter.seed_counts(url_filter.BLOCK, url_filter.ALLOW)], scratch)
+    names = spark.createDataFrame([(n,) for n in ("freshcasino", "freshcasinobonus", "zorblafresh", "com")], "name string")
+    got = {r["name"]: r["words"] for r in url_filter.segmented(names, model).collect()}
+    assert got["freshcasino"] == ["fresh", "casino"] and got["freshcasinobonus"] == ["fresh", "casino", "bonus"] and got["com"] == ["com"]
+    assert got["zorblafresh"] == ["zorblafresh"], "commoner than its parts: a word"
+
+
+def test_bayes_equals_a_plain_count(spark):
+    """Judged urls against plain dictionaries: words of hosts under the rules, each once for a host, and the seeds."""
+    import re
+    from collections import Counter
+
+    urls = [f"http://{w}.{n}.com/{p}" for n in ("aa", "bb", "cc", "dd", "ee", "ff") for w, p in (("badword", "en/1"), ("good", "xx/goodword"), ("badword", "zz/2"), ("fine", "casino/bonus/poker"))]
+    urls += ["http://h.org/badword/badword/badword", "http://h.org/" + "goodword" * 2000, None]
+    rules = [("com/en/", "block"), ("com/xx/", "allow")]
+    out = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, block="casino bonus poker", allow="news").collect()
+    seen = {"block": Counter(), "allow": Counter()}
+    for verdict, rule in (("block", "en"), ("allow", "xx")):
+        hosts = {}
+        for u in filter(None, urls):
+            host, path = re.fullmatch(r"http://([^/]*)(.*)", u).groups()
+            if host.endswith(".com") and path.startswith(f"/{rule}/"):
+                hosts.setdefault(host, set()).update(set(re.findall("[a-z]+", host + path)) - {"com", "en", "xx"})
+        for ws in hosts.values():
+            seen[verdict].update(ws)
+    for w, (b, a) in url_filter.seed_counts("casino bonus poker", "news").items():
+        seen["block"][w] += b
+        seen["allow"][w] += a
+    words = {w for c in seen.values() for w in c}
+    weight = {w: np.log((seen["block"][w] + 1) / (seen["block"].total() + len(words))) - np.log((seen["allow"][w] + 1) / (seen["allow"].total() + len(words))) for w in words}
+    for i, r in zip(urls, sorted(out, key=lambda r: r["page_id"])):
+        if r["rule"] is None:
+            ws = [w for n in re.findall("[a-z]+", r["host"] + r["path"]) for w in (["goodword"] * 2000 if len(n) > 9000 else [n])]
+            odds = np.log(url_filter.PRIOR_BLOCK / (1 - url_filter.PRIOR_BLOCK)) + sum(weight.get(w, 0.0) for w in ws)
+            assert r["verdict"] == ("block" if odds > 0 else "allow"), i
+    assert {r["verdict"] for r in out if r["rule"] is None} == {"block", "allow"}
 
 
 # Packing
