@@ -21,14 +21,14 @@ from isobar.llm.common import Scratch, small
 
 # Seed words of hosts and paths to block and to allow; parameters of judge_urls().
 BLOCK = """casino win bet bets betting free gamble gambling poker slots slot roulette jackpot lottery bingo prize winner bonus spin cheap pills pill pharma viagra cialis
-meds drugs adult porn xxx sex sexy nude cam cams escort dating hot girls ads ad adserver adware advert banner banners track tracker tracking click clicks popup spam
+meds drugs adult porn x xxx sex sexy nude cam cams escort dating hot girls ads ad adserver adware advert banner banners track tracker tracking click clicks popup spam
 farm scam phish phishing malware virus hack hacks crack cracks keygen warez torrent pirate loan loans payday credit debt fast cash money earn rich crypto replica"""
-ALLOW = """news blog wiki docs doc help support shop store about contact home article articles post posts story
+ALLOW = """news wiki docs doc help support shop store about contact home article articles post posts story
 edu gov library school university museum research science health sports weather travel food recipes music film books history art photo photos video map maps forum
 community group city town local world daily times journal press review guide learn course code data open source project tech cloud api static media
 images public archive category topic tag search profile feed rss"""
 # Words of either kind of site.
-NEUTRAL = "en fr de es it www m mobile web site page pages index html htm php asp org com net info example online user users home"
+NEUTRAL = "en fr de es it www m mobile blog web site page pages index html htm php asp org com net info example online user users home"
 #: With it, one word to block is not enough; each seed word counts as SEEN sightings.
 PRIOR_BLOCK, SEEN = 0.15, 4
 #: A word of the table itself is on so many hosts at least: one host's name is no evidence of a word.
