@@ -71,6 +71,13 @@ def _civil(y: Column, m: Column, d: Column, gregorian: bool) -> Column:
     return days - _div(y2, 100) + _div(y2, 400) if gregorian else days
 
 
+def _civil_number(y: int, m: int, d: int, gregorian: bool) -> int:
+    """_civil of a date that is known when the plan is made."""
+    y2 = y - (m <= 2)
+    days = 365 * y2 + y2 // 4 + (153 * ((m + 9) % 12) + 2) // 5 + d - 1
+    return days - y2 // 100 + y2 // 400 if gregorian else days
+
+
 #: 1970-01-01, in days from 1 March of year 0.
 EPOCH = 719468
 
@@ -104,6 +111,20 @@ def _historical(y: Column, calendar: str) -> Column:
 JULIAN_SHIFT = 2
 
 
+def day_number_of(year: int, month: int, day: int, calendar: str) -> int:
+    """day_number of a date that is known when the plan is made."""
+    calendar = canonical(calendar)
+    if calendar not in ("gregorian_y0", "noleap", "360_day") and year < 0:
+        year += 1
+    if calendar == "360_day":
+        return 360 * year + 30 * (month - 1) + day - 1
+    if calendar == "noleap":
+        return 365 * year + CUMULATIVE[month - 1] + day - 1
+    if calendar == "julian" or calendar == "standard" and (year, month, day) < tuple(CUT):
+        return _civil_number(year, month, day, False) - JULIAN_SHIFT
+    return _civil_number(year, month, day, True)
+
+
 def day_number(year: int | Column, month: int | Column, day: int | Column, calendar: str) -> Column:
     calendar = canonical(calendar)
     y, m, d = (_int(x).cast("long") for x in (year, month, day))
@@ -145,7 +166,7 @@ def date_of(days: Column, calendar: str) -> tuple[Column, Column, Column]:
 
 
 def _first_gregorian() -> Column:
-    return _civil(*(F.lit(x).cast("long") for x in CUT), True)
+    return F.lit(_civil_number(*CUT, True)).cast("long")
 
 
 def decode(offset: Column, units: str, calendar: str) -> dict[str, Column]:
@@ -157,7 +178,7 @@ def decode(offset: Column, units: str, calendar: str) -> dict[str, Column]:
     micro = F.round(offset.cast("double") * (u.seconds * 1_000_000.0)).cast("long") + u.second_of_day * 1_000_000
     days = _div(micro, 86_400_000_000)
     rest = micro - days * 86_400_000_000
-    y, m, d = date_of(days + day_number(u.year, u.month, u.day, calendar), calendar)
+    y, m, d = date_of(days + day_number_of(u.year, u.month, u.day, calendar), calendar)
     seconds = _div(rest, 1_000_000)
     return {
         "year": y.cast("int"), "month": m.cast("int"), "day": d.cast("int"), "hour": _div(seconds, 3600).cast("int"),
@@ -168,7 +189,7 @@ def decode(offset: Column, units: str, calendar: str) -> dict[str, Column]:
 def encode(year: Column, month: Column, day: Column, units: str, calendar: str, hour: Column | int = 0, minute: Column | int = 0, second: Column | float = 0) -> Column:
     """The CF offset (double) of a date and time."""
     u = parse_units(units)
-    days = day_number(year, month, day, calendar) - day_number(u.year, u.month, u.day, calendar)
+    days = day_number(year, month, day, calendar) - day_number_of(u.year, u.month, u.day, calendar)
     seconds = days * 86400 + _int(hour) * 3600 + _int(minute) * 60 + _int(second) - u.second_of_day
     return seconds.cast("double") / u.seconds
 

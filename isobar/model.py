@@ -9,9 +9,11 @@ calendar, fill value ...) are in the metadata of its field.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,3 +72,25 @@ def space_time_distribute(df: DataFrame, i_block: int, j_block: int, t_block: in
     if t_block:
         keys.append(F.floor(F.col(axes.step) / t_block))
     return df.repartition(*keys)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the one set by setCheckpointDir.
+
+    Where neither is set, a local session takes one of its own; on a cluster that is an error.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='isobar-')}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder of its own in shared_dir(), which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/isobar-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

@@ -132,9 +132,12 @@ def detect(lat: np.ndarray, lon: np.ndarray, wind: np.ndarray, vort: np.ndarray,
     lat_p = np.concatenate([lat[0] + (lat[1] - lat[0]) * np.arange(-ny, 0), lat, lat[-1] + (lat[1] - lat[0]) * np.arange(1, ny + 1)])
     windows = np.lib.stride_tricks.sliding_window_view(fields["spin"], (2 * ny + 1, 2 * nx + 1))
     high = windows.max(axis=(2, 3))
+    # of equal maxima of a window, the first in its order of rows is the one
+    row = windows[:, :, ny, :nx].max(axis=2)
+    earlier = np.maximum(row, windows[:, :, :ny].max(axis=(2, 3)))
     in_band = ((lat >= o.low_search_latitude) & (lat <= o.high_search_latitude))[:, None]
     out = []
-    for j, i in zip(*np.nonzero((spin >= high) & (spin >= o.min_vorticity) & in_band), strict=True):
+    for j, i in zip(*np.nonzero((spin >= high) & (spin > earlier) & (spin >= o.min_vorticity) & in_band), strict=True):
         box = np.s_[j : j + 2 * ny + 1, i : i + 2 * nx + 1]
         y, x = lat_p[box[0]], lon_p[box[1]]
         flip = y[0] > y[-1]
@@ -241,7 +244,7 @@ def tc_trajectory(candidates: DataFrame, max_daily_distance: float = 1600.0, min
     group. A track's duration includes the time to the next step that had candidates, as when the walk ended.
     """
     steps = candidates.select("step").distinct()
-    # one row for each step, in bounded groups of 2**20 steps that overlap by a look at the row before
+    # the windows over the steps see the time axis, a row for each step, not the candidates
     order = W.orderBy("step")
     gaps = steps.withColumn("new", F.coalesce((F.col("step") - F.lag("step").over(order) != step_interval).cast("int"), F.lit(0)))
     shards = gaps.withColumn("shard", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("new")

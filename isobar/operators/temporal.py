@@ -30,6 +30,9 @@ def register_operator(name: str, build: Callable[[str], Column]) -> None:
     OPERATORS[name] = build
 
 
+#: A time axis of at most so many steps (three longs each) may be broadcast.
+MOST_STEPS = 1_000_000
+
 Interval = Callable[[DataFrame, str, str, str, str], DataFrame]
 
 
@@ -83,11 +86,15 @@ def with_interval(df: DataFrame, interval: str, units: str, calendar: str, n_ste
         return placed.where((F.col("interval") + 1) * n_steps <= F.col("__last") - F.col("__first") + 1).drop("__first", "__last")
     if interval not in INTERVALS:
         raise ValueError(f"unknown interval {interval}")
-    out = INTERVALS[interval](df, step, time, units, calendar)
     if interval == "seasonal":
-        whole = out.groupBy("interval").agg(F.count_distinct("__month").alias("__months")).where("__months = 3").select("interval")
-        out = out.join(whole, "interval", "left_semi").drop("__month")
-    return out
+        # dates are decoded and whole seasons found on the time axis, a row for each step, not on the cells
+        steps = df.select(step, time).distinct()
+        n = steps.limit(MOST_STEPS + 1).count()
+        axis = _season(steps, step, time, units, calendar)
+        whole = axis.groupBy("interval").agg(F.count_distinct("__month").alias("__months")).where("__months = 3").select("interval")
+        axis = axis.join(whole, "interval", "left_semi").select(step, time, "interval")
+        return df.join(F.broadcast(axis) if n <= MOST_STEPS else axis, [step, time])
+    return INTERVALS[interval](df, step, time, units, calendar)
 
 
 def temporal_reduction(df: DataFrame, variables: list[str], operator: str, interval: str, units: str = "days since 1970-01-01", calendar: str = "standard", n_steps: int | None = None, cell: tuple[str, ...] = ("j", "i"), step: str = "step", time: str = "time") -> DataFrame:

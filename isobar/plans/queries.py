@@ -19,7 +19,8 @@ from isobar.functions.geometry import Polygon
 from isobar.operators import components, cyclones, pointwise, programmable, stencil, table, temporal, vertical
 from isobar.operators.potential_intensity import potential_intensity
 from isobar.plans import applications
-from isobar.sources import meshes
+from isobar.model import shared_folder
+from isobar.sources import meshes, netcdf3, shapes, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,10 +153,10 @@ def table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.join_by_position([a, b], [["key"], ["__o", "key"]]).drop("__o")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE month(o_orderdate) IN (1, 2, 3)")
+@query("SELECT o_orderkey, o_totalprice FROM orders")
 def table_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    return table.concatenate([o.where(F.month("o_orderdate") == m).select("o_orderkey", "o_totalprice") for m in (1, 2, 3)])
+    return table.concatenate([o.where(F.month("o_orderdate") == m).select("o_orderkey", "o_totalprice") for m in range(1, 13)])
 
 
 @query(f"WITH {POINTS} SELECT event_id, CAST(CASE WHEN {winding_sql('lon', 'lat', BOX)} <> 0 OR {winding_sql('lon', 'lat', TRIANGLE)} <> 0 THEN 1 ELSE 0 END AS SMALLINT) AS mask FROM points")
@@ -508,6 +509,48 @@ def spectral_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("step", "cell", r("p_low_pass", 3).alias("p_low_pass"))
 
 
+# Sources and sinks --------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS original_ids FROM customer")
+def typed_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/customer.csv"
+    tables.write_table(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.col("c_nationkey").cast("long").alias("c_nationkey")), path)
+    return tables.read_table(spark, path, index_column="c_custkey", original_ids=["c_custkey"])
+
+
+@query(f"WITH {MESH} SELECT step, j, i, time, y, x, round(v, 6) + 0.0 AS v FROM mesh WHERE step BETWEEN 10 AND 40")
+def mesh_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/mesh"
+    meshes.write_mesh(mesh(spark, sf_dir), path, "yearly", ["v", "u"], units="days since 1992-01-01", calendar="360_day", spatial=(9, 12))
+    return meshes.read_mesh(spark, path, (10, 40), ["v"]).select("step", "j", "i", "time", "y", "x", r("v").alias("v"))
+
+
+@query(f"WITH {MESH} SELECT step, j, i, time, y, x, round(v0, 6) + 0.0 AS v, round(u, 6) + 0.0 AS u FROM mesh")
+def netcdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark).removeprefix("file:").replace("///", "/")
+    m = mesh(spark, sf_dir).withColumns({"k": F.lit(0).cast("long"), "z": F.lit(0.0), "file": F.format_string("f%03d", F.floor(F.col("step") / 12))})
+    netcdf3.export(m, folder, ["v0", "u"]).collect()  # a row for each file
+    netcdf3.register(spark)
+    got = spark.read.format("netcdf3").options(path=folder, variables="v0,u", z_axis_variable="lev").load()
+    return got.select("step", "j", "i", "time", "y", "x", r("v0").alias("v"), r("u").alias("u"))
+
+
+@query(f"WITH {MESH} SELECT step, j, i, CAST(CASE WHEN {winding_sql('x', 'y', BOX)} <> 0 OR {winding_sql('x', 'y', TRIANGLE)} <> 0 THEN 1 ELSE 0 END AS TINYINT) AS mask FROM mesh")
+def shape_file_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.shape_file_mask(mesh(spark, sf_dir), [BOX, TRIANGLE]).select("step", "j", "i", "mask")
+
+
+@query(f"WITH {MESH}, f AS (SELECT *, step // 12 AS file FROM mesh) SELECT step, min(time) AS time, min(file) AS file FROM f GROUP BY step")
+def time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meshes.time_axis(mesh(spark, sf_dir).withColumn("file", F.floor(F.col("step") / 12)), "file")
+
+
+@query(f"WITH {MESH} SELECT min(step) AS min_step, max(step) AS max_step, min(time) AS min_time, max(time) AS max_time, min(j) AS min_j, max(j) AS max_j, min(i) AS min_i, max(i) AS max_i, min(y) AS min_y, max(y) AS max_y, min(x) AS min_x, max(x) AS max_x, count(DISTINCT step) AS n_steps, count(*) AS n_cells FROM mesh")
+def describe_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meshes.describe(mesh(spark, sf_dir))
+
+
 # Components and rivers ----------------------------------------------------------------------------
 
 
@@ -518,7 +561,10 @@ def reach_sql(active: str, by: str) -> str:
     own = lambda t: ", ".join(f"{t}.{c}" for c in by.split(", "))
     return (
         f"e AS (SELECT {own('a')}, a.q AS a, b.q AS b FROM {active} a JOIN {active} b ON {on} AND abs(a.j - b.j) <= 1 AND (a.i - b.i + {NI}) % {NI} IN (0, 1, {NI - 1})), "
-        f"r AS (SELECT {by}, a, b FROM e UNION SELECT {own('r')}, r.a, e.b FROM r JOIN e ON {step} AND r.b = e.a), roots AS (SELECT {by}, a AS q, min(b) AS root FROM r GROUP BY {by}, a)"
+        # the smallest cell seen goes one neighbour further in each round, until a round changes nothing
+        f"r AS (SELECT {by}, q, q AS root, 0 AS n, true AS go FROM {active} UNION ALL SELECT {by}, q, root, n, bool_or(root < old) OVER () AS go FROM "
+        f"(SELECT {own('e')}, e.a AS q, min(r.root) AS root, max(CASE WHEN e.a = e.b THEN r.root END) AS old, r.n + 1 AS n FROM r JOIN e ON {step} AND r.q = e.b WHERE r.go GROUP BY {own('e')}, e.a, r.n) z), "
+        f"roots AS (SELECT {by}, q, root FROM r WHERE n = (SELECT max(n) FROM r))"
     )
 
 

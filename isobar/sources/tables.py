@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 from isobar.model import CODE_OF, TYPE_CODES
 from isobar.operators.table import numbered
 
+#: Rows of a sheet below its header, and of a 1-D file that the driver writes.
+SHEET_ROWS, NETCDF_ROWS = 1_048_575, 10_000_000
+
 HEADER = re.compile(r'\s*"?(?P<name>(?:[^"\\]|\\.)*?)\((?P<code>\d+)\)"?\s*(?:,|$)')
 
 
@@ -61,6 +65,13 @@ def read_table(spark: SparkSession, path: str, file_format: str = "auto", index_
     return out.repartition(index_column) if index_column else out
 
 
+def _whole(df: DataFrame, most: int) -> pd.DataFrame:
+    """A small table on the driver; a larger one is an error, never cut."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: write csv or parquet")
+    return df.toPandas()
+
+
 def write_table(df: DataFrame, path: str, output_format: str = "auto") -> None:
     """csv, parquet or bin (Parquet), xlsx (needs openpyxl; small tables) or netcdf (1-D variables; small tables)."""
     kind = output_format if output_format != "auto" else {"csv": "csv", "xlsx": "xlsx", "nc": "netcdf"}.get(path.rsplit(".", 1)[-1], "parquet")
@@ -71,11 +82,11 @@ def write_table(df: DataFrame, path: str, output_format: str = "auto") -> None:
             import openpyxl  # noqa: F401
         except ImportError as e:
             raise RuntimeError("spreadsheets need openpyxl") from e
-        df.limit(1_048_575).toPandas().to_excel(path, index=False)
+        _whole(df, SHEET_ROWS).to_excel(path, index=False)
     elif kind == "netcdf":
         from isobar.sources.netcdf3 import write_file
 
-        pdf = df.toPandas()
+        pdf = _whole(df, NETCDF_ROWS)
         write_file(path, {"row": len(pdf)}, {c: (("row",), pdf[c].to_numpy(), {}) for c in pdf.columns if pdf[c].dtype.kind in "iuf"})
     else:
         df.write.mode("overwrite").parquet(path)

@@ -146,3 +146,10 @@ def test_axes(spark):
     g = co.consecutive_groups(spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "a")], "n int, k string"), "k", ["n"])
     assert [r["group"] for r in g.orderBy("n").collect()] == [0, 0, 1, 2]
     assert spark.range(1).select(co.equal(F.lit(1.0), F.lit(1.0 + 1e-7)), co.equal(F.lit(1.0), F.lit(1.1))).first()[0:2] == (True, False)
+
+
+@pytest.mark.parametrize("calendar", ["standard", "proleptic_gregorian", "gregorian_y0", "julian", "noleap", "360_day"])
+def test_day_numbers_of_known_dates_equal_those_of_columns(spark, calendar):
+    dates = [(y, m, d) for y in (1, 4, 100, 1581, 1582, 1583, 1900, 2000, 2024) for m in (1, 2, 3, 10, 12) for d in (1, 4, 15, 28)]
+    got = spark.createDataFrame(dates, "y int, m int, d int").select("y", "m", "d", cal.day_number(F.col("y"), F.col("m"), F.col("d"), calendar).alias("n")).collect()
+    assert all(r["n"] == cal.day_number_of(r["y"], r["m"], r["d"], calendar) for r in got)

@@ -408,3 +408,22 @@ def test_results_do_not_depend_on_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", held)
     assert np.array_equal(a, b, equal_nan=True)
     assert table.region_mask(m, "x", "y", [Polygon((0, 100, 100, 0), (-10, -10, 10, 10))], invert=True).agg(F.sum("mask")).first()[0] < m.count()
+
+
+def test_a_plateau_of_vorticity_is_one_candidate():
+    lat, lon = np.arange(-40.0, 41.0, 4.0), np.arange(0.0, 360.0, 4.0)
+    bump = np.exp(-((lat[:, None] - lat[10]) ** 2 + (lon[None, :] - lon[20]) ** 2) / 72)
+    o = cyclones.CandidateOptions(max_core_radius=30.0, vorticity_window=30.0, max_pressure_radius=20.0, max_core_temperature_radius=20.0, max_thickness_radius=20.0)
+    found = []
+    for cells in ([(10, 20)], [(10, 20), (10, 21), (11, 19), (11, 20)]):
+        spin = np.full((21, 90), 1e-6)
+        for c in cells:
+            spin[c] = 1e-2
+        found.append(cyclones.detect(lat, lon, 20 * bump, spin, 101500 - 3000 * bump, 250 + 10 * bump, 50 + 100 * bump, o))
+    assert len(found[0]) == len(found[1]) == 1
+
+
+def test_seasons_are_found_on_the_time_axis(spark):
+    m = grid(spark, {"v": lambda x, y, z, t: t}, nx=2, ny=2, nt=14, bounds=(0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 390.0))  # days since 2000-01-01
+    got = temporal.temporal_reduction(m, ["v"], "average", "seasonal", "days since 2000-01-01", "360_day").select("interval", "v").distinct().collect()
+    assert {r["interval"]: r["v"] for r in got} == {20001: 90.0, 20002: 180.0, 20003: 270.0, 20010: 360.0}

@@ -145,3 +145,10 @@ def test_shapefiles_and_vtk(spark, tmp_path):
         shapes.parse_shapefile(b"nope")
     text = shapes.to_vtk(m, ["f"], 0)
     assert "DIMENSIONS 5 5 1" in text and len(text.splitlines()[-1].split()) == 25
+
+
+def test_tables_are_never_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "NETCDF_ROWS", 5)
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        tables.write_table(spark.range(6), str(tmp_path / "t.nc"))
+    tables.write_table(spark.range(5), str(tmp_path / "t.nc"))
