@@ -41,7 +41,7 @@ KEY_ROWS, MOST_TABLES = 128, 64
 RECALL, WITHIN = 0.985, 0.998
 #: Bits of a whole code: the first number of them that lets at most this share of unlike pairs through, else the last.
 CODE_BITS, LET_THROUGH = (256, 512, 1024), 0.001
-BLOCK, FAMILY_BLOCK = 512, 512
+BLOCK, FAMILY_BLOCK = 256, 512
 
 
 class Rotations:
