@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on every document that its predecessor kept and returns a
 DataFrame; all but the last return the columns of documents. run() writes and rereads each stage's result
 in the shared folder.
+
+Every stage but the last keeps the columns of its documents, whatever their names, and every row that it does not reject: repeated rows
+and ids are rows of their own, a row without an id links with nothing, a null or empty text is scored as one without words, has no
+near copy and holds no tokens. Ties at a cut-off stay with the kept. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm.common import Scratch, small
+from isobar.llm.common import Scratch, fresh, small
 from isobar.llm.fitting import remainder
 from isobar.llm.mixing import mix
 from isobar.llm.ngram_jaccard import jaccard_groups
@@ -42,13 +46,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     ranker = train_quality(docs, _table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
-    return score_quality(docs, ranker, score="__quality").where("__quality >= 0.5").select(*docs.columns)
+    (score,) = fresh(docs, "__quality")
+    return score_quality(docs, ranker, score=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go."""
     model = train_toxicity(docs, _table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
-    return score_toxicity(docs, model, score="__toxic").where("__toxic < 0.3").select(*docs.columns)
+    (score,) = fresh(docs, "__toxic")
+    return score_toxicity(docs, model, score=score).where(F.col(score) < 0.3).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,5 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Trained classifiers, similarity joins and packing have no SQL; the tests hold run() against brute force.
+#: Trained classifiers, similarity joins and packing have no SQL; the tests hold run() against plain loops.
 ORACLE_SQL = None
