@@ -525,3 +525,47 @@ def test_near_duplicate_stage_leaves_one_of_each_group(spark):
     rows = [(4, base, "en", "src1", 1), (2, base, "en", "src1", 1), (9, base.replace("w30", "zz"), "en", "src2", 1), (5, "another text altogether, with other words", "en", "src1", 1), (7, None, "en", None, 0), (8, "", "en", "src1", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r[0] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [2, 5, 7, 8]
+
+
+def test_run_equals_plain_loops(spark):
+    """Each stage by a loop over rows: scores one by one, all pairs of sets, sorted prefixes; then the pieces of every document left."""
+    from test_pairs import brute_groups
+
+    from isobar.llm.fitting import remainder
+
+    sf = "/root/testdata/sf0.001"
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    docs = table("documents")
+    rows, as_table = docs.collect(), lambda rows: spark.createDataFrame(rows, docs.schema)
+    ranker = quality.train_quality(docs, table("labels"), remainder("doc_id", 3) != 1)
+    rows = [r for r in rows if ranker.score(np.array([quality.features((r["text"] or "").encode())]))[0] >= 0.5]
+    model = toxicity.train_toxicity(as_table(rows), table("labels"), remainder("doc_id", 4) != 2)
+    held = toxicity.Grammar(model.lexicon)
+    rows = [r for r in rows if model.scores([r["text"]], held)[0] < 0.3]
+    kept = {i for i, _, c in brute_groups([(r["doc_id"], r["text"]) for r in rows], 5, 80, 100) if i == c}
+    rows = [r for r in rows if r["doc_id"] in kept]
+    names = {r["source"]: r["d"] for r in as_table(rows).select("source", corpus_pipeline.domain(F.col("source")).alias("d")).distinct().collect()}
+    assert len(rows) < mixing.RANGE_ROWS  # one range of the order in each leaf
+    leaves, tokens = {}, {r["doc_id"]: -(-len(r["text"] or "") // 4) for r in rows}
+    for r in rows:
+        leaves.setdefault((names[r["source"]], r["lang"] or "(none)", r["source"] or "(none)"), []).append(r["doc_id"])
+    sums = {leaf: sum(tokens[i] for i in ids) for leaf, ids in leaves.items()}
+    take = mixing.budgets(sums, corpus_pipeline.weight, corpus_pipeline.KEEP * sum(sums.values()), 1)
+    order = {(r["e"], r["doc_id"]): r["h"] for e in (0, 1) for r in as_table(rows).select(F.lit(e).alias("e"), "doc_id", F.xxhash64(F.lit(1), F.lit(e).cast("long"), "doc_id").alias("h")).collect()}
+    want = set()
+    for leaf, ids in leaves.items():
+        full, rest = divmod(take[leaf], sums[leaf]) if sums[leaf] else (0, -1)
+        seen = 0
+        for i in sorted(ids, key=lambda i: order[full, i]):
+            seen += tokens[i]
+            if full or seen - tokens[i] / 2 <= rest:
+                want.add(i)
+    out = corpus_pipeline.run(spark, sf).toPandas()
+    assert set(out["doc_id"]) == want
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    for i, own in out.groupby("doc_id"):
+        ids, own = np.array([*reference_ids(texts[i] or ""), 0], dtype="<u4"), own.sort_values("start")
+        assert own["length"].sum() == len(ids) == own["doc_tokens"].iloc[0] and own["start"].tolist() == [0, *own["length"].cumsum()[:-1]]
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own.itertuples())
+    sizes = out.groupby("sequence_id")["length"].sum()
+    assert sizes.max() <= 1024 and (sizes < 1024).sum() <= 1
