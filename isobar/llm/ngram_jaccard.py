@@ -10,9 +10,11 @@ copies are never expanded into pairs.
   set in one of k ranges of hash values. k is one more than the most elements by which two linked sets of
   this size class can differ, so (by the pigeonhole principle) linked sets share at least one list.
   Lists of single shingles would grow with common passages; these grow mostly with sets that are alike.
-  SPARE more ranges than that are made, so that linked sets share as many more lists; then each set may leave the
-  longest of its long lists, half of the spare ones, and linked sets still meet. That rids most texts of
-  the lists that only a common passage made.
+  SPARE more ranges than that are made, so that linked sets share as many more lists. A set with few empty
+  ranges leaves all of these, whose lists would hold a share of all sets of the class: what two sets lose
+  so are ranges empty in both, no more than the few. Each set may also leave the longest of its long lists,
+  half of the spare ones that remain, and linked sets still meet. That rids most texts of the lists that
+  only a common passage made.
 * The boundary is the size at which the listed subsets cost more rows than the inverted lists, taken
   from the size histogram of all documents.
 
@@ -38,13 +40,13 @@ from pyspark.sql import functions as F
 
 from isobar.llm.common import Scratch, by_run, components, forest, mix, mix1, runs, signed, sliced, small
 
-RATIO = 1.6
+RATIO = 1.25
 #: A set is never enumerated if its subsets would be more rows than this; whatever the table, inverted lists then cost less.
 MOST_SUBSETS = 1_000_000
 #: Spare ranges, as a share of the most elements by which linked sets differ; lists of more than LONG nodes are long.
-SPARE, LONG = 0.15, 32
+SPARE, LONG = 0.25, 32
 #: The low bits of a list's hash name its size class; the last name stands for subsets.
-CLASS_BITS, SUBSETS = 63, 63
+CLASS_BITS, SUBSETS = 127, 127
 LIST_BLOCK = 256
 #: Lists of about HOT nodes or more, found by the sets of one node in EVERY, are dealt in blocks from the start.
 HOT, EVERY = 8192, 32
@@ -82,11 +84,12 @@ def size_class(n: int) -> tuple[int, int, int]:
     return c, low, high
 
 
-def ranges(top: int, num: int, den: int) -> tuple[int, int]:
-    """For sets of less than top elements: the ranges of hash values, and how many lists each set may leave."""
+def ranges(top: int, num: int, den: int) -> tuple[int, int, int]:
+    """For sets of less than top elements: the ranges of hash values, the most empty ones that a set leaves, and how many long lists it may leave."""
     most = 2 * (top - 1) * (den - num) // (den + num)
     spare = int(SPARE * most)
-    return most + 1 + spare, spare // 2
+    empty = -(-3 * spare // 5)
+    return most + 1 + spare, empty, (spare - empty) // 2
 
 
 def tagged(hashes: np.ndarray, cls: int) -> np.ndarray:
@@ -94,18 +97,20 @@ def tagged(hashes: np.ndarray, cls: int) -> np.ndarray:
 
 
 def lists_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The inverted lists of a large set, as signed hashes: those of its class, and of the next if it can link there."""
-    c, _, high = size_class(len(s))
-    _, _, after = size_class(high)
+    """The inverted lists of a large set, as signed hashes: those of its class, and of each larger one that it can link to."""
+    classes = [size_class(len(s))]
+    while den * len(s) >= num * classes[-1][2]:
+        classes.append(size_class(classes[-1][2]))
     out = []
     mixed = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(s + np.uint64(1)), dtype=np.uint64)])
-    for cls, top in [(c, high)] + ([(c + 1, after)] if den * len(s) >= num * high else []):
-        k, _ = ranges(top, num, den)
+    for cls, _, top in classes:
+        k, empty, _ = ranges(top, num, den)
         part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         at = np.searchsorted(part, np.arange(k + 1, dtype=np.uint64))
         seg = mixed[at[1:]] - mixed[at[:-1]]
         tag = mix(np.arange(k, dtype=np.uint64) + np.uint64(mix1(cls * 1_000_003 + 17)))
-        out.append(tagged(mix(seg ^ tag), cls))
+        held = at[1:] > at[:-1]
+        out.append(tagged(mix(seg ^ tag)[held | (k - held.sum() > empty)], cls))
     return np.concatenate(out)
 
 
@@ -166,7 +171,7 @@ def cost_small(n: int, num: int, den: int) -> float:
 
 def cost_large(n: int, sizes: dict[int, int], num: int, den: int) -> float:
     _, low, high = size_class(n)
-    k, _ = ranges(high, num, den)
+    k, _, _ = ranges(high, num, den)
     alike = sum(c for m, c in sizes.items() if low <= m < high)
     return k * (1 + alike * float(np.exp(-2 * n / k)))
 
@@ -409,7 +414,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     may = [0] * (CLASS_BITS + 1)
     c, high = 0, 2
     while c < SUBSETS:
-        may[c] = ranges(high, num, den)[1]
+        may[c] = ranges(high, num, den)[2]
         c, _, high = size_class(high)
     cls = F.col("key").bitwiseAND(CLASS_BITS)
     place = F.row_number().over(W.partitionBy("node", cls).orderBy(F.desc("m"), "key"))

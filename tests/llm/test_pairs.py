@@ -115,7 +115,7 @@ def test_jaccard_edge_cases(spark):
     assert [tuple(r) for r in twice] == [(1, 2, 1)] * 2
 
 
-@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (65, 100)])
 def test_linked_sets_share_enough_lists(num, den):
     rng = np.random.default_rng(1)
     for n in (9, 12, 30, 100, 700, 3000):
@@ -128,12 +128,20 @@ def test_linked_sets_share_enough_lists(num, den):
                 continue
             shared = np.intersect1d(lists_of(a, num, den), lists_of(b, num, den))
             _, _, high = size_class(max(len(a), len(b)))
-            k, leave = ranges(high, num, den)
+            _, _, leave = ranges(high, num, den)
             assert len(shared) >= 1 + 2 * leave
             if max(len(a), len(b)) <= 14:
                 assert len(np.intersect1d(subsets_of(a, num, den), subsets_of(b, num, den)))
 
 
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
+def test_empty_ranges_do_not_bring_sets_together(num, den):
+    rng = np.random.default_rng(3)
+    own = [set(lists_of(np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64)), num, den).tolist()) for _ in range(200)]
+    met = sum(bool(own[i] & own[j]) for i in range(200) for j in range(i))
+    assert met <= 199, "unlike sets share a list in at most one of a hundred pairs"
+
+
 def test_boundary_and_overlaps():
     assert boundary({}, 90, 100) == 0
     few, many = (boundary({n: c for n in range(1, 60)}, 90, 100) for c in (1000, 10**11))
