@@ -4,7 +4,12 @@ The queries are cut into blocks and the candidates into stripes; each pair of a
 is one group of one task. A group holds its query block and streams its candidates: int8 codes give the
 inner products of a tile as exact integers, the residuals of the codes bound each product's error, and
 only pairs whose upper bound reaches the query's k-th best so far are recomputed in double precision.
-Each query of a group keeps a bounded heap of k; the heaps of all stripes are merged at the end.
+Each query of a group keeps a bounded heap of k (as a sorted array); the heaps of all stripes are merged at the end.
+
+Vectors travel in the column's own type (four bytes a component of floats), and are coded where they meet. Codes
+alone would take a byte, but a dense cluster within their error bounds would then leave most of its pairs to a
+later join; beside the vectors, what a query keeps is bounded by k whatever the data. Candidates travel once for
+each QUERY_COMPONENTS components of queries.
 """
 
 from __future__ import annotations
@@ -20,10 +25,10 @@ from pyspark.sql import functions as F
 from isobar.llm.common import by_run, sliced
 from isobar.llm.vectors import matrix, usable
 
-#: Queries held by a group, candidates in one tile, and candidates that a stripe holds at least.
-QUERY_BLOCK = 4096
-TILE = 2048
-STRIPE_ROWS = 2048
+#: Components of the queries held by a group (16 MB of doubles), queries and candidates in one tile, and candidates that a stripe holds at least and at most.
+QUERY_COMPONENTS = 1 << 21
+QUERY_TILE, TILE = 2048, 2048
+STRIPE_ROWS, STRIPE_MOST = 2048, 1 << 20
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,20 +59,25 @@ class Heaps:
         self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def offer(self, ids: np.ndarray, y: np.ndarray) -> None:
-        code, scale, norm, gone = quantised(y)
-        about = (self.code @ code.T).astype(np.float64) * self.scale[:, None] * scale[None, :]
+        coded = quantised(y)
+        for at in range(0, len(self.ids), QUERY_TILE):
+            self._tile(at, ids, y, *coded)
+
+    def _tile(self, first: int, ids: np.ndarray, y: np.ndarray, code: np.ndarray, scale: np.ndarray, norm: np.ndarray, gone: np.ndarray) -> None:
+        own = np.s_[first : first + QUERY_TILE]
+        about = (self.code[own] @ code.T).astype(np.float64) * self.scale[own, None] * scale[None, :]
         # |xy - x'y'| <= |x'||y - y'| + |x - x'||y|, with |y| <= |y'| + |y - y'|, and a little for rounding
-        slack = self.norm[:, None] * gone[None, :] + self.gone[:, None] * (norm + gone)[None, :]
-        slack += 1e-12 * (self.norm + self.gone)[:, None] * (norm + gone)[None, :]
-        about[self.ids[:, None] == ids[None, :]] = -np.inf
-        floor = self.score[:, -1]
+        slack = self.norm[own, None] * gone[None, :] + self.gone[own, None] * (norm + gone)[None, :]
+        slack += 1e-12 * (self.norm + self.gone)[own, None] * (norm + gone)[None, :]
+        about[self.ids[own, None] == ids[None, :]] = -np.inf
+        floor = self.score[own, -1]
         if len(ids) > self.k:  # the k-th largest lower bound of this tile is another floor
             low = about - slack
             floor = np.maximum(floor, np.partition(low, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
         q, c = np.nonzero((about + slack >= floor[:, None]) & (about > -np.inf))
         for at in range(0, len(q), 200_000):
             here = np.s_[at : at + 200_000]
-            self._push(q[here], ids[c[here]], products(self.x[q[here]], y[c[here]]))
+            self._push(first + q[here], ids[c[here]], products(self.x[first + q[here]], y[c[here]]))
 
     def _push(self, q: np.ndarray, who: np.ndarray, score: np.ndarray) -> None:
         rows = np.unique(q)
@@ -139,12 +149,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     repeated id, each is a candidate. An empty table, or no query, gives no rows.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vec_col)
-    queries = usable(vectors.where(is_query), id_col, vec_col)
-    counted = vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    blocks = max(1, -(-counted["q"] // QUERY_BLOCK))
+    rows = usable(vectors, id_col, vec_col, as_it_is=True)
+    queries = usable(vectors.where(is_query), id_col, vec_col, as_it_is=True)
+    counted = vectors.agg(F.count("*").alias("n"), F.sum(F.when(is_query, F.greatest(F.size(vec_col), F.lit(0)))).alias("held")).first()
+    blocks = max(1, -(-(counted["held"] or 0) // QUERY_COMPONENTS))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    stripes = max(1, min(parts // blocks, counted["n"] // STRIPE_ROWS))
+    stripes = max(1, min(max(parts // blocks, -(-counted["n"] // STRIPE_MOST)), counted["n"] // STRIPE_ROWS))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))
     stripe = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(stripes))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

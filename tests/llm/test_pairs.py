@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from isobar.llm import block_matrix_knn
 from isobar.llm.block_matrix_knn import nearest
 from isobar.llm.common import components, forest, runs, Scratch
 from isobar.llm.itq_dedup import near_duplicates
@@ -195,6 +196,34 @@ def test_nearest_equals_brute_force(spark):
         assert np.allclose([s for _, _, s in sorted(found)], score[best], atol=1e-12, rtol=0)
 
 
+def test_nearest_in_blocks_and_stripes(spark, monkeypatch):
+    rows = vectors()
+    df = spark.createDataFrame(rows + BAD, VECTORS)
+    whole = nearest(df, F.col("vec_id") % 20 == 0, k=7).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(block_matrix_knn, "QUERY_COMPONENTS", 10 * 24)
+    monkeypatch.setattr(block_matrix_knn, "STRIPE_ROWS", 50)
+    monkeypatch.setattr(block_matrix_knn, "STRIPE_MOST", 100)
+    assert nearest(df, F.col("vec_id") % 20 == 0, k=7).orderBy("query_id", "rank").collect() == whole
+
+
+def test_heaps_in_tiles_of_queries(monkeypatch):
+    x = np.array([v for _, v, _ in vectors()], dtype=np.float64)
+    ids = np.arange(len(x))
+    one = block_matrix_knn.Heaps(ids[:50], x[:50], 5)
+    one.offer(ids, x)
+    monkeypatch.setattr(block_matrix_knn, "QUERY_TILE", 16)
+    tiled = block_matrix_knn.Heaps(ids[:50], x[:50], 5)
+    for at in range(0, len(x), 64):
+        tiled.offer(ids[at : at + 64], x[at : at + 64])
+    assert (one.who == tiled.who).all() and (one.score == tiled.score).all()
+
+
+def test_nearest_of_doubles_and_repeated_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.1]), (4, [1.0, 0.1]), (4, [1.0, 0.1]), (5, [0.5, 0.1])], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 4), (0, 2, 4), (0, 3, 5)]
+
+
 def test_nearest_few_rows_and_ties(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (7, [0.5, 9.0], 0), (8, [1.0], 0)], VECTORS)
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest(df, F.col("vec_id") == 0, k=20).orderBy("rank").collect()]
