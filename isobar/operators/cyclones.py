@@ -299,12 +299,12 @@ def tc_classify(tracks: DataFrame, track_id: str = "track_id", time: str = "time
         F.max("w").alias("max_surface_wind"), F.max_by("x", peak).alias("max_surface_wind_x"), F.max_by("y", peak).alias("max_surface_wind_y"), F.max_by("t", peak).alias("max_surface_wind_t"),
         F.min("p").alias("min_sea_level_pressure"), F.min_by("x", low).alias("min_sea_level_pressure_x"), F.min_by("y", low).alias("min_sea_level_pressure_y"), F.min_by("t", low).alias("min_sea_level_pressure_t"),
     )
-    px, py = F.col("start_x"), F.col("start_y")
-    return out.withColumns({
-        "region_id": geo.first_polygon(px, py, [(F.lit(i), g) for i, _, _, g in regions], F.lit(-1)),
-        "region_name": geo.first_polygon(px, py, [(F.lit(s), g) for _, s, _, g in regions], F.lit("unknown")),
-        "region_long_name": geo.first_polygon(px, py, [(F.lit(n), g) for _, _, n, g in regions], F.lit("unknown")),
-    })
+    # the polygons are walked once for each track; ids and names are then looked up
+    place = geo.first_polygon(F.col("start_x"), F.col("start_y"), [(F.lit(n), g) for n, (_, _, _, g) in enumerate(regions)], F.lit(len(regions)))
+    names = [(i, s, n) for i, s, n, _ in regions] + [(-1, "unknown", "unknown")]
+    out = out.withColumn("__place", place)
+    told = {c: F.get(F.array(*(F.lit(row[n]) for row in names)), F.col("__place")) for n, c in enumerate(("region_id", "region_name", "region_long_name"))}
+    return out.withColumns(told).drop("__place")
 
 
 # Wind radii -----------------------------------------------------------------------------

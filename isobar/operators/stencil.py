@@ -175,13 +175,17 @@ def coordinate_transform(df: DataFrame, bounds: dict[str, tuple[tuple[float, flo
 
 
 def regrid(df: DataFrame, target: DataFrame, variables: list[str], mode: str = "linear", axes: Axes = AXES) -> DataFrame:
-    """Source variables on a target mesh (columns j, i, y, x), nearest or bilinear; targets outside the source are dropped.
+    """Source variables on a target mesh (columns j, i, y, x), nearest or linear along each axis; targets outside the source are dropped.
 
+    A target that also has k and z is interpolated along z as well; else each level is regridded on its own.
     Weights are made per axis: each target value is bracketed on the source axis by a join of two tables of the
-    size of an axis. The values then come by equal keys (j, i), and one aggregate sums them.
+    size of an axis. The values then come by equal keys (j, i, k), and one aggregate sums them.
     """
-    parts = []
-    for index, coordinate in ((axes.j, axes.y), (axes.i, axes.x)):
+    parts, indices, coordinates = [], [axes.j, axes.i], [axes.y, axes.x]
+    if axes.k in target.columns and axes.z in target.columns:
+        indices.append(axes.k)
+        coordinates.append(axes.z)
+    for index, coordinate in zip(indices, coordinates, strict=True):
         src = df.select(F.col(index).alias("s"), F.col(coordinate).alias("c")).distinct()
         src = src.withColumns({"s2": F.lead("s").over(W.orderBy("c")), "c2": F.lead("c").over(W.orderBy("c")), "last": F.lead("s").over(W.orderBy("c")).isNull()})  # one axis
         tgt = target.select(F.col(index).alias("t"), F.col(coordinate).alias("v")).distinct()
@@ -193,11 +197,12 @@ def regrid(df: DataFrame, target: DataFrame, variables: list[str], mode: str = "
             both = F.array(F.struct(F.col("s").alias("s"), (1.0 - f).alias("w")), F.struct(F.coalesce("s2", "s").alias("s"), f.alias("w")))
             pairs = hit.select("t", F.explode(both).alias("p")).select("t", "p.s", "p.w").where("w > 0")
         parts.append(pairs.select(F.col("t").alias(f"__t_{index}"), F.col("s").alias(index), F.col("w").alias(f"__w_{index}")))
-    keys = [c for c in (axes.step, axes.time, axes.k, axes.z) if c in df.columns]
-    placed = df.select(*keys, axes.j, axes.i, *variables).join(F.broadcast(parts[0]), axes.j).join(F.broadcast(parts[1]), axes.i)
-    weight = F.col(f"__w_{axes.j}") * F.col(f"__w_{axes.i}")
-    out = placed.groupBy(*keys, F.col(f"__t_{axes.j}").alias(axes.j), F.col(f"__t_{axes.i}").alias(axes.i)).agg(*(F.sum(weight * F.col(v)).alias(v) for v in variables))
-    return out.join(target.select(axes.j, axes.i, axes.y, axes.x).distinct(), [axes.j, axes.i])
+    keys = [c for c in (axes.step, axes.time, axes.k, axes.z) if c in df.columns and c not in [*indices, *coordinates]]
+    placed, weight = df.select(*keys, *indices, *variables), F.lit(1.0)
+    for index, part in zip(indices, parts, strict=True):
+        placed, weight = placed.join(F.broadcast(part), index), weight * F.col(f"__w_{index}")
+    out = placed.groupBy(*keys, *(F.col(f"__t_{index}").alias(index) for index in indices)).agg(*(F.sum(weight * F.col(v)).alias(v) for v in variables))
+    return out.join(target.select(*indices, *coordinates).distinct(), indices)
 
 
 def sparse_remap(df: DataFrame, weights: DataFrame, variables: list[str], cell: str = "cell", row: str = "row", col: str = "col", weight: str = "s", mask: DataFrame | None = None) -> DataFrame:

@@ -143,6 +143,10 @@ def test_regrid_is_exact_for_bilinear_fields(spark):
     t = grid(spark, None, nx=7, ny=5, bounds=(0.3, 10.0, -4.0, 3.7)).select("j", "i", "y", "x")
     out = stencil.regrid(m, t, ["f"])
     assert out.count() == 35 and out.where(F.abs(F.col("f") - (2 * F.col("x") + 3 * F.col("y") + 1 + F.col("x") * F.col("y"))) > 1e-9).count() == 0
+    deep = grid(spark, {"f": lambda x, y, z, t: x + 2 * y + 3 * z + x * z}, nx=5, ny=4, nz=3, bounds=(0.0, 4.0, 0.0, 3.0, 0.0, 20.0))
+    levels = grid(spark, None, nx=3, ny=3, nz=4, bounds=(0.5, 4.0, 0.0, 2.5, 1.0, 20.0)).select("k", "j", "i", "z", "y", "x")
+    own = stencil.regrid(deep, levels, ["f"])
+    assert own.count() == 36 and own.where(F.abs(F.col("f") - (F.col("x") + 2 * F.col("y") + 3 * F.col("z") + F.col("x") * F.col("z"))) > 1e-9).count() == 0
     near = stencil.regrid(m, t, ["f"], "nearest").where("x = 10").select("y", "f").orderBy("y").first()
     assert near["f"] == 2 * 10 + 3 * -4 + 1 - 40
     w = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5), (1, 2, 2.0)], "row int, col int, s double")
