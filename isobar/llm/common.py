@@ -16,6 +16,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 BROADCAST_ROWS = 500_000
 #: Rows of an Arrow batch that a function takes at a time; Spark itself bounds a batch's bytes (64 MB unless set otherwise).
 BATCH_ROWS = 512
+#: Rows that a staged table's tasks send to Python at a time, at most: an executor holds a batch of each of its tasks, also as it grows.
+SENT_ROWS, SENT = 2048, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +88,12 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}-{name}"
-        df.write.parquet(path)
+        held = self.spark.conf.get(SENT)
+        self.spark.conf.set(SENT, str(min(int(held), SENT_ROWS) if int(held) > 0 else SENT_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(SENT, held)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._isobar_path = path
         return out

@@ -1,12 +1,13 @@
 """Joins, searches and duplicates against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from isobar.llm import block_matrix_knn
 from isobar.llm.block_matrix_knn import nearest
-from isobar.llm.common import components, forest, runs, Scratch
+from isobar.llm.common import SENT_ROWS, Scratch, components, forest, runs
 from isobar.llm.itq_dedup import near_duplicates
 from isobar.llm.itq_dedup import Model, packed, pairs_at
 from isobar.llm.ngram_jaccard import boundary, cost_small, jaccard_groups, lists_of, most_small, overlaps, ranges, shingles, size_class, subsets_of
@@ -232,6 +233,17 @@ def test_nearest_few_rows_and_ties(spark):
     assert nearest(df, F.col("vec_id") == 99).count() == 0
 
 
+def test_staged_tables_send_small_batches_and_leave_the_session_alone(spark):
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    got = [r["n"] for r in Scratch(spark).keep(spark.range(0, 9000, 1, 1).mapInArrow(rows, "n long"), "sizes").collect()]
+    assert sum(got) == 9000 and max(got) == SENT_ROWS and spark.conf.get(name) == before
+
+
 def test_near_duplicates_recall_and_precision(spark):
     rows = vectors(1400)
     out = {r["vec_id"]: r for r in near_duplicates(spark.createDataFrame(rows + BAD, VECTORS), 0.9).collect()}
