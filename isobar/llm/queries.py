@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import block_matrix_knn, itq_dedup, ngram_jaccard
+from isobar.llm import block_matrix_knn, collocations, itq_dedup, ngram_jaccard
 from isobar.llm.block_matrix_knn import nearest
 from isobar.llm.fitting import remainder
 from isobar.llm.html_extract import extract_pages
@@ -84,12 +84,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__level0").alias("domain"), "lang", "source", F.col("__tokens").alias("tokens"), F.col("__epoch").alias("epoch"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     "op2_preference": op2_preference,
+    "op13_collocations": op13_collocations,
     "op4_mixing": op4_mixing,
     "pipeline": pipeline,
     "op3_html_extract": op3_html_extract,
@@ -106,4 +111,5 @@ ORACLE: dict[str, str] = {
     "op6_block_matrix_knn": block_matrix_knn.ORACLE,
     "op7_ngram_jaccard": ngram_jaccard.ORACLE,
     "op10_itq_dedup": itq_dedup.ORACLE,
+    "op13_collocations": collocations.oracle(),
 }
