@@ -14,6 +14,7 @@ from isobar.llm.itq_dedup import near_duplicates
 from isobar.llm.mixing import mix
 from isobar.llm.ngram_jaccard import jaccard_groups
 from isobar.llm.packing import pack
+from isobar.llm.periodic_runs import periodic_runs
 from isobar.llm.preference import ORACLE as PREFERENCE_SQL
 from isobar.llm.preference import format_preferences
 from isobar.llm.quality import score_quality, train_quality
@@ -84,6 +85,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__level0").alias("domain"), "lang", "source", F.col("__tokens").alias("tokens"), F.col("__epoch").alias("epoch"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -94,6 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_preference": op2_preference,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_collocations": op13_collocations,
     "op4_mixing": op4_mixing,
     "pipeline": pipeline,
