@@ -33,6 +33,8 @@ NOTED = 16
 SHARE = 1 << 16
 #: Words whose stripes an aggregation task merges, about.
 TASK_WORDS = 1 << 20
+#: Groups in which a language's phrases are ranked before the last ranking.
+GROUPS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BITS = 21
 _SPACE, _END = (pa.scalar(x, pa.large_string()) for x in (" ", "\n"))
@@ -173,8 +175,11 @@ def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int =
     score = F.expr("(1000000 * a2) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
     scored = cuts.withColumn("a2", big).withColumn("score", score)
     worst = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("s")).select("lang", "phrase", "s.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = worst.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # A language's phrases are ranked in GROUPS groups first, so that its last task reads at most `top` of each.
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    group = F.pmod(F.xxhash64("phrase"), F.lit(GROUPS))
+    ranked = worst.withColumn("rank", F.row_number().over(Window.partitionBy("lang", group).orderBy(*order))).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(small(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -121,14 +121,17 @@ def plain_collocations(rows, least, covered, top):
             for k in (1, 2, 3):
                 for i in range(len(w) - k + 1):
                     f[lang, tuple(w[i : i + k])] += 1
-    out = []
+    out, longer = [], defaultdict(list)
+    for (lang, p), b in f.items():
+        if len(p) == 3 and b >= least:
+            for part in {p[:2], p[1:]}:
+                longer[lang, part].append(b)
     for lang in n:
         scored = []
         for (of, p), a in f.items():
             if of != lang or len(p) < 2 or a < least:
                 continue
-            longer = [b for (o, q), b in f.items() if o == lang and len(q) > len(p) and b >= least and p in (q[:2], q[1:])]
-            if any(100 * b >= covered * a for b in longer):
+            if any(100 * b >= covered * a for b in longer[lang, p]):
                 continue
             cuts = [(1_000_000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
             score, k = min(cuts)
@@ -144,7 +147,7 @@ def test_collocations_equal_plain_loops(spark, monkeypatch, least, covered, top,
     text = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t", ", ", ".", "\n", "! ", "  "]) for _ in range(n))
     rows = [(rng.choice(["en", "de", None, "und"]), text(rng.choice([0, 1, 3, 60]))) for _ in range(60)] + [("en", None), ("xx", ""), ("en", "x y z. " * 2000)]
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
-    batches = [b for b in df.toArrow().to_batches()]
+    batches = [b for b in df.fillna("und", ["lang"]).toArrow().to_batches()]
     monkeypatch.setattr(collocations, "WINDOW", window)
     packed = [r for b in collocations.stripes(batches, {("en", "x"): 3, ("en", "the"): 5}) for r in b.to_pylist()]
     merged, slot = Counter(), {}
