@@ -15,6 +15,7 @@ from isobar.llm.mixing import mix
 from isobar.llm.ngram_jaccard import jaccard_groups
 from isobar.llm.packing import pack
 from isobar.llm.periodic_runs import periodic_runs
+from isobar.llm.personal_data import digest, find_personal_data, train_personal_data
 from isobar.llm.preference import ORACLE as PREFERENCE_SQL
 from isobar.llm.preference import format_preferences
 from isobar.llm.quality import score_quality, train_quality
@@ -89,6 +90,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(find_personal_data(docs, train_personal_data(docs)))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -100,6 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_preference": op2_preference,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_personal_data": op12_personal_data,
     "op13_collocations": op13_collocations,
     "op4_mixing": op4_mixing,
     "pipeline": pipeline,

@@ -98,7 +98,7 @@ def test_op11_equals_plain_loops(spark, sf):
 
 
 def test_runs_of_odd_rows(spark):
-    rows = [(None, "a " * 9, 1), (0, None, 2), (1, "", 3), (2, "\t \n", 4), (3, "x y " * 8 + " z", 5), (3, "x y " * 8 + " z", 5), (4, "word\x0b" * 50_000, 6)]
+    rows = [(None, "a " * 9, 1), (0, None, 2), (1, "", 3), (2, "\t \n", 4), (3, "x y " * 8 + " z", 5), (3, "x y " * 8 + " z", 5), (4, "word\x0b" * 1_500, 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_runs int")
     key = lambda r: [(v is not None, v) for v in r]
     got = sorted((tuple(r) for r in periodic_runs.periodic_runs(df).collect()), key=key)
