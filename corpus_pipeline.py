@@ -5,7 +5,7 @@ DataFrame; all but the last return the columns of documents. run() writes and re
 in the shared folder.
 
 Every stage but the last keeps the columns of its documents, whatever their names, and every row that it does not reject: repeated rows
-and ids are rows of their own, a row without an id links with nothing, a null or empty text is scored as one without words, has no
+and ids are rows of their own, with or without an id; of equal or near texts one stays. A null or empty text is scored as one without words, has no
 near copy and holds no tokens. Ties at a cut-off stay with the kept. An empty table gives an empty table.
 """
 
@@ -58,10 +58,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles (Jaccard 0.8) the document with the smallest id stays; texts without words all stay."""
-    groups = jaccard_groups(docs, k=5, num=80, den=100)
-    gone = Scratch(spark).keep(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group linked by five-word shingles (Jaccard 0.8) one row stays, that with the smallest id (nulls last; ties: the first row); texts without words all stay.
+
+    Rows are told apart by their place in the table, not by id, so that a repeated id loses no text that stands nowhere else.
+    """
+    scratch = Scratch(spark)
+    row, own = fresh(docs, "__row", "__id")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = jaccard_groups(rows, id_col=row, k=5, num=80, den=100)
+    linked = scratch.keep(groups.where(F.col("component_id") != F.col(row)).select(row, "component_id"), "linked")
+    members = linked.unionByName(linked.select(F.col("component_id").alias(row), "component_id").distinct())
+    named = rows.select(row, F.col("doc_id").alias(own)).join(small(members), row)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col(own).isNull(), F.col(own), F.col(row))).alias("first"))
+    gone = scratch.keep(members.join(small(first.select(F.col("first")[row].alias(row))), row, "left_anti").select(row), "gone")
+    return rows.join(small(gone), row, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +90,8 @@ STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = _table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)  # nothing reads it any more; the table that was given is none of ours
     return docs
 
 

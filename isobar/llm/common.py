@@ -17,7 +17,7 @@ BROADCAST_ROWS = 500_000
 #: Rows of an Arrow batch that a function takes at a time; Spark itself bounds a batch's bytes (64 MB unless set otherwise).
 BATCH_ROWS = 512
 #: Rows that a staged table's tasks send to Python at a time, at most: an executor holds a batch of each of its tasks, also as it grows.
-SENT_ROWS, SENT = 2048, "spark.sql.execution.arrow.maxRecordsPerBatch"
+SENT_ROWS, SENT = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+
+from isobar.llm.common import fresh
 from pyspark.sql import functions as F
 
 #: Leaves are categories, planned on the driver; more of them than this is an error.
@@ -68,7 +70,7 @@ def mix(
     docs: DataFrame, levels: list[Column], weight: Callable[[tuple[str, ...]], float], share_of_tokens: float = 1.0,
     max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None,
 ) -> DataFrame:
-    """The chosen rows of docs, once for each epoch that takes them, with columns __level0.., __tokens and __epoch.
+    """The chosen rows of docs, once for each epoch that takes them, with columns __level0.., __tokens and __epoch (longer names, if docs has these).
 
     The budget is share_of_tokens of all tokens; a leaf gives at most max_epochs times its own. Tokens are
     estimated as a quarter of the characters, rounded up, unless a column is given. In an epoch's order, a
@@ -77,33 +79,32 @@ def mix(
     tokens gives nothing. Repeated rows are documents of their own. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    n_levels = len(levels)
-    names = [f"__level{i}" for i in range(n_levels)]
-    size = tokens if tokens is not None else F.ceil(F.coalesce(F.length(F.col(text_col)), F.lit(0)) / 4)
-    rows = docs.select("*", *(F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in zip(names, levels, strict=True)), size.cast("long").alias("__tokens"))
-    leaves = rows.groupBy(*names).agg(F.sum("__tokens").alias("t"), F.count("*").alias("n")).limit(MOST_LEAVES + 1).collect()
+    names = fresh(docs, *(f"__level{i}" for i in range(len(levels))))
+    size, epoch, full, rest, ranges, order, at, total, end, before, more, times = fresh(docs, *(f"__{n}" for n in "tokens epoch full rest ranges order range sum end before more times".split()))
+    held_by = tokens if tokens is not None else F.ceil(F.coalesce(F.length(F.col(text_col)), F.lit(0)) / 4)
+    rows = docs.select("*", *(F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in zip(names, levels, strict=True)), held_by.cast("long").alias(size))
+    leaves = rows.groupBy(*names).agg(F.sum(size).alias(total), F.count("*").alias(times)).limit(MOST_LEAVES + 1).collect()
     if len(leaves) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves")
-    held = {tuple(r[n] for n in names): (int(r["t"]), r["n"]) for r in leaves}
+    held = {tuple(r[n] for n in names): (int(r[total]), r[times]) for r in leaves}
     take = budgets({k: t for k, (t, _) in held.items()}, weight, share_of_tokens * sum(t for t, _ in held.values()), max_epochs)
     plan = []
     for leaf, amount in take.items():
         t, n = held[leaf]
         if t:
-            ranges = min(MOST_RANGES, 1 << max(0, (n // RANGE_ROWS).bit_length()))
-            plan.append((*leaf, amount // t, amount % t, ranges))
-    schema = ", ".join(f"`{n}` string" for n in names) + ", __full long, __rest long, __ranges long"
+            plan.append((*leaf, amount // t, amount % t, min(MOST_RANGES, 1 << max(0, (n // RANGE_ROWS).bit_length()))))
+    schema = ", ".join(f"`{n}` string" for n in names) + f", `{full}` long, `{rest}` long, `{ranges}` long"
     planned = rows.join(F.broadcast(spark.createDataFrame(plan, schema)), names)
-    order = F.xxhash64(F.lit(seed), F.col("__full"), F.col(id_col))
     # the hash, as a number from 0 to 2**32 - 1, times the ranges, over 2**32
-    placed = planned.withColumn("__order", order).withColumn("__range", F.shiftright((F.shiftrightunsigned("__order", 32)) * F.col("__ranges"), 32))
-    sums = placed.groupBy(*names, "__range", "__rest").agg(F.sum("__tokens").alias("s"))
-    before = F.coalesce(F.sum("s").over(W.partitionBy(*names).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ends = sums.withColumn("__before", before).where("__before + s > __rest").groupBy(*names).agg(F.min_by(F.struct("__range", "__before"), "__range").alias("e"))
-    ends = ends.select(*names, F.col("e.__range").alias("__end"), F.col("e.__before").alias("__before"))
+    placed = planned.withColumn(order, F.xxhash64(F.lit(seed), F.col(full), F.col(id_col))).withColumn(at, F.shiftright((F.shiftrightunsigned(order, 32)) * F.col(ranges), 32))
+    sums = placed.groupBy(*names, at, rest).agg(F.sum(size).alias(total))
+    ahead = F.coalesce(F.sum(total).over(W.partitionBy(*names).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = sums.withColumn(before, ahead).where(F.col(before) + F.col(total) > F.col(rest)).groupBy(*names).agg(F.min(F.struct(at, before)).alias(end))
+    ends = ends.select(*names, F.col(end)[at].alias(end), F.col(end)[before].alias(before))
     known = placed.join(F.broadcast(ends), names, "left")  # a row for each leaf at most
-    early = known.withColumn("__more", (F.col("__end").isNull() | (F.col("__range") < F.col("__end"))).cast("long")).where("__end is null or __range <> __end")
-    last = known.where("__range = __end").withColumn("__sum", F.sum("__tokens").over(W.partitionBy(*names).orderBy("__order", F.col(id_col), F.xxhash64(F.col(text_col))).rowsBetween(W.unboundedPreceding, 0)))
-    last = last.withColumn("__more", (F.col("__before") + F.col("__sum") - F.col("__tokens") / 2 <= F.col("__rest")).cast("long")).drop("__sum")
-    taken = early.unionByName(last).withColumn("__times", F.col("__full") + F.col("__more")).where("__times > 0")
-    return taken.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1))).select(*docs.columns, *names, "__tokens", "__epoch")
+    early = known.where(F.col(end).isNull() | (F.col(at) != F.col(end))).withColumn(more, (F.col(end).isNull() | (F.col(at) < F.col(end))).cast("long"))
+    within = W.partitionBy(*names).orderBy(order, F.col(id_col), F.xxhash64(F.col(text_col))).rowsBetween(W.unboundedPreceding, 0)
+    last = known.where(F.col(at) == F.col(end)).withColumn(total, F.sum(size).over(within))
+    last = last.withColumn(more, (F.col(before) + F.col(total) - F.col(size) / 2 <= F.col(rest)).cast("long")).drop(total)
+    taken = early.unionByName(last).withColumn(times, F.col(full) + F.col(more)).where(F.col(times) > 0)
+    return taken.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1))).select(*(F.col(f"`{c}`") for c in docs.columns), *names, size, epoch)

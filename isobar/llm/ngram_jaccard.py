@@ -407,9 +407,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_hot = hot.count()
     rows = listed(scan)
     cool = rows.join(small(hot, n_hot), "list", "left_anti") if n_hot else rows
-    first = scratch.keep(by_run(cool, "list", None, _meet(False), "key long, node long, m long"), "lists")
+    first = met_first = scratch.keep(by_run(cool, "list", None, _meet(False), "key long, node long, m long"), "lists")
+    met_long = None
     if n_hot:
-        first = first.unionByName(scratch.keep(rows.join(small(hot, n_hot), "list").select(F.col("list").alias("key"), "node", "m").distinct(), "long"))
+        met_long = scratch.keep(rows.join(small(hot, n_hot), "list").select(F.col("list").alias("key"), "node", "m").distinct(), "long")
+        first = first.unionByName(met_long)
     # Each set leaves the longest of its long lists, as many of each size class as it may.
     may = [0] * (CLASS_BITS + 1)
     c, high = 0, 2
@@ -430,6 +432,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketches = scan.where("sketch is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     maybe = by_run(met.join(sketches, "node"), "key", None, _alike(num, den), "a long, b long").distinct()
     families = scratch.keep(components(maybe, scratch).withColumnRenamed("component", "family"), "families")
+    for table in (hot, met_first, met_long):
+        scratch.drop(table)
 
     nodes = scratch.keep(scan.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min_by("told", "id").alias("told"), F.count("*").alias("copies")), "nodes")
     wanted = scratch.keep(families.join(nodes, "node").select(F.col("least").alias("id"), "told", "node"), "wanted")
@@ -451,6 +455,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = joined.join(least, "component").select("node", "component_id")
     told = nodes.join(told, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), "copies").where("copies > 1 or component_id <> least").select("node", "component_id")
     told = scratch.keep(told, "told")
+    for table in (families, nodes, wanted):
+        scratch.drop(table)
     return scan.select("id", "node", "n").join(small(told), "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

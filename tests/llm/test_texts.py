@@ -527,6 +527,72 @@ def test_near_duplicate_stage_leaves_one_of_each_group(spark):
     assert sorted(r[0] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [2, 5, 7, 8]
 
 
+def test_near_duplicate_stage_tells_rows_apart_by_place(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    schema = "doc_id long, text string, __row int, component_id string"
+    kept = lambda rows: sorted(map(tuple, corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), "").collect()), key=str)
+    assert [(r[0], r[1][0]) for r in kept([(1, a, 0, None), (5, a + " x", 1, None), (5, b, 2, "c"), (7, b + " x", 3, None)])] == [(1, "a"), (5, "b")], "the text of a repeated id stays"
+    assert len(kept([(5, a, 0, None), (5, a, 1, None), (9, a, 2, None)])) == 1, "of equal rows one stays"
+    assert [r[0] for r in kept([(None, a, 0, None), (9, a, 1, None), (None, b, 2, None), (None, b, 3, None)])] == [9, None]
+    assert kept([]) == []
+
+
+def test_mixing_stage_with_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, __tokens long, __level0 string, __full int, __rest int, __ranges int, __order int, __range int, __times int, __epoch int, __sum int, __more int"
+    rows = [(i, "word " * (i + 1), "en", f"src{i % 3}", 1, "x", *range(9)) for i in range(30)]
+    df = spark.createDataFrame(rows, schema)
+    got = corpus_pipeline.mixing(spark, df, "")
+    plain = corpus_pipeline.mixing(spark, df.select("doc_id", "text", "lang", "source"), "")
+    assert got.columns == df.columns and sorted(r[0] for r in got.collect()) == sorted(r[0] for r in plain.collect())
+    assert {tuple(r) for r in got.collect()} <= set(rows)
+
+
+def budgets_by_hand(tree, weight, budget):
+    """Budgets of a three-level tree {a: {b: {c: most}}}, poured a thousandth at a time, at each level into open siblings by weight."""
+    def most(node):
+        return sum(map(most, node.values())) if isinstance(node, dict) else node
+
+    def pour(node, path, amount):
+        if not isinstance(node, dict):
+            return {path: amount}
+        held = dict.fromkeys(node, 0.0)
+        for _ in range(1000):
+            step = amount / 1000
+            while step > 1e-9:
+                open_ = [k for k in node if held[k] < most(node[k]) - 1e-9]
+                if not open_:
+                    break
+                total = sum(weight((*path, k)) for k in open_)
+                used = 0.0
+                for k in open_:
+                    add = min(step * weight((*path, k)) / total, most(node[k]) - held[k])
+                    held[k] += add
+                    used += add
+                step -= used
+        return {p: v for k in node for p, v in pour(node[k], (*path, k), held[k]).items()}
+
+    return pour(tree, (), min(budget, most(tree)))
+
+
+def test_mix_of_three_levels_equals_pouring_by_hand(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "t" * 4 * int(rng.integers(1, 40)), *(f"{c}{rng.integers(0, n) if rng.random() < 0.5 else 0}" for c, n in (("d", 3), ("l", 2), ("s", 4)))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a string, b string, c string")
+    weight = lambda p: {"d0": 0.1, "d1": 3.0, "l1": 2.0}.get(p[-1], 1.0)
+    tree, tokens = {}, {}
+    for _, text, *path in rows:
+        tokens[tuple(path)] = tokens.get(tuple(path), 0) + len(text) // 4
+    for (a, b, c), n in tokens.items():
+        tree.setdefault(a, {}).setdefault(b, {})[c] = 2 * n
+    want = budgets_by_hand(tree, weight, 0.7 * sum(tokens.values()))
+    got = mixing.budgets(tokens, weight, 0.7 * sum(tokens.values()), 2)
+    assert all(abs(got[k] - want[k]) <= 2 for k in tokens)
+    sums = {}
+    for r in mixing.mix(df, [F.col(c) for c in "abc"], weight, 0.7, max_epochs=2, seed=3).collect():
+        sums[r["a"], r["b"], r["c"]] = sums.get((r["a"], r["b"], r["c"]), 0) + r["__tokens"]
+    assert all(abs(sums.get(k, 0) - want[k]) <= 22 for k in tokens), "a prefix ends within half a document of its budget"
+
+
 def test_run_equals_plain_loops(spark):
     """Each stage by a loop over rows: scores one by one, all pairs of sets, sorted prefixes; then the pieces of every document left."""
     from test_pairs import brute_groups
