@@ -47,7 +47,7 @@ MOST_SUBSETS = 1_000_000
 SPARE, LONG = 0.25, 32
 #: The low bits of a list's hash name its size class; the last name stands for subsets.
 CLASS_BITS, SUBSETS = 127, 127
-LIST_BLOCK = 256
+LIST_BLOCK = 1024
 #: Lists of about HOT nodes or more, found by the sets of one node in EVERY, are dealt in blocks from the start.
 HOT, EVERY = 8192, 32
 FAMILY_BLOCK, FAMILY_BLOCK_MOST, FAMILY_BLOCKS = 64, 1024, 24
