@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isobar.functions import geometry as geo
-from isobar.model import AXES, Axes
+from isobar.model import AXES, Axes, shared_folder
+from isobar.operators.graph import components
 
 # Candidates -----------------------------------------------------------------
 
@@ -190,14 +191,22 @@ def tc_candidates(df: DataFrame, wind: str = "surface_wind", vorticity: str = "8
 
 
 def link(t: pd.DataFrame, max_daily_distance: float, min_wind: float, min_duration: float, interval: int) -> pd.DataFrame:
-    """Greedy tracks over candidates in row order: each start takes the nearest free candidate of the next step until none is near enough."""
+    """Greedy tracks over candidates in row order: each start takes the nearest free candidate of the next step until none is near enough.
+
+    The step that follows each row's and its time are read from next_step and next_time (missing: there is none), or else are the next in t.
+    """
     t = t.reset_index(drop=True)
     step, time = t["step"].to_numpy(), t["time"].to_numpy()
     lon, lat = np.radians(t["lon"].to_numpy()), np.radians(t["lat"].to_numpy())
     strong = ((t["surface_wind"] >= min_wind) & (t["have_core_temp"] != 0) & (t["have_thickness"] != 0)).to_numpy()
     starts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(t) else np.zeros(0, int)
-    ends = np.r_[starts[1:], len(t)]
-    group = np.searchsorted(starts, np.arange(len(t)), side="right") - 1
+    where = {int(step[a]): (a, b) for a, b in zip(starts, np.r_[starts[1:], len(t)], strict=True)}
+    if "next_step" in t:
+        then, then_time = t["next_step"].to_numpy(float, na_value=np.nan), t["next_time"].to_numpy(float, na_value=np.nan)
+        t = t.drop(columns=["next_step", "next_time"])
+    else:
+        after = np.searchsorted(starts, np.arange(len(t)), side="right")
+        then, then_time = (np.r_[x[starts].astype(float), np.nan][after] for x in (step, time))
     free = np.ones(len(t), dtype=bool)
     parts, track_id = [], 0
     for first in range(len(t)):
@@ -205,14 +214,15 @@ def link(t: pd.DataFrame, max_daily_distance: float, min_wind: float, min_durati
             continue
         free[first] = False
         track, speed, duration, windy = [first], [0.0], 0.0, 0.0
-        for g in range(group[first] + 1, len(starts)):
-            tip, a, b = track[-1], starts[g], ends[g]
-            dt = time[a] - time[tip]
+        while not np.isnan(then[track[-1]]):
+            tip = track[-1]
+            dt = then_time[tip] - time[tip]
             duration += dt
-            if step[a] - step[tip] != interval:
+            if then[tip] - step[tip] != interval:
                 break
             if strong[tip]:
                 windy += dt
+            a, b = where.get(int(then[tip]), (0, 0))
             near = a + np.flatnonzero(free[a:b])
             dist = geo.MEAN_KM * np.hypot((lon[near] - lon[tip]) * np.cos(lat[tip]), lat[near] - lat[tip])
             fine = dist <= max_daily_distance * dt
@@ -234,41 +244,77 @@ def link(t: pd.DataFrame, max_daily_distance: float, min_wind: float, min_durati
 
 
 TRACK_COLUMNS = ["track_id", "storm_id", "step", "time", "lon", "lat", "duration", "wind_duration", "surface_wind", "850mb_vorticity", "sea_level_pressure", "have_core_temp", "have_thickness", "core_temp", "thickness", "storm_speed"]
-TRACK_DDL = "shard long, track_id long, storm_id int, step long, time double, lon double, lat double, duration double, wind_duration double, surface_wind double, `850mb_vorticity` double, sea_level_pressure double, have_core_temp int, have_thickness int, core_temp double, thickness double, storm_speed double"
+TRACK_DDL = "bucket long, track_id long, storm_id int, step long, time double, lon double, lat double, duration double, wind_duration double, surface_wind double, `850mb_vorticity` double, sea_level_pressure double, have_core_temp int, have_thickness int, core_temp double, thickness double, storm_speed double"
+#: Links between near candidates that are made for each candidate at most; where there would be more, series are cut at gaps only.
+MOST_NEAR = 32
+
+
+def _near(candidates: DataFrame, axis: DataFrame, reach: float, interval: int, counts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sides of an equal-keys join that pairs each candidate with those of the next step within its reach: (tips, others), keys __s, __y, __x.
+
+    Cells are as wide as the reach of a step; a tip looks into three rows of cells, and there as far as its reach in longitude.
+    """
+    lat, lon = F.radians("lat"), F.radians("lon")
+    # a step's cells are those of its predecessor's reach
+    own = axis.where(F.col("next_step") - F.col("step") == interval).withColumn("__h", F.lit(reach / geo.MEAN_KM) * (F.col("next_time") - F.col("first_time"))).where("__h > 0")
+    cell = lambda c: F.floor(c / F.col("__h"))
+    tips = candidates.join(F.broadcast(own.select("step", "__h", F.col("next_time").alias("__then"), F.col("next_step").alias("__s"))), "step")
+    tips = tips.withColumns({"__row": cell(lat), "__far": F.abs(lat), "__low": lon, "__high": lon})
+    others = candidates.join(F.broadcast(own.select(F.col("next_step").alias("step"), "__h")), "step").select(F.col("step").alias("__s"), cell(lat).alias("__y"), cell(lon).alias("__x"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("storm_id").alias("__storm"))
+    if counts:  # by cell: as wide as its tips together
+        tips = tips.groupBy("__s", "__h", "__row", cell(lon).alias("__col")).agg(F.count("*").alias("n"), F.max("__far").alias("__far"), F.min("__low").alias("__low"), F.max("__high").alias("__high"))
+        others = others.groupBy("__s", "__y", "__x").agg(F.count("*").alias("m"))
+    wide, most = F.col("__h") / F.greatest(F.cos("__far"), F.lit(1e-6)), F.lit(4 * np.pi)
+    tips = tips.withColumn("__y", F.explode(F.sequence(F.col("__row") - 1, F.col("__row") + 1)))
+    return tips.withColumn("__x", F.explode(F.sequence(cell(F.greatest(F.col("__low") - wide, -most)), cell(F.least(F.col("__high") + wide, most))))), others
 
 
 def tc_trajectory(candidates: DataFrame, max_daily_distance: float = 1600.0, min_wind_speed: float = 17.0, min_wind_duration: float = 2.0, step_interval: int = 1) -> DataFrame:
-    """Tracks of candidates; track ids number the kept tracks in order of their start.
+    """Tracks of candidates; track ids number the kept tracks in order of their start. A storm_id is taken to be unique within its step.
 
-    The linking is sequential, but no track crosses a gap of steps: the candidates are sharded there, and each shard is a
-    group. A track's duration includes the time to the next step that had candidates, as when the walk ended.
+    The linking is sequential, but a greedy track only ever sees candidates near its tip. So the candidates of adjacent steps that are
+    near each other are linked (an equal-keys join on step and cells), and connected components of these links cannot touch: any
+    union of whole components linked on its own gives the tracks of the whole. Components are dealt in buckets by hash. Where candidates are so dense
+    that there would be more than MOST_NEAR links for each (counted by cell beforehand), the whole would be one component anyway, and series are
+    cut only where steps are missing. A track's duration includes the time to the next step that had candidates, as when the walk ended.
     """
-    steps = candidates.select("step").distinct()
+    spark = candidates.sparkSession
     # the windows over the steps see the time axis, a row for each step, not the candidates
     order = W.orderBy("step")
-    gaps = steps.withColumn("new", F.coalesce((F.col("step") - F.lag("step").over(order) != step_interval).cast("int"), F.lit(0)))
-    shards = gaps.withColumn("shard", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("new")
-    dealt = candidates.join(shards, "step")
-    # the step after a gap ends the walk but counts for the duration: it belongs to the shard before as well, marked
-    first_after = candidates.join(shards.groupBy("shard").agg(F.min("step").alias("step")), "step").withColumn("shard", F.col("shard") - 1).where("shard >= 0").withColumn("__after", F.lit(True))
-    dealt = dealt.withColumn("__after", F.lit(False)).unionByName(first_after)
+    steps = candidates.groupBy("step").agg(F.min_by("time", "storm_id").alias("at"), F.min("time").alias("first_time"))
+    axis = steps.select("step", "first_time", F.lead("step").over(order).alias("next_step"), F.lead("at").over(order).alias("next_time"), (F.col("step") - F.lag("step").over(order) != step_interval).alias("new"))
+    axis = axis.withColumn("shard", F.sum(F.coalesce(F.col("new").cast("int"), F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0)).cast("long"))
+    cells = ["__s", "__y", "__x"]
+    tips, others = _near(candidates, axis, max_daily_distance, step_interval, counts=True)
+    pairs = tips.join(others, cells).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    tips, others = _near(candidates, axis, max_daily_distance, step_interval)
+    rows = candidates.join(F.broadcast(axis.select("step", "next_step", "next_time", "shard")), "step")
+    node = F.xxhash64("step", "storm_id")  # nodes of one hash are linked together, which changes nothing
+    if pairs <= MOST_NEAR * candidates.count():
+        dx, dy = (F.radians("__lon") - F.radians("lon")) * F.cos(F.radians("lat")), F.radians("__lat") - F.radians("lat")
+        near = geo.MEAN_KM * F.sqrt(dx * dx + dy * dy) <= max_daily_distance * (F.col("__then") - F.col("time")) * (1 + 1e-9)
+        links = tips.join(others, cells).where(near).select(node.alias("a"), F.xxhash64("__s", "__storm").alias("b"))
+        held = components(links.distinct())
+        rows = rows.withColumn("node", node).join(held, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("node", "component", "shard")
+        parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(parts))).drop("group")
+    else:
+        rows = rows.withColumnRenamed("shard", "bucket")
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["step", "storm_id"], kind="stable")
-        shard = int(t["shard"].iloc[0])
-        real = int((~t["__after"]).sum())
-        out = link(t.drop(columns=["shard", "__after"]), max_daily_distance, min_wind_speed, min_wind_duration, step_interval)
-        if real < len(t):  # tracks that start in the look-ahead belong to the next shard
-            after = set(t.loc[t["__after"], "storm_id"])
-            gone = out.groupby("track_id")["storm_id"].transform("first").isin(after)
-            out = out[~gone]
-        return out.assign(shard=shard)[["shard", *TRACK_COLUMNS]]
-
-    tracks = dealt.groupBy("shard").applyInPandas(one, TRACK_DDL)
-    held = tracks.groupBy("shard").agg(F.count_distinct("track_id").alias("n"))
-    before = held.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row for each shard
-    rank = F.dense_rank().over(W.partitionBy("shard").orderBy("track_id")) - 1
-    return tracks.withColumn("track_id", rank).join(before, "shard").withColumn("track_id", (F.col("track_id") + F.col("before")).cast("long")).select(*TRACK_COLUMNS)
+        bucket = int(t["bucket"].iloc[0])
+        return link(t.drop(columns="bucket"), max_daily_distance, min_wind_speed, min_wind_duration, step_interval).assign(bucket=bucket)[["bucket", *TRACK_COLUMNS]]
+
+    held = shared_folder(spark)
+    rows.groupBy("bucket").applyInPandas(one, TRACK_DDL).write.parquet(f"{held}/tracks")  # read twice below
+    tracks = spark.read.schema(TRACK_DDL).parquet(f"{held}/tracks")
+    # Numbers by start: the tracks that start at earlier steps (a row for each step), then those of the same step.
+    own = tracks.groupBy("bucket", "track_id").agg(F.min(F.struct("step", "storm_id")).alias("start")).select("bucket", "track_id", F.col("start.step").alias("__step"), F.col("start.storm_id").alias("__storm"))
+    before = own.groupBy("__step").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("__step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    number = F.row_number().over(W.partitionBy("__step").orderBy("__storm", "bucket", "track_id")) - 1 + F.col("before")
+    numbered = own.join(F.broadcast(before.select("__step", "before")), "__step").select("bucket", "track_id", number.cast("long").alias("number"))
+    return tracks.join(numbered, ["bucket", "track_id"]).withColumn("track_id", F.col("number")).select(*TRACK_COLUMNS)
 
 
 # Classification --------------------------------------------------------------------

@@ -174,12 +174,15 @@ def coordinate_transform(df: DataFrame, bounds: dict[str, tuple[tuple[float, flo
     return out.withColumnsRenamed(names or {})
 
 
-def regrid(df: DataFrame, target: DataFrame, variables: list[str], mode: str = "linear", axes: Axes = AXES) -> DataFrame:
+def regrid(df: DataFrame, target: DataFrame, variables: list[str], mode: str = "linear", axes: Axes = AXES, missing: str = "null") -> DataFrame:
     """Source variables on a target mesh (columns j, i, y, x), nearest or linear along each axis; targets outside the source are dropped.
 
     A target that also has k and z is interpolated along z as well; else each level is regridded on its own.
     Weights are made per axis: each target value is bracketed on the source axis by a join of two tables of the
     size of an axis. The values then come by equal keys (j, i, k), and one aggregate sums them.
+
+    A target that needs a missing value (NULL, or a cell without a row) is missing; with missing="renormalise" the values that
+    are there are weighed among themselves, and only a target without any is missing.
     """
     parts, indices, coordinates = [], [axes.j, axes.i], [axes.y, axes.x]
     if axes.k in target.columns and axes.z in target.columns:
@@ -201,14 +204,28 @@ def regrid(df: DataFrame, target: DataFrame, variables: list[str], mode: str = "
     placed, weight = df.select(*keys, *indices, *variables), F.lit(1.0)
     for index, part in zip(indices, parts, strict=True):
         placed, weight = placed.join(F.broadcast(part), index), weight * F.col(f"__w_{index}")
-    out = placed.groupBy(*keys, *(F.col(f"__t_{index}").alias(index) for index in indices)).agg(*(F.sum(weight * F.col(v)).alias(v) for v in variables))
+    out = placed.groupBy(*keys, *(F.col(f"__t_{index}").alias(index) for index in indices)).agg(*(_weighed(v, weight, missing, F.lit(1.0)) for v in variables))
     return out.join(target.select(*indices, *coordinates).distinct(), indices)
 
 
-def sparse_remap(df: DataFrame, weights: DataFrame, variables: list[str], cell: str = "cell", row: str = "row", col: str = "col", weight: str = "s", mask: DataFrame | None = None) -> DataFrame:
-    """target[row] = sum of weight * source[col] for each step; rows masked out (mask: row, valid) are missing."""
-    joined = df.join(weights.select(F.col(col).alias(cell), row, weight), cell)
-    out = joined.groupBy("step", row).agg(*(F.sum(F.col(weight) * F.col(v)).alias(v) for v in variables))
+def _weighed(v: str, weight: Column, missing: str, whole: Column) -> Column:
+    """The sum of weight * v; if weights of missing values lack from the whole, NULL, or what is there carries the whole."""
+    if missing not in ("null", "renormalise"):
+        raise ValueError(f"missing: {missing}")
+    total, there = F.sum(weight * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.abs(weight)))
+    full = there >= whole * (1 - 1e-9)
+    return F.when(full, total).otherwise(total * whole / there if missing == "renormalise" else F.lit(None)).alias(v)
+
+
+def sparse_remap(
+    df: DataFrame, weights: DataFrame, variables: list[str], cell: str = "cell", row: str = "row", col: str = "col", weight: str = "s", mask: DataFrame | None = None, missing: str = "null"
+) -> DataFrame:
+    """target[row] = sum of weight * source[col] for each step; rows masked out (mask: row, valid) are missing.
+
+    A row that needs a NULL (by a weight other than 0) is missing; with missing="renormalise" the other weights of the row carry its whole weight.
+    """
+    joined = df.join(weights.where(F.col(weight) != 0).select(F.col(col).alias(cell), row, weight), cell)
+    out = joined.groupBy("step", row).agg(*(_weighed(v, F.col(weight), missing, F.sum(F.abs(weight))) for v in variables))
     if mask is not None:
         out = out.join(mask.select(row, "valid"), row, "left").withColumns({v: F.when(F.col("valid") != 0, F.col(v)) for v in variables}).drop("valid")
     return out

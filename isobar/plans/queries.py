@@ -375,6 +375,33 @@ def regrid_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.regrid(mesh(spark, sf_dir), _target(spark), ["v"], "nearest").select("step", "j", "i", "v")
 
 
+#: Cells without a value, for the queries on missing values.
+HOLES = "(step * 5 + j * 3 + i) % 11 = 0"
+PART = "sum(w) FILTER (v IS NOT NULL)"
+
+
+@query(
+    f"WITH {MESH}, {TARGET}, p AS (SELECT m.step, pj.j, pi.i, CASE WHEN {HOLES.replace('step', 'm.step').replace('j *', 'm.j *').replace('+ i', '+ m.i')} THEN NULL ELSE m.v END AS v, (CASE WHEN m.j = pj.j0 THEN 1 - pj.f ELSE pj.f END) * (CASE WHEN m.i = pi.i0 THEN 1 - pi.g ELSE pi.g END) AS w "
+    f"FROM mesh m JOIN pj ON m.j = pj.j0 OR m.j = pj.j0 + 1 JOIN pi ON m.i = pi.i0 OR m.i = pi.i0 + 1) SELECT step, j, i, round(CASE WHEN bool_and(v IS NOT NULL) THEN sum(v * w) END, 5) + 0.0 AS v, round(sum(v * w) / {PART}, 5) + 0.0 AS part FROM p WHERE w > 0 GROUP BY 1, 2, 3"
+)
+def regrid_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mesh(spark, sf_dir).withColumn("v", F.when(~F.expr(HOLES), F.col("v")))
+    whole = stencil.regrid(m, _target(spark), ["v"]).select("step", "j", "i", "v")
+    part = stencil.regrid(m, _target(spark), ["v"], missing="renormalise").select("step", "j", "i", F.col("v").alias("part"))
+    return rounded(whole.join(part, ["step", "j", "i"]), ["v", "part"], 5)
+
+
+@query(
+    f"WITH {MESH}, c AS (SELECT step, j * {NI} + i AS cell, CASE WHEN {HOLES} THEN NULL ELSE v END AS v FROM mesh), w AS (SELECT range AS col, range % 200 AS row, (range % 7) / 10.0::DOUBLE AS w FROM range({NJ * NI})) "
+    f"SELECT step, row, round(CASE WHEN bool_and(v IS NOT NULL) THEN sum(w * v) END, 5) + 0.0 AS v, round(sum(w * v) * sum(w) / {PART}, 5) + 0.0 AS part FROM c JOIN w ON c.cell = w.col WHERE w > 0 GROUP BY 1, 2"
+)
+def sparse_remap_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mesh(spark, sf_dir).select("step", (F.col("j") * NI + F.col("i")).alias("cell"), F.when(~F.expr(HOLES), F.col("v")).alias("v"))
+    w = spark.range(NJ * NI).select(F.col("id").alias("col"), (F.col("id") % 200).alias("row"), ((F.col("id") % 7) / 10.0).alias("s"))
+    part = stencil.sparse_remap(m, w, ["v"], missing="renormalise").withColumnRenamed("v", "part")
+    return rounded(stencil.sparse_remap(m, w, ["v"]).join(part, ["step", "row"]), ["v", "part"], 5)
+
+
 @query(f"WITH {MESH}, c AS (SELECT step, j * {NI} + i AS cell, v FROM mesh), w AS (SELECT range AS col, range % 50 AS row, (range % 7 + 1) / 10.0::DOUBLE AS s FROM range({NJ * NI})) SELECT step, row, round(sum(s * v), 5) + 0.0 AS v FROM c JOIN w ON c.cell = w.col GROUP BY 1, 2")
 def sparse_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mesh(spark, sf_dir).select("step", (F.col("j") * NI + F.col("i")).alias("cell"), "v")
@@ -688,14 +715,23 @@ def tc_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cyclones.tc_candidates(m, wind="u", options=o)
 
 
-@query()
-def tc_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _storms(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    c = p.select(
+    return p.select(
         F.floor(F.col("t") * 4).cast("long").alias("step"), (F.floor(F.col("t") * 4) / 4.0).alias("time"), F.col("event_id").cast("int").alias("storm_id"), "lon", "lat", (F.col("value") / 3).alias("surface_wind"), F.lit(2e-4).alias("850mb_vorticity"),
         F.lit(99000.0).alias("sea_level_pressure"), F.lit(1).alias("have_core_temp"), F.lit(1).alias("have_thickness"), F.lit(1.0).alias("core_temp"), F.lit(50.0).alias("thickness"),
     )
-    return cyclones.tc_trajectory(c, max_daily_distance=20000.0, min_wind_duration=0.5)
+
+
+@query()
+def tc_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cyclones.tc_trajectory(_storms(spark, sf_dir), max_daily_distance=20000.0, min_wind_duration=0.5)
+
+
+@query()
+def tc_trajectory_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links short enough for the candidates to fall into components."""
+    return cyclones.tc_trajectory(_storms(spark, sf_dir), max_daily_distance=1600.0, min_wind_duration=0.5)
 
 
 # Functions of dates and runs -----------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from isobar.functions.geometry import EQUATOR_KM, MEAN_M, Polygon
 from isobar.model import attributes, block_distribute, space_time_distribute, with_attributes
 from isobar.operators import components as comp
-from isobar.operators import cyclones, pointwise, programmable, stencil, table, temporal, vertical
+from isobar.operators import cyclones, graph, pointwise, programmable, stencil, table, temporal, vertical
 from isobar.operators.potential_intensity import EPS, RD, cape, potential_intensity_of, saturation_pressure
 from isobar.sources import meshes
 
@@ -298,6 +298,45 @@ def test_trajectories(spark):
     assert cyclones.tc_trajectory(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 32])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trajectories_equal_one_walk_over_the_whole_series(spark, monkeypatch, most, seed):
+    """By components of near candidates (most 32) and by series without gaps (most 0), against the walk over all rows."""
+    monkeypatch.setattr(cyclones, "MOST_NEAR", most)
+    rng = np.random.default_rng(seed)
+    points = []
+    for s in [*range(60), *range(63, 90), 95]:
+        n = int(rng.integers(0, 9))
+        points += [(s, k, round(float(rng.uniform(0, 60)), 1), round(float(rng.choice([rng.uniform(-40, 40), 80.0])), 1), float(rng.uniform(10, 40))) for k in range(n)]
+    df = spark.createDataFrame(candidates(points), CANDIDATES).withColumn("time", F.col("time") + F.col("storm_id") / 100)
+    args = (2400.0, 17.0, 0.3, 1)
+    want = cyclones.link(df.orderBy("step", "storm_id").toPandas(), *args)
+    got = cyclones.tc_trajectory(df, *args).toPandas().sort_values(["track_id", "step"]).reset_index(drop=True)
+    want = want.sort_values(["track_id", "step"])[list(got.columns)].reset_index(drop=True)
+    assert want["track_id"].nunique() > 20
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_trajectories_of_a_year_without_a_gap(spark):
+    """1460 steps in one series: chains of near candidates, dealt in many groups."""
+    rows = [(s, n, (40 * n + s * 0.4) % 360, 10.0, 30.0) for s in range(1460) for n in range(8) if (s // 50 + n) % 3]
+    df = spark.createDataFrame(candidates(rows), CANDIDATES)
+    want = cyclones.link(df.orderBy("step", "storm_id").toPandas(), 1600.0, 17.0, 2.0, 1)
+    got = cyclones.tc_trajectory(df).toPandas()
+    assert want["track_id"].nunique() > 50
+    key = lambda t: sorted(zip(t["track_id"], t["step"], t["storm_id"]))
+    assert key(got) == key(want)
+
+
+def test_components_of_links(spark):
+    rng = np.random.default_rng(3)
+    chain = [(i, i + 1) for i in rng.permutation(300).tolist()]
+    links = [*chain, (1000, 2000), (2000, 1000), (3000, 3000), (None, 1), (1500, 1000), *((5000, 5000 + i) for i in range(1, 50))]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(301)) and got[1500] == got[2000] == 1000 and 3000 not in got and all(got[5000 + i] == 5000 for i in range(50))
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_ties_take_the_later_storm():
     rows = candidates([(0, 0, 100, 0, 30), (1, 1, 101, 0, 30), (1, 2, 99, 0, 30)])
     t = pd.DataFrame(rows, columns=[c.split()[0].strip("`") for c in CANDIDATES.split(", ")])

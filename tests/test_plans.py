@@ -2,6 +2,8 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ def duck(sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in "orders lineitem events part".split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for file in sorted(os.listdir(sf)):
+        con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{file}'")
     return con
 
 
