@@ -9,7 +9,7 @@ from __future__ import annotations
 import glob
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from io import BytesIO
 from typing import BinaryIO
@@ -127,23 +127,77 @@ def native(a: np.ndarray) -> np.ndarray:
     return a.astype(a.dtype.newbyteorder("="))
 
 
-def cells(f: BinaryIO, h: File, variables: list[str], t: str, z: str | None, y: str, x: str, first_step: int, steps: range, t_values: list[float] | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows of a mesh, a batch for each step. Fill values become null."""
+def read_rows(f: BinaryIO, h: File, v: Variable, record: int | None, levels: Sequence[int], low: int, high: int) -> np.ndarray:
+    """Rows low to high of some levels of a variable over (y, x) or (z, y, x), of one index of the dimension before these if `record` is given.
+
+    Reads the bytes of these rows and no others.
+    """
+    dims = shape(h, v)[0 if record is None else 1 :]
+    size, width = np.dtype(v.kind).itemsize, dims[-1]
+    start = v.begin + (0 if record is None else record * (h.record_size if v.record else int(np.prod(dims, dtype=np.int64)) * size))
+    out = []
+    for k in levels:
+        f.seek(start + (k * dims[-2] + low) * width * size)
+        out.append(np.frombuffer(f.read((high - low) * width * size), dtype=v.kind).reshape(high - low, width))
+    return np.stack(out)
+
+
+TESTS = {"=": np.equal, ">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal}
+COORDINATES = ("step", "time", "z", "y", "x")
+
+
+def bounds(text: str) -> list[tuple[str, str, float]]:
+    """Tests (coordinate, sign, number) of a text like `y >= -30; y < 30; step > 10`."""
+    out = []
+    for part in filter(None, map(str.strip, text.split(";"))):
+        m = re.fullmatch(r"(\w+)\s*(<=|>=|<|>|=)\s*([-+.\deE]+)", part)
+        if not m or m[1] not in COORDINATES:
+            raise ValueError(f"bounds: {part!r}")
+        out.append((m[1], m[2], float(m[3])))
+    return out
+
+
+def admitted(tests: Sequence[tuple[str, str, float]], column: str, values: np.ndarray) -> np.ndarray:
+    """Which values of an axis or of the steps pass the tests (column, sign, number) on it."""
+    out = np.ones(len(values), dtype=bool)
+    for name, test, value in tests:
+        if name == column:
+            out &= TESTS[test](values, value)
+    return out
+
+
+def cells(
+    f: BinaryIO, h: File, variables: list[str], t: str, z: str | None, y: str, x: str, first_step: int, steps: range, t_values: list[float] | None = None, tests: Sequence[tuple[str, str, float]] = ()
+) -> Iterator[pa.RecordBatch]:
+    """Rows of a mesh, a batch for each step. Fill values become null. Steps, levels and rows that the tests exclude are not read."""
     axis = lambda n: native(read_slab(f, h, h.variables[n])).astype(float) if n and n in h.variables else np.zeros(1)
     xs, ys, zs = axis(x), axis(y), axis(z) if z else np.zeros(1)
     times = np.array(t_values, dtype=float) if t_values else axis(t)
+    ks, js, own_i = (np.flatnonzero(admitted(tests, c, values)) for c, values in (("z", zs), ("y", ys), ("x", xs)))
+    if not (len(ks) and len(js) and len(own_i)):
+        return
+    k, j, i = (a.ravel() for a in np.meshgrid(ks, js, own_i, indexing="ij"))
+    low, high = int(js[0]), int(js[-1]) + 1
     for s in steps:
-        k, j, i = (a.ravel() for a in np.meshgrid(np.arange(len(zs)), np.arange(len(ys)), np.arange(len(xs)), indexing="ij"))
+        time = times[s] if s < len(times) else float(s)
+        if not (admitted(tests, "time", np.array([time])) & admitted(tests, "step", np.array([first_step + s])))[0]:
+            continue
         columns: dict[str, pa.Array] = {
-            "step": pa.array(np.full(len(k), first_step + s)), "time": pa.array(np.full(len(k), times[s] if s < len(times) else float(s))),
+            "step": pa.array(np.full(len(k), first_step + s)), "time": pa.array(np.full(len(k), time)),
             "k": pa.array(k), "j": pa.array(j), "i": pa.array(i), "z": pa.array(zs[k]), "y": pa.array(ys[j]), "x": pa.array(xs[i]),
         }
         for name in variables:
             v = h.variables[name]
-            a = native(read_slab(f, h, v, s) if v.dims and v.dims[0] == t else read_slab(f, h, v)).astype(float)
+            moves = bool(v.dims) and v.dims[0] == t
             own = [d for d in v.dims if d != t]
-            full = np.broadcast_to(a if z in own or len(own) < 2 else a[None], (len(zs), len(ys), len(xs))) if len(own) >= 2 else np.broadcast_to(a, (len(zs), len(ys), len(xs)))
-            flat = full.ravel()
+            if own in ([y, x], [z, y, x]) and own == list(v.dims[moves:]):
+                block = native(read_rows(f, h, v, s if moves else None, ks.tolist() if z in own else [0], low, high)).astype(float)
+                part = np.broadcast_to(block[:, js - low][:, :, own_i], (len(ks), len(js), len(own_i)))
+            else:
+                a = native(read_slab(f, h, v, s) if moves else read_slab(f, h, v)).astype(float)
+                full = np.broadcast_to(a if z in own or len(own) < 2 else a[None], (len(zs), len(ys), len(xs)))
+                part = full[np.ix_(ks, js, own_i)]
+            flat = part.ravel()
             fill = v.attributes.get("_FillValue", v.attributes.get("missing_value"))
             gone = np.isnan(flat) if fill is None else np.isnan(flat) | (np.abs(flat - float(fill)) <= 1e-6 * abs(float(fill)))
             columns[name] = pa.array(flat, mask=gone)
@@ -160,8 +214,10 @@ class Block(InputPartition):
 
 
 class NetCDF3Reader(DataSourceReader):
+    """Bounds are an option rather than pushed filters: this Spark keeps the filters of one query for the next query without any on the same DataFrame."""
+
     def __init__(self, options: dict):
-        self.o = options
+        self.o, self.tests = options, bounds(options.get("bounds", ""))
 
     def files(self) -> list[str]:
         return list_files(self.o["path"], self.o.get("files_regex"))
@@ -178,7 +234,7 @@ class NetCDF3Reader(DataSourceReader):
             for a in range(0, n, size):
                 b = min(n, a + size)
                 first, last = max(a, low - at), min(b, high - at + 1)
-                if first < last:
+                if first < last and admitted(self.tests, "step", np.arange(at + first, at + last)).any():
                     out.append(Block(path, at, first, last))
             at += n
         return out
@@ -188,7 +244,7 @@ class NetCDF3Reader(DataSourceReader):
             h = read_header(f)
             names = [v for v in self.o.get("variables", "").split(",") if v]
             axes = [self.o.get(f"{a}_axis_variable", d) for a, d in (("t", "time"), ("z", ""), ("y", "lat"), ("x", "lon"))]
-            yield from cells(f, h, names, axes[0], axes[1] or None, axes[2], axes[3], partition.first_step, range(partition.low, partition.high))
+            yield from cells(f, h, names, axes[0], axes[1] or None, axes[2], axes[3], partition.first_step, range(partition.low, partition.high), tests=self.tests)
 
 
 class NetCDF3Source(DataSource):
@@ -196,7 +252,7 @@ class NetCDF3Source(DataSource):
 
     Options: path (a file, pattern or folder, on a file system that the executors mount), files_regex, variables,
     t_axis_variable (time), z_axis_variable (none), y_axis_variable (lat), x_axis_variable (lon),
-    first_step, last_step, steps_per_partition (16).
+    first_step, last_step, steps_per_partition (16), bounds (like `y >= -30; y < 30; time > 10`: other steps, levels and rows are not read).
     """
 
     @classmethod

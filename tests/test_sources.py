@@ -75,6 +75,59 @@ def test_netcdf_source(spark, tmp_path):
         netcdf3.read_header(f)
 
 
+class Counting:
+    """A file that counts the bytes read of it."""
+
+    def __init__(self, path):
+        self.f, self.n = open(path, "rb"), 0
+
+    def read(self, n=-1):
+        out = self.f.read(n)
+        self.n += len(out)
+        return out
+
+    def seek(self, *a):
+        return self.f.seek(*a)
+
+    def tell(self):
+        return self.f.tell()
+
+
+def test_bounds_of_coordinates(spark, tmp_path):
+    cube(tmp_path / "f_0.nc", 0), cube(tmp_path / "f_1.nc", 3)
+    netcdf3.register(spark)
+    load = lambda text: spark.read.format("netcdf3").options(path=str(tmp_path), variables="T,ps", z_axis_variable="lev", steps_per_partition="2", bounds=text).load()
+    every = load("").collect()
+    plain = {"y > -5": lambda r: r["y"] > -5, "x >= 90; x < 270": lambda r: 90 <= r["x"] < 270, "z = 500": lambda r: r["z"] == 500, "step > 2": lambda r: r["step"] > 2, "time <= 4.0": lambda r: r["time"] <= 4}
+    key = lambda rows: sorted(map(str, rows))
+    for names in [*([n] for n in plain), ["y > -5", "x >= 90; x < 270"], ["step > 2", "z = 500"], list(plain)]:
+        assert key(load("; ".join(names)).collect()) == key(r for r in every if all(plain[n](r) for n in names)), names
+    assert load("step > 2").rdd.getNumPartitions() == 2 and load("y > 99").count() == 0
+    for bad in ("T > 1", "y ! 3", "y > a"):
+        with pytest.raises(ValueError, match="bounds"):
+            netcdf3.bounds(bad)
+
+
+def test_excluded_rows_levels_and_steps_are_not_read(tmp_path):
+    netcdf3.write_file(
+        str(tmp_path / "w.nc"), {"time": 10, "lev": 5, "lat": 50, "lon": 40},
+        {"time": (("time",), np.arange(10.0), {}), "lev": (("lev",), np.arange(5.0), {}), "lat": (("lat",), np.arange(50.0), {}), "lon": (("lon",), np.arange(40.0), {}), "T": (("time", "lev", "lat", "lon"), np.random.default_rng(0).normal(size=(10, 5, 50, 40)), {})},
+    )
+
+    def taken(*tests):
+        f = Counting(tmp_path / "w.nc")
+        h = netcdf3.read_header(f)
+        f.n = 0
+        rows = sum(b.num_rows for b in netcdf3.cells(f, h, ["T"], "time", "lev", "lat", "lon", 0, range(10), tests=tests))
+        return rows, f.n - 8 * (10 + 5 + 50 + 40)  # without the axes
+
+    assert taken() == (100_000, 800_000)
+    assert taken(("y", "<", 5.0)) == (10_000, 80_000)
+    assert taken(("y", ">=", 10.0), ("y", "<", 20.0), ("z", "=", 3.0), ("step", "<", 2)) == (2 * 10 * 40, 2 * 10 * 40 * 8)
+    assert taken(("time", ">", 8.5), ("x", "<", 4.0)) == (5 * 50 * 4, 80_000), "rows are read whole"
+    assert taken(("x", "<", -1.0)) == (0, 0)
+
+
 def test_record_dimensions_and_staggered_grids(spark, tmp_path):
     # a record variable: the count of records is in the header, records follow one another
     raw = bytearray(b"CDF\x01" + struct.pack(">i", 2) + struct.pack(">2i", 10, 2))
