@@ -6,7 +6,9 @@ many pages of their host are its template and are deleted. There are two hashes:
 * The shape of a subtree (names, classes, ids and roles, with its texts masked and like neighbours folded) counts outside
   what the page marks as its article, and for blocks of nothing but links. So a menu, an advert slot or a footer is found though
   its words change from page to page.
-* The content of a subtree (shape and texts) counts inside the article, and everywhere on pages that mark none.
+* The content of a subtree (shape and texts) counts inside the article, and everywhere on pages that mark none. Running text of
+  a marked article (paragraphs, headings, lists ... that name no class, id or role) is what unlike articles may quote alike; it is template only if
+  it stands on half of all pages of the host.
 
 What no template decides (hosts of few pages, rare blocks) falls to what elements say of themselves (menus, notices, adverts,
 forms, comments ...), and where a page marks its article, only that is text.
@@ -36,6 +38,8 @@ from isobar.llm.url_filter import host_and_path
 PAGES = 4
 #: Min-hashes of a subtree's surroundings; those of template differ on at least UNLIKE of the pages (by the seed that tells most apart).
 SEEDS, UNLIKE = np.arange(1, 5, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15), 0.5
+#: Running text of marked articles is template from this share of the host's pages on.
+SHARE = 0.5
 #: Bytes of templates that may be broadcast.
 BROADCAST_BYTES = 32_000_000
 
@@ -52,6 +56,7 @@ ENDS_P = set("address article aside blockquote details div dl fieldset figcaptio
 #: Parts of running text, a list or a table, which are no template without it.
 PIECES = INLINE | VOID | set("td th tr li dt dd".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+RUNNING = HEADINGS | set("p blockquote pre ul ol dl table figure".split())
 # Words of class, id and role that mark what is not article text.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner banners promo promos promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars aside rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs toolbar topbar masthead header footer foot copyright share sharing social related recommended recommendations trending comment comments commentlist disqus reply replies respond discussion pagination pager search hidden skip tags".split()
@@ -329,32 +334,33 @@ def surroundings(words: list[str], ranges: list[tuple[int, int]]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def subtrees(text: str) -> Iterator[tuple[int, bool, np.ndarray | None]]:
-    """A page's hashes: (hash, is it of a shape, min-hashes of the surroundings of a content), each once, a content by its first place."""
+def subtrees(text: str) -> Iterator[tuple[int, bool, bool, np.ndarray | None]]:
+    """A page's hashes: (hash, is it of a shape, is it of an article's running text, min-hashes of the surroundings of a content), each once, a content by its first place."""
     page = parse(text)
     mains = main_elements(page)
     shape, content = digests(page, mains)
     for h in set(shape.values()):
-        yield h, True, None
+        yield h, True, False, None
     first = {h: i for i, h in sorted(content.items(), reverse=True)}
     if first:
         words, before = spans(page, mains or [0])
         seen = surroundings(words, [(before[i], before[page.end[i]]) for i in first.values()])
-        for h, m in zip(first, seen, strict=True):
-            yield h, False, m
+        for (h, i), m in zip(first.items(), seen, strict=True):
+            yield h, False, bool(mains) and page.name[i] in RUNNING and not told(page.value[i]), m
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        hosts, hashes, shapes, seen = [], [], [], []
+        hosts, hashes, shapes, running, seen = [], [], [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for h, is_shape, m in subtrees(page) if page else ():
+            for h, is_shape, runs, m in subtrees(page) if page else ():
                 hosts.append(host)
                 hashes.append(h)
                 shapes.append(is_shape)
+                running.append(runs)
                 seen.append(np.zeros(len(SEEDS), dtype=np.int64) if is_shape else m)
         cols = np.array(seen, dtype=np.int64).reshape(-1, len(SEEDS)).T
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(shapes, pa.bool_()), *map(pa.array, cols)], names=["host", "subtree", "shape", *(f"m{i}" for i in range(len(SEEDS)))])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(shapes, pa.bool_()), pa.array(running, pa.bool_()), *map(pa.array, cols)], names=["host", "subtree", "shape", "running", *(f"m{i}" for i in range(len(SEEDS)))])
 
 
 def _extract(hints: bool):
@@ -374,11 +380,14 @@ def _extract(hints: bool):
 def site_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (host, subtree, held) of pages (host, html): the hashes that are template on a host, with the number of its pages that hold them."""
     seeds = [f"m{i}" for i in range(len(SEEDS))]
-    each = pages.select("host", "html").mapInArrow(_subtrees, ", ".join(["host string", "subtree long", "shape boolean", *(f"{m} long" for m in seeds)]))
+    each = pages.select("host", "html").mapInArrow(_subtrees, ", ".join(["host string", "subtree long", "shape boolean", "running boolean", *(f"{m} long" for m in seeds)]))
     each = scratch.keep(each, "subtrees")
-    often = scratch.keep(each.groupBy("host", "subtree", "shape").agg(F.count("*").alias("held")).where(F.col("held") >= PAGES), "often")
+    often = each.groupBy("host", "subtree", "shape").agg(F.count("*").alias("held"), F.max("running").alias("running")).where(F.col("held") >= PAGES)
+    of_host = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    often = often.join(of_host, "host").where(~F.col("running") | (F.col("held") >= F.lit(SHARE) * F.col("pages"))).drop("pages", "running")
+    often = scratch.keep(often, "often")
     # Copies have like surroundings; only contents that recur are told apart by them.
-    again = each.where("not shape").join(small(often.where("not shape").select("host", "subtree", "held")), ["host", "subtree"])
+    again = each.where("not shape").join(small(often.where("not shape")).drop("shape"), ["host", "subtree"])
     counted = again.groupBy("host", "subtree").agg(F.first("held").alias("held"), *(F.count_distinct(m).alias(m) for m in seeds)).withColumn("unlike", F.greatest(*seeds))
     contents = counted.where((F.col("unlike") >= PAGES) & (F.col("unlike") >= F.lit(UNLIKE) * F.col("held")))
     found = scratch.keep(contents.select("host", "subtree", "held").unionByName(often.where("shape").select("host", "subtree", "held")), "templates")

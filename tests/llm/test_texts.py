@@ -210,6 +210,22 @@ def test_templates_inside_articles_go_and_copies_stay(spark):
     assert all(got[200 + n] == "One text\nstored again and again" for n in range(9))
 
 
+def test_passages_that_unlike_articles_share_stay(spark):
+    passage, slogan = "<p>A passage that one article in four of this host quotes</p>", "<p>Thank you for reading</p>"
+    rows = [(n, f"http://quotes.org/{n}", f"<body><article><h1>T{n}</h1><p>Story number {n} told at length</p>{passage * (n % 4 == 0)}<p>End {n}</p>{slogan * (n % 5 > 0)}</article></body>") for n in range(80)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(80):
+        kept = "A passage that one article in four of this host quotes\n" if n % 4 == 0 else ""
+        assert got[n] == f"T{n}\nStory number {n} told at length\n{kept}End {n}"
+
+
+def test_templates_take_no_paragraph_of_the_page_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}
+    lost = [r["page_id"] for r in pages.collect() if "<article" in (r["html"] or "") and html_extract.extract(r["html"], set()) != got[r["page_id"]]]
+    assert not lost
+
+
 def test_section_templates_of_a_large_host_go(spark):
     rows = [(n, f"http://large.org/{n // 10}/{n}", f"<body><div><p>Notice of section {n // 10}</p></div><div><p>Story number {n} told at length</p></div></body>") for n in range(1000)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
