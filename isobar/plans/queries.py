@@ -595,15 +595,25 @@ def reach_sql(active: str, by: str) -> str:
     )
 
 
-@query(
+LABELS = (
     f"WITH RECURSIVE {MESH}, c AS (SELECT step, quantile_cont(v, 0.8) AS lo FROM mesh GROUP BY step), act AS (SELECT step, j, i, j * {NI} + i AS q FROM mesh JOIN c USING (step) WHERE v >= lo), {reach_sql('act', 'step')}, "
     f"l AS (SELECT step, q, dense_rank() OVER (PARTITION BY step ORDER BY root) AS component FROM roots) SELECT m.step, j, i, CAST(coalesce(component, 0) AS INTEGER) AS component FROM mesh m LEFT JOIN l ON l.step = m.step AND l.q = m.j * {NI} + m.i"
 )
+
+
+@query(LABELS)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = pointwise.binary_segmentation(mesh(spark, sf_dir), "v", 80.0, by_percentile=True)
     return components.connected_components(m, periodic_x=True).select("step", "j", "i", "component")
 
 
+@query(LABELS)
+def connected_components_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same labels from tiles of 5 rows and 8 columns, of which the last are smaller."""
+    m = pointwise.binary_segmentation(mesh(spark, sf_dir), "v", 80.0, by_percentile=True)
+    return components.connected_components(m, periodic_x=True, tile=(5, 8)).select("step", "j", "i", "component")
+
+
 PARAMETERS = pd.DataFrame([(w, q, a) for w in (5.0, 15.0) for q in (85.0, 92.0, 96.0) for a in (1e6, 5e6)], columns=["hwhm_latitude", "min_water_vapor", "min_component_area"])
 
 

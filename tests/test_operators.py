@@ -328,6 +328,41 @@ def test_trajectories_of_a_year_without_a_gap(spark):
     assert key(got) == key(want)
 
 
+@pytest.mark.parametrize("tile, periodic", [((1, 1), True), ((3, 4), True), ((3, 4), False), ((5, 100), True), ((100, 2), False)])
+def test_labels_do_not_depend_on_tiles(spark, tile, periodic):
+    rng = np.random.default_rng(hash(tile) % 1000)
+    rows = [
+        (s, float(s), k, j + 2, i + s, None if v < 0.05 else int(v > 0.82), "kept")
+        for s, share in ((-3, 0.0), (0, 0.0), (7, 1.0), (8, -1.0))
+        for k in range(1 + (s == 0))
+        for j in range(7)
+        for i in range(9)
+        for v in [np.clip(rng.random() + share, 0, 1)]
+    ]
+    df = spark.createDataFrame(rows, "step long, time double, k long, j long, i long, segments int, extra string").repartition(3)
+    whole = sorted(map(tuple, comp.connected_components(df, periodic_x=periodic).collect()), key=str)
+    tiled = comp.connected_components(df, periodic_x=periodic, tile=tile)
+    assert sorted(map(tuple, tiled.collect()), key=str) == whole and tiled.schema["component"].dataType.typeName() == "integer"
+    assert len({r[-1] for r in whole if r[0] == 0}) > 2 and {r[-1] for r in whole if r[0] == 7} == {1}
+    flat = df.where("step = 7").drop("k")
+    assert comp.connected_components(flat, tile=tile).agg(F.max("component"), F.count("*")).first() == (1, 63)
+
+
+def test_tiles_of_an_empty_mesh(spark):
+    df = spark.createDataFrame([], "step long, j long, i long, segments int")
+    assert comp.connected_components(df, tile=(2, 2)).collect() == []
+    with pytest.raises(ValueError, match="at least one"):
+        comp.connected_components(df, tile=(0, 2))
+
+
+def test_a_snake_through_all_tiles_is_one_component(spark):
+    n = 24
+    on = {(j, i) for j in range(0, n, 2) for i in range(n)} | {(j, (n - 1) * (j % 4 == 1)) for j in range(1, n - 1, 2)}
+    df = spark.createDataFrame([(0, j, i, int((j, i) in on)) for j in range(n) for i in range(n)], "step long, j long, i long, segments int")
+    got = comp.connected_components(df, tile=(3, 3))
+    assert got.where("segments = 1").agg(F.min("component"), F.max("component"), F.count("*")).first() == (1, 1, len(on))
+
+
 def test_components_of_links(spark):
     rng = np.random.default_rng(3)
     chain = [(i, i + 1) for i in rng.permutation(300).tolist()]
