@@ -20,7 +20,7 @@ from isobar.operators import components, cyclones, pointwise, programmable, sten
 from isobar.operators.potential_intensity import potential_intensity
 from isobar.plans import applications
 from isobar.model import shared_folder
-from isobar.sources import meshes, netcdf3, shapes, tables
+from isobar.sources import catalogue, meshes, netcdf3, shapes, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -553,16 +553,35 @@ def mesh_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meshes.read_mesh(spark, path, (10, 40), ["v"]).select("step", "j", "i", "time", "y", "x", r("v").alias("v"))
 
 
-@query(f"WITH {MESH} SELECT step, j, i, time, y, x, round(v0, 6) + 0.0 AS v, round(u, 6) + 0.0 AS u FROM mesh")
-def netcdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exported(spark: SparkSession, sf_dir: str) -> str:
+    """The mesh in NetCDF files of twelve steps each; the folder."""
     folder = shared_folder(spark).removeprefix("file:").replace("///", "/")
     m = mesh(spark, sf_dir).withColumns({"k": F.lit(0).cast("long"), "z": F.lit(0.0), "file": F.format_string("f%03d", F.floor(F.col("step") / 12))})
     netcdf3.export(m, folder, ["v0", "u"]).collect()  # a row for each file
     netcdf3.register(spark)
-    got = spark.read.format("netcdf3").options(path=folder, variables="v0,u", z_axis_variable="lev").load()
+    return folder
+
+
+@query(f"WITH {MESH} SELECT step, j, i, time, y, x, round(v0, 6) + 0.0 AS v, round(u, 6) + 0.0 AS u FROM mesh")
+def netcdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = spark.read.format("netcdf3").options(path=exported(spark, sf_dir), variables="v0,u", z_axis_variable="lev").load()
     return got.select("step", "j", "i", "time", "y", "x", r("v0").alias("v"), r("u").alias("u"))
 
 
+@query(f"WITH {MESH} SELECT 'f' || lpad(CAST(step // 12 AS VARCHAR), 3, '0') || '.nc' AS file, step % 12 AS step, min(time) AS time, 'days since 1970-01-01' AS units, 'standard' AS calendar FROM mesh GROUP BY step // 12, step % 12")
+def netcdf_time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.read_time_axis(spark, exported(spark, sf_dir)).withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
+@query(f"WITH {MESH} SELECT step, j, i, time, round(v0, 6) + 0.0 AS v FROM mesh WHERE time >= 600 AND time < 1500 AND y >= 5 AND x < 175")
+def netcdf_catalogued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan planned from a catalogue: bounds leave out blocks by their times, then rows and columns of what is read."""
+    folder, kept = exported(spark, sf_dir), f"{shared_folder(spark)}/catalogue"
+    catalogue.catalogue(spark, folder, kept)
+    got = spark.read.format("netcdf3").options(path=folder, variables="v0", z_axis_variable="lev", catalogue=kept, bounds="time >= 600; time < 1500; y >= 5; x < 175").load()
+    return got.select("step", "j", "i", "time", r("v0").alias("v"))
+
+
 @query(f"WITH {MESH} SELECT step, j, i, CAST(CASE WHEN {winding_sql('x', 'y', BOX)} <> 0 OR {winding_sql('x', 'y', TRIANGLE)} <> 0 THEN 1 ELSE 0 END AS TINYINT) AS mask FROM mesh")
 def shape_file_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.shape_file_mask(mesh(spark, sf_dir), [BOX, TRIANGLE]).select("step", "j", "i", "mask")

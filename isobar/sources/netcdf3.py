@@ -222,19 +222,39 @@ class NetCDF3Reader(DataSourceReader):
     def files(self) -> list[str]:
         return list_files(self.o["path"], self.o.get("files_regex"))
 
+    def known(self, t: str) -> dict:
+        if "catalogue" not in self.o:
+            return {}
+        from isobar.sources import catalogue
+
+        return catalogue.held_axes(self.o["catalogue"], t)
+
     def partitions(self) -> list[Block]:
-        """A block of steps of a file each; steps number the files' times in order of their names."""
+        """A block of steps of a file each; steps number the files' times in order of their names.
+
+        Files that the catalogue knows are not opened here, and blocks whose times the bounds exclude are left out.
+        """
         out, at = [], 0
         size = int(self.o.get("steps_per_partition", "16"))
         low, high = int(self.o.get("first_step", "0")), int(self.o.get("last_step", str(1 << 62)))
+        t = self.o.get("t_axis_variable", "time")
+        known = self.known(t)
         for path in self.files():
-            with open(path, "rb") as f:
-                h = read_header(f)
-            n = h.records if h.dims.get(self.o.get("t_axis_variable", "time")) == 0 else h.dims.get(self.o.get("t_axis_variable", "time"), 1)
+            told = os.stat(path)
+            n, times = known.get((path, told.st_size, told.st_mtime_ns // 1_000_000), (None, ()))
+            if n is None:
+                with open(path, "rb") as f:
+                    h = read_header(f)
+                n = h.records if h.dims.get(t) == 0 else h.dims.get(t, 1)
             for a in range(0, n, size):
                 b = min(n, a + size)
                 first, last = max(a, low - at), min(b, high - at + 1)
-                if first < last and admitted(self.tests, "step", np.arange(at + first, at + last)).any():
+                if first >= last:
+                    continue
+                fine = admitted(self.tests, "step", np.arange(at + first, at + last))
+                if len(times) == n:
+                    fine &= admitted(self.tests, "time", times[first:last])
+                if fine.any():
                     out.append(Block(path, at, first, last))
             at += n
         return out
@@ -252,7 +272,7 @@ class NetCDF3Source(DataSource):
 
     Options: path (a file, pattern or folder, on a file system that the executors mount), files_regex, variables,
     t_axis_variable (time), z_axis_variable (none), y_axis_variable (lat), x_axis_variable (lon),
-    first_step, last_step, steps_per_partition (16), bounds (like `y >= -30; y < 30; time > 10`: other steps, levels and rows are not read).
+    first_step, last_step, steps_per_partition (16), catalogue (the folder of a `catalogue.catalogue` of these files), bounds (like `y >= -30; y < 30; time > 10`: other steps, levels and rows are not read).
     """
 
     @classmethod
@@ -295,22 +315,6 @@ def read_anywhere(spark: SparkSession, path: str, variables: list[str], t: str =
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, ddl(names) + ", file string")
 
 
-def read_time_axis(spark: SparkSession, path: str, t: str = "time") -> DataFrame:
-    """(file, step in the file, time, units, calendar) of each file, in parallel."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                f = BytesIO(content)
-                h = read_header(f)
-                v = h.variables[t]
-                times = native(read_slab(f, h, v)).astype(float)
-                n = len(times)
-                yield pa.RecordBatch.from_pydict({"file": [name] * n, "step": list(range(n)), "time": times, "units": [str(v.attributes.get("units", ""))] * n, "calendar": [str(v.attributes.get("calendar", "standard"))] * n})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "file string, step long, time double, units string, calendar string")
-
-
 def read_arrays(spark: SparkSession, path: str, variables: list[str], t: str = "time") -> DataFrame:
     """1-D time-varying arrays: (file, step, time, variables); variables with more dimensions are arrays."""
     names = list(variables)

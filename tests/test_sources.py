@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isobar.functions.geometry import Polygon
-from isobar.sources import meshes, netcdf3, shapes, tables
+from isobar.sources import catalogue, meshes, netcdf3, shapes, tables
 
 
 def test_typed_csv_round_trip(spark, tmp_path):
@@ -67,7 +67,7 @@ def test_netcdf_source(spark, tmp_path):
     assert sorted(r[0] for r in load(first_step="1", last_step="3").select("step").distinct().collect()) == [1, 2, 3]
     same = netcdf3.read_anywhere(spark, str(tmp_path / "f_0.nc"), ["T"], z="lev")
     assert [r["T"] for r in same.where("step = 1").orderBy("k", "j", "i").collect()] == a[1].ravel().tolist()
-    axis = netcdf3.read_time_axis(spark, f"file://{tmp_path}").orderBy("time").collect()
+    axis = catalogue.read_time_axis(spark, f"file://{tmp_path}").orderBy("time").collect()
     assert [r["time"] for r in axis] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0] and axis[0]["calendar"] == "noleap"
     assert netcdf3.read_arrays(spark, str(tmp_path / "f_0.nc"), ["ps"]).where("step = 2").first()["ps"] == pytest.approx(a[2, 0].ravel().tolist())
     (tmp_path / "h.nc").write_bytes(b"\x89HDF\r\n")
@@ -128,6 +128,46 @@ def test_excluded_rows_levels_and_steps_are_not_read(tmp_path):
     assert taken(("x", "<", -1.0)) == (0, 0)
 
 
+def test_catalogue_reads_headers_and_axes_once(spark, tmp_path):
+    data, kept = tmp_path / "in", f"file://{tmp_path}/kept"
+    data.mkdir()
+    wide = {"time": (("time",), np.arange(3.0), {"units": "days since 2000-01-01"}), "big": (("time", "cell"), np.zeros((3, 200_000)), {})}
+    netcdf3.write_file(str(data / "a.nc"), {"time": 3, "cell": 200_000}, wide)
+    netcdf3.write_file(str(data / "b.nc"), {"time": 3, "cell": 200_000}, {**wide, "time": (("time",), np.arange(3.0, 6.0), {})})
+    got = {r["file"][-4:]: r for r in catalogue.catalogue(spark, str(data), kept).collect()}
+    assert [got[f]["times"] for f in ("a.nc", "b.nc")] == [[0.0, 1.0, 2.0], [3.0, 4.0, 5.0]]
+    assert got["a.nc"]["units"] == "days since 2000-01-01" and got["b.nc"]["units"] == "" and got["a.nc"]["variables"] == ["time", "big"]
+    for r in got.values():
+        assert r["size"] > 4_000_000 and r["bytes_read"] <= 3 * catalogue.READ_BYTES
+    # Nothing is opened again while name, size and date are the same; a changed file is.
+    count = lambda: spark.read.parquet(kept).count()
+    assert catalogue.catalogue(spark, str(data), kept).count() == 2 and count() == 2
+    netcdf3.write_file(str(data / "b.nc"), {"time": 1, "cell": 2}, {"time": (("time",), np.array([9.0]), {}), "big": (("time", "cell"), np.zeros((1, 2)), {})})
+    again = {r["file"][-4:]: r["times"] for r in catalogue.catalogue(spark, str(data), kept).collect()}
+    assert again == {"a.nc": [0.0, 1.0, 2.0], "b.nc": [9.0]} and count() == 3
+    (data / "b.nc").unlink()
+    assert catalogue.catalogue(spark, str(data), kept).count() == 1
+    assert catalogue.catalogue(spark, str(data), kept, files_regex="none").count() == 0
+
+
+def test_scans_are_planned_from_the_catalogue(spark, tmp_path, monkeypatch):
+    for n in range(4):
+        cube(tmp_path / f"f_{n}.nc", 3 * n)
+    kept = str(tmp_path.parent / f"{tmp_path.name}-kept")
+    catalogue.catalogue(spark, str(tmp_path), kept)
+    own = {"path": str(tmp_path), "variables": "T", "z_axis_variable": "lev", "bounds": "time >= 4; time < 6"}
+    opened = []
+    monkeypatch.setattr(netcdf3, "read_header", lambda f: opened.append(f) or 1 / 0)
+    blocks = netcdf3.NetCDF3Reader({**own, "catalogue": kept}).partitions()
+    assert [(b.path[-6:], b.first_step, b.low, b.high) for b in blocks] == [("f_1.nc", 3, 0, 3)] and not opened
+    monkeypatch.undo()
+    netcdf3.register(spark)
+    load = lambda **o: sorted(map(tuple, spark.read.format("netcdf3").options(**own, **o).load().collect()), key=str)
+    assert load(catalogue=kept) == load() and len(load()) == 2 * 2 * 3 * 4
+    cube(tmp_path / "f_4.nc", 4)  # unknown to the catalogue: its header is read
+    assert len(load(catalogue=kept)) == 2 * 2 * 2 * 3 * 4
+
+
 def test_record_dimensions_and_staggered_grids(spark, tmp_path):
     # a record variable: the count of records is in the header, records follow one another
     raw = bytearray(b"CDF\x01" + struct.pack(">i", 2) + struct.pack(">2i", 10, 2))
