@@ -7,8 +7,9 @@ from isobar.functions.geometry import EQUATOR_KM, MEAN_M, Polygon
 from isobar.model import attributes, block_distribute, space_time_distribute, with_attributes
 from isobar.operators import components as comp
 from isobar.operators import cyclones, graph, pointwise, programmable, stencil, table, temporal, vertical
-from isobar.operators.potential_intensity import EPS, RD, cape, potential_intensity_of, saturation_pressure
+from isobar.operators.potential_intensity import EPS, RD, capes, potential_intensities, potential_intensity, saturation_pressure
 from isobar.sources import meshes
+from plain_potential_intensity import cape, potential_intensity_of
 
 # Tables
 
@@ -450,6 +451,45 @@ def test_potential_intensity_equals_a_scan_of_pressures():
         assert got[2] == 1 and got[0] == pytest.approx(v, rel=0.01, abs=0.1) and got[1] == pytest.approx(low, abs=1.0)
 
 
+def soundings(n):
+    """Random soundings of 12 levels, some with missing levels, cold seas, dry air or a top that is too warm."""
+    rng = np.random.default_rng(3)
+    p = np.tile(np.array([1000, 950, 900, 850, 700, 600, 500, 400, 300, 200, 100, 60.0]), (n, 1)) + rng.uniform(-5, 5, (n, 12))
+    t = 27 - 85 * (1 - (p / 1000) ** rng.uniform(0.6, 1.1, (n, 1))) + rng.normal(0, 1.0, p.shape)
+    r = rng.uniform(0.2, 0.9, (n, 1)) * 622 * saturation_pressure(t) / (p - saturation_pressure(t))
+    r[::17] = 0.0
+    t[rng.random(p.shape) < 0.03] = np.nan
+    r[::23, 2:] = np.nan
+    return rng.uniform(3, 31, n), rng.uniform(995, 1020, n), p, t, r
+
+
+def test_soundings_together_equal_each_alone():
+    sst, psl, p, t, r = soundings(400)
+    sst[5], psl[9] = np.nan, np.nan
+    for options in ({}, {"ascent": 1.0, "dissipative": False}):
+        got = potential_intensities(sst, psl, p, t, r, **options)
+        with np.errstate(all="ignore"):
+            want = [potential_intensity_of(*(a[n] for a in (sst, psl, p, t, r)), **options) for n in range(400)]
+        assert [int(f) for f in got[2]] == [w[2] for w in want] and sum(w[2] == 1 for w in want) > 150 and sum(w[2] != 1 for w in want) > 30
+        for q in (0, 1, 3, 4):
+            np.testing.assert_allclose(got[q], [w[q] for w in want], rtol=1e-9, atol=1e-9)
+    assert [len(a) for a in potential_intensities(*(a[:0] for a in (sst, psl, p, t, r)))] == [0] * 5
+
+
+def test_potential_intensity_of_columns(spark):
+    sst, psl, p, t, r = soundings(60)
+    rows = [(n, float(k), float(p[n, k] * 100), None if np.isnan(t[n, k]) else float(t[n, k] + 273.15), None if np.isnan(r[n, k]) else float(r[n, k] / 1e3), float(sst[n] + 273.15), float(psl[n] * 100), None if n == 3 else int(n == 4)) for n in range(60) for k in range(12)]
+    df = spark.createDataFrame(rows, "i long, k double, z double, t double, r double, sst double, psl double, land int").withColumns({"step": F.lit(0), "j": F.lit(1)})
+    got = {x["i"]: x for x in potential_intensity(df, "sst", "psl", "t", mixing_ratio="r", land="land").collect()}
+    with np.errstate(all="ignore"):
+        want = potential_intensities(sst, psl, p, t, r)
+    assert len(got) == 60 and all(got[n]["IFL"] == 0 and got[n]["V_max"] is None for n in (3, 4))
+    for n in set(range(60)) - {3, 4}:
+        assert got[n]["IFL"] == want[2][n] and (got[n]["V_max"] is None) == np.isnan(want[0][n])
+        assert got[n]["V_max"] is None or got[n]["V_max"] == pytest.approx(want[0][n], rel=1e-6)
+    assert potential_intensity(df.limit(0), "sst", "psl", "t", mixing_ratio="r").count() == 0
+
+
 # User operators
 
 
