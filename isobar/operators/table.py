@@ -96,22 +96,57 @@ def table_calendar(df: DataFrame, units: str, calendar: str, time: str = "time",
     return df.select(*new, *df.columns)
 
 
-def descriptive_statistics(df: DataFrame, variables: list[str], by: list[str] | None = None) -> DataFrame:
+#: Accuracy of the sketches that bracket an order statistic: its rank is known to within a share of 1 / ACCURACY of the rows.
+ACCURACY = 10_000
+#: The order statistics of `descriptive_statistics`: the elements at n * q // 4 of the sorted values.
+QUARTERS = {"low_q": 1, "med": 2, "up_q": 3}
+
+
+def descriptive_statistics(df: DataFrame, variables: list[str], by: list[str] | None = None, accuracy: int = ACCURACY) -> DataFrame:
     """Minimum, maximum, mean, population variance, and the elements at n/4, n/2 and 3n/4 of the sorted values.
 
-    One partial-aggregate shuffle for the moments; the order statistics take ranks within a step, so memory is
-    bounded by sorting, not by an array of a step's values.
+    Two scans for all variables, and no sort of a group's rows. The first gives the moments and, by mergeable sketches, two values
+    between which each order statistic must lie. The second counts the values below them and how often each value between them occurs
+    (both combined before the shuffle); the ranks of these few values give the exact elements. Nulls do not count; a group without values has
+    nulls; null groups are groups. Values of other types than doubles hold exactly (decimals, longs, dates) are ranked by a sort of the group.
     """
     by = by or ["step", "time"]
-    out = df.groupBy(*by).agg(*(f for v in variables for f in (F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"), F.avg(v).alias(f"avg_{v}"), F.var_pop(v).alias(f"var_{v}"))))
-    for v in variables:
-        held = df.where(F.col(v).isNotNull()).select(*by, v)
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    quick = [v for v in variables if kinds[v] in ("byte", "short", "integer", "float", "double")]
+    margin = 4.0 / accuracy
+    shares = [min(1.0, max(0.0, q / 4 + side)) for q in QUARTERS.values() for side in (-margin, margin)]
+    moments = [f for v in variables for f in (F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"), F.avg(v).alias(f"avg_{v}"), F.var_pop(v).alias(f"var_{v}"))]
+    sketches = [f for n, v in enumerate(quick) for f in (F.count(v).alias(f"__n{n}"), F.percentile_approx(F.col(v).cast("double"), shares, accuracy).alias(f"__b{n}"))]
+    first = df.groupBy(*by).agg(*moments, *sketches)
+    same = lambda a, b: reduce(Column.__and__, (a[c].eqNullSafe(b[f"__by{k}"]) for k, c in enumerate(by)))
+    keyed = lambda d: d.withColumnsRenamed({c: f"__by{k}" for k, c in enumerate(by)})
+    out = first.select(*by, *(f"{f}_{v}" for v in variables for f in ("min", "max", "avg", "var")), *(f"__n{n}" for n in range(len(quick))))
+    if quick:
+        bounds = keyed(first.select(*by, *(f"__{c}{n}" for n in range(len(quick)) for c in "nb")))
+        values = df.select(*by, *(F.col(v).cast("double").alias(f"__v{n}") for n, v in enumerate(quick)))
+        told = []
+        for n in range(len(quick)):
+            for k in range(len(QUARTERS)):
+                x, low, high = F.col(f"__v{n}"), F.col(f"__b{n}")[2 * k], F.col(f"__b{n}")[2 * k + 1]
+                told.append(F.when(x <= high, F.struct(F.lit(n * len(QUARTERS) + k).alias("q"), F.when(x >= low, x).alias("x"), F.col(f"__n{n}").alias("n"))))
+        each = values.join(bounds, same(values, bounds)).select(*by, F.explode(F.filter(F.array(*told), lambda t: t.isNotNull())).alias("__t"))
+        counted = each.groupBy(*by, F.col("__t.q").alias("__q"), F.col("__t.x").alias("__x")).agg(F.count("*").alias("__c"), F.first("__t.n").alias("__n"))
+        upto = F.sum("__c").over(W.partitionBy(*by, "__q").orderBy(F.col("__x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+        rank = F.expr(f"__n * (__q % {len(QUARTERS)} + 1) div 4")
+        hit = counted.withColumn("__upto", upto).where((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank))
+        picks = keyed(hit.groupBy(*by).agg(*(F.max(F.when(F.col("__q") == n * len(QUARTERS) + k, F.col("__x"))).alias(f"__x{n}_{k}") for n in range(len(quick)) for k in range(len(QUARTERS)))))
+        out = out.join(picks, same(out, picks), "left")
+        for n, v in enumerate(quick):
+            for k, name in enumerate(QUARTERS):
+                x = F.col(f"__x{n}_{k}")
+                missed = x.isNull() & (F.col(f"__n{n}") > 0)
+                out = out.withColumn(f"{name}_{v}", F.when(missed, F.raise_error(F.lit(f"{name} of {v} lies outside its bracket; raise accuracy")).cast("double")).otherwise(x).cast(kinds[v]))
+    for v in (v for v in variables if v not in quick):
         w = W.partitionBy(*by)
-        ranked = held.withColumn("__r", F.row_number().over(w.orderBy(v)) - 1).withColumn("__n", F.count("*").over(w))
-        at = lambda part, r=v: F.max(F.when(F.col("__r") == F.expr(part), F.col(r)))
-        picks = ranked.groupBy(*by).agg(at("__n div 4").alias(f"low_q_{v}"), at("__n div 2").alias(f"med_{v}"), at("(3 * __n) div 4").alias(f"up_q_{v}"))
-        out = out.join(picks, by, "left")
-    return out
+        ranked = df.where(F.col(v).isNotNull()).select(*by, v).withColumn("__r", F.row_number().over(w.orderBy(v)) - 1).withColumn("__n", F.count("*").over(w))
+        picks = keyed(ranked.groupBy(*by).agg(*(F.max(F.when(F.col("__r") == F.expr(f"__n * {q} div 4"), F.col(v))).alias(f"{name}_{v}") for name, q in QUARTERS.items())))
+        out = out.join(picks, same(out, picks), "left").drop(*(f"__by{k}" for k in range(len(by))))
+    return out.select(*by, *(f"{f}_{v}" for v in variables for f in ("min", "max", "avg", "var")), *(f"{name}_{v}" for v in variables for name in QUARTERS))
 
 
 def component_statistics(areas: DataFrame, label: str = "label", area: str = "area") -> DataFrame:

@@ -49,6 +49,29 @@ def test_statistics_by_hand(spark):
     assert r["var_v"] == pytest.approx(np.var(values)) and (r["min_v"], r["max_v"]) == (1.0, 9.0)
 
 
+def test_order_statistics_without_a_sort(spark):
+    """Many rows against a coarse sketch; ties, skew, nulls, null groups, groups without values, other types."""
+    rng = np.random.default_rng(5)
+    n = 60_000
+    p = pd.DataFrame({"g": rng.integers(0, 3, n), "a": np.exp(rng.normal(0, 9, n)), "b": rng.integers(0, 5, n).astype(np.int32), "c": rng.integers(0, 1 << 60, n), "d": rng.normal(size=n).astype(np.float32)})
+    df = spark.createDataFrame(p).repartition(7).withColumns({"g": F.when(F.col("g") < 2, F.col("g")), "a": F.when(F.rand(3) > 0.1, F.col("a")), "b": F.col("b").cast("int"), "d": F.col("d").cast("float"), "e": F.lit(None).cast("double")})
+    df = df.unionByName(spark.createDataFrame([(9, 1.5, 2, 3, 0.5, None)], "g long, a double, b int, c long, d float, e double"))
+    df.write.parquet(path := str(spark.conf.get("spark.checkpoint.dir")) + "/statistics")
+    df = spark.read.parquet(path)
+    held = df.toPandas()
+    for accuracy in (40, table.ACCURACY):
+        got = table.descriptive_statistics(df, list("abcde"), ["g"], accuracy)
+        assert [f.dataType.typeName() for f in got.schema.fields if f.name.startswith("med_")] == ["double", "integer", "long", "float", "double"]
+        rows = {r["g"]: r for r in got.collect()}
+        assert set(rows) == {0, 1, 9, None}
+        for g, r in rows.items():
+            own = held[held["g"].isna() if g is None else held["g"] == g]
+            for v in "abcd":
+                s = sorted(own[v].dropna().tolist())
+                assert [r[f"{q}_{v}"] for q in ("low_q", "med", "up_q")] == [s[len(s) * k // 4] for k in (1, 2, 3)], (g, v, accuracy)
+            assert r["med_e"] is None and r["min_e"] is None
+
+
 def test_differences(spark):
     a = spark.createDataFrame([(1, 1.0, "x"), (2, float("nan"), "y"), (3, 3.0, None)], "k int, v double, s string")
     b = spark.createDataFrame([(1, 1.0 + 1e-9, "x"), (2, float("nan"), "z"), (4, 3.0, None)], "k int, v double, s string")
