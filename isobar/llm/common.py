@@ -10,14 +10,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: A side with at most so many short rows (two or three longs each) may be broadcast: under 32 MB.
 BROADCAST_ROWS = 500_000
 #: Rows of an Arrow batch that a function takes at a time; Spark itself bounds a batch's bytes (64 MB unless set otherwise).
 BATCH_ROWS = 512
-#: Rows that a staged table's tasks send to Python at a time, at most: an executor holds a batch of each of its tasks, also as it grows.
+#: Rows that a task sends to Python at a time, at most, and bytes: an executor holds a batch of each of its tasks outside its heap, twice while it grows.
 SENT_ROWS, SENT = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
+SENT_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches. They stay so, as a lazy result reads them only when it runs."""
+    for name, most in ((SENT, SENT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", SENT_BYTES)):
+        held = int(spark.conf.get(name).rstrip("b"))
+        if held <= 0 or held > most:
+            spark.conf.set(name, str(most))
 
 
 def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,16 +62,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def add_score(docs: DataFrame, text_col: str, score: str, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
     """docs with a double column `score` of each text, in one pass; `make` gives a task its function of a batch's texts."""
+    bound_batches(docs.sparkSession)
     text, own = fresh(docs, "__text", "__score")
-    rows = docs.withColumn(text, F.col(text_col).cast("string")).drop(score)
-    kept = rows.drop(text)
+    kept = docs.drop(score)
+    sent = text_col in kept.columns and isinstance(kept.schema[text_col].dataType, StringType)  # then the text is sent once
+    rows = kept if sent else docs.withColumn(text, F.col(text_col).cast("string")).drop(score)
+    text = text_col if sent else text
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = make()
         for batch in sliced(batches):
             at = batch.schema.get_field_index(text)
             told = pa.array(scores(batch.column(at)), pa.float64())
-            keep = [i for i in range(batch.num_columns) if i != at]
+            keep = [i for i in range(batch.num_columns) if sent or i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), told], names=[*(batch.schema.names[i] for i in keep), own])
 
     return rows.mapInArrow(f, StructType([*kept.schema.fields, StructField(own, DoubleType())])).withColumnRenamed(own, score)

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isobar.llm.common import bound_batches
+
 
 def remainder(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod."""
@@ -17,6 +19,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, mos
 
     A bounded sample: `most` ids are broadcast, however large the tables.
     """
+    bound_batches(docs.sparkSession)
     y = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(fit_on)
     y = y.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     y = y.orderBy(F.xxhash64("__id"), "__id").limit(most)
