@@ -20,7 +20,8 @@ from isobar.operators import components, cyclones, pointwise, programmable, sten
 from isobar.operators.potential_intensity import potential_intensity
 from isobar.plans import applications
 from isobar.model import shared_folder
-from isobar.sources import catalogue, meshes, netcdf3, shapes, tables
+from isobar.sources import catalogue, mesh_files, meshes, netcdf3, shapes, tables
+from isobar.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -495,6 +496,23 @@ def temporal_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(temporal.temporal_percentile(days(spark, sf_dir), ["p"], 90.0, "monthly", UNITS, cell=("cell",)), ["p"], 4)
 
 
+#: The years that arrive together.
+ARRIVALS = ((1992, 1993), (1994, 1995), (1996, 9999))
+
+
+@query("WITH d AS (SELECT date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, o_custkey % 10 AS cell, o_totalprice AS p FROM orders) SELECT CAST(day // 30 * 30 AS BIGINT) AS start, cell, round(avg(p), 4) + 0.0 AS p, count(*) AS n FROM d GROUP BY 1, 2")
+def stream_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of 30 days over orders that arrive in three lots: the stream stops after each and goes on from its checkpoint, with a watermark of a day."""
+    o = read(spark, sf_dir, "orders").where("o_orderdate IS NOT NULL")
+    arriving = o.select(F.timestamp_seconds(F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * 86400).alias("time"), (F.col("o_custkey") % 10).alias("cell"), F.col("o_totalprice").alias("p"), F.year("o_orderdate").alias("year"))
+    base = shared_folder(spark)
+    for first, last in ARRIVALS:
+        arriving.where(F.col("year").between(first, last)).drop("year").write.mode("append").parquet(f"{base}/landing")
+        arrivals.reduce_arrivals(spark, f"{base}/landing", arriving.drop("year").schema, f"{base}/out", f"{base}/checkpoint", "time", "30 days", ["p"], "average", ["cell"])
+    got = arrivals.reduced_so_far(spark, f"{base}/out", ["cell"])
+    return got.select(F.expr("unix_seconds(start) div 86400").alias("start"), "cell", r("p", 4).alias("p"), "n")
+
+
 SERIES = f"{DAYS}, s AS (SELECT step, cell, round(avg(p) + 1.7e-9, 6) AS p FROM d GROUP BY 1, 2)"
 
 
@@ -568,6 +586,32 @@ def netcdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("step", "j", "i", "time", "y", "x", r("v0").alias("v"), r("u").alias("u"))
 
 
+def _gridded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh(spark, sf_dir).withColumns({"k": F.lit(0).cast("long"), "z": F.lit(0.0)})
+
+
+@query(f"WITH {MESH} SELECT strftime(DATE '1992-01-01' + CAST(time AS INTEGER), '%Y') || '.nc' AS file, step, j, i, time, y, x, round(v0, 6) + 0.0 AS v FROM mesh")
+def netcdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mesh written as a NetCDF file a year by tasks that commit, and scanned again."""
+    folder = shared_folder(spark)
+    mesh_files.write_files(_gridded(spark, sf_dir), folder, ["v0"], layout="yearly", units=UNITS)
+    netcdf3.register(spark)
+    got = spark.read.format("netcdf3").options(path=folder.removeprefix("file:").replace("///", "/"), variables="v0", z_axis_variable="lev").load()
+    year = F.date_format(F.date_add(F.lit("1992-01-01").cast("date"), F.col("time").cast("int")), "yyyy")
+    return got.select(F.concat(year, F.lit(".nc")).alias("file"), "step", "j", "i", "time", "y", "x", r("v0").alias("v"))
+
+
+@query(f"WITH {MESH} SELECT step, j, i, round(v, 6) + 0.0 AS v FROM mesh")
+def vtk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mesh written as a VTK file a step by tasks that commit, and its texts read again: values in the order of cells."""
+    folder = shared_folder(spark)
+    mesh_files.write_files(_gridded(spark, sf_dir), folder, ["v"], "vtk", steps_per_file=1000)
+    texts = spark.read.text(folder, wholetext=True, pathGlobFilter="*.vtk").select("value", F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.vtk$", 1).cast("long").alias("step"))
+    values = F.split(F.trim(F.regexp_replace(F.element_at(F.split("value", "LOOKUP_TABLE default"), 2), "\n", "")), " ")
+    cells = texts.select("step", F.posexplode(values).alias("cell", "value"))
+    return cells.select("step", F.expr(f"CAST(cell div {NI} AS BIGINT)").alias("j"), (F.col("cell") % NI).cast("long").alias("i"), r(F.col("value").cast("double")).alias("v"))
+
+
 @query(f"WITH {MESH} SELECT 'f' || lpad(CAST(step // 12 AS VARCHAR), 3, '0') || '.nc' AS file, step % 12 AS step, min(time) AS time, 'days since 1970-01-01' AS units, 'standard' AS calendar FROM mesh GROUP BY step // 12, step % 12")
 def netcdf_time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.read_time_axis(spark, exported(spark, sf_dir)).withColumn("file", F.element_at(F.split("file", "/"), -1))

@@ -15,6 +15,7 @@ from io import BytesIO
 from typing import BinaryIO
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -289,7 +290,8 @@ class NetCDF3Source(DataSource):
 def list_files(path: str, regex: str | None = None) -> list[str]:
     path = path.removeprefix("file://")
     found = glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path)
-    return sorted(p for p in found if not regex or re.search(regex, p))
+    shown = (p for p in found if not os.path.basename(p).startswith("_"))  # the rest are marks of writers
+    return sorted(p for p in shown if not regex or re.search(regex, p))
 
 
 def register(spark: SparkSession) -> None:
@@ -360,8 +362,8 @@ def read_staggered(spark: SparkSession, path: str, variables: list[str], t: str
     return {v: one(v) for v in variables}
 
 
-def write_file(path: str, dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> None:
-    """A NetCDF classic file (version 2) of fixed dimensions."""
+def encode(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> bytes:
+    """The content of a NetCDF classic file (version 2) of fixed dimensions."""
     out = bytearray(b"CDF\x02" + (0).to_bytes(4, "big"))
     put = lambda n, size=4: out.extend(int(n).to_bytes(size, "big"))
 
@@ -410,8 +412,27 @@ def write_file(path: str, dims: dict[str, int], variables: dict[str, tuple[tuple
     for k, blob in blobs.items():
         out[places[k] : places[k] + 8] = len(out).to_bytes(8, "big")
         out.extend(blob)
+    return bytes(out)
+
+
+def write_file(path: str, dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> None:
+    """A NetCDF classic file (version 2) of fixed dimensions."""
     with open(path, "wb") as f:
-        f.write(out)
+        f.write(encode(dims, variables, attributes))
+
+
+def grid_file(p: pd.DataFrame, variables: list[str], t_units: str, calendar: str, fill: float) -> bytes:
+    """The content of a NetCDF file of the mesh rows p, sorted by step and cell; cells without a row or a value hold the fill value."""
+    steps, times = np.unique(p["step"]), p.groupby("step")["time"].first().to_numpy()
+    nk, nj, ni = (int(p[c].max()) + 1 for c in ("k", "j", "i"))
+    at = (np.searchsorted(steps, p["step"]), p["k"].to_numpy(), p["j"].to_numpy(), p["i"].to_numpy())
+    axis = lambda c, idx, n: p.groupby(idx)[c].first().reindex(range(n)).to_numpy(dtype=float)
+    held = {"time": (("time",), times.astype(float), {"units": t_units, "calendar": calendar}), "lev": (("lev",), axis("z", "k", nk), {}), "lat": (("lat",), axis("y", "j", nj), {}), "lon": (("lon",), axis("x", "i", ni), {})}
+    for v in variables:
+        a = np.full((len(steps), nk, nj, ni), fill)
+        a[at] = p[v].astype(float).fillna(fill).to_numpy()
+        held[v] = (("time", "lev", "lat", "lon"), a, {"_FillValue": fill})
+    return encode({"time": len(steps), "lev": nk, "lat": nj, "lon": ni}, held)
 
 
 def export(df: DataFrame, folder: str, variables: list[str], file_key: str = "file", t_units: str = "days since 1970-01-01", calendar: str = "standard", fill: float = 1e20) -> DataFrame:
@@ -423,18 +444,10 @@ def export(df: DataFrame, folder: str, variables: list[str], file_key: str = "fi
 
     def one(t: pa.Table) -> pa.Table:
         p = t.to_pandas().sort_values(["step", "k", "j", "i"])
-        steps, times = np.unique(p["step"]), p.groupby("step")["time"].first().to_numpy()
-        nk, nj, ni = (int(p[c].max()) + 1 for c in ("k", "j", "i"))
-        at = (np.searchsorted(steps, p["step"]), p["k"].to_numpy(), p["j"].to_numpy(), p["i"].to_numpy())
-        axis = lambda c, idx, n: p.groupby(idx)[c].first().reindex(range(n)).to_numpy(dtype=float)
-        held = {"time": (("time",), times.astype(float), {"units": t_units, "calendar": calendar}), "lev": (("lev",), axis("z", "k", nk), {}), "lat": (("lat",), axis("y", "j", nj), {}), "lon": (("lon",), axis("x", "i", ni), {})}
-        for v in names:
-            a = np.full((len(steps), nk, nj, ni), fill)
-            a[at] = p[v].fillna(fill).to_numpy(dtype=float)
-            held[v] = (("time", "lev", "lat", "lon"), a, {"_FillValue": fill})
         path = os.path.join(folder, f"{p[file_key].iloc[0]}.nc")
-        write_file(path, {"time": len(steps), "lev": nk, "lat": nj, "lon": ni}, held)
-        return pa.table({"path": [path], "steps": [len(steps)]})
+        with open(path, "wb") as f:
+            f.write(grid_file(p, names, t_units, calendar, fill))
+        return pa.table({"path": [path], "steps": [p["step"].nunique()]})
 
     os.makedirs(folder, exist_ok=True)
     return df.groupBy(file_key).applyInArrow(one, "path string, steps long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +41,19 @@ def shape_file_mask(df: DataFrame, polygons: list[Polygon], result: str = "mask"
     return df.withColumn(result, point_in(F.col(x), F.col(y), [p.normalised() if normalize else p for p in polygons]).cast("tinyint"))
 
 
-def to_vtk(df: DataFrame, variables: list[str], step: int, title: str = "mesh") -> str:
-    """One step of a mesh as a legacy VTK rectilinear grid in ASCII: a step's field is what a viewer holds."""
-    p = df.where(F.col("step") == step).select("k", "j", "i", "z", "y", "x", *variables).toPandas().sort_values(["k", "j", "i"])
+def vtk_text(p: pd.DataFrame, variables: list[str], title: str = "mesh") -> str:
+    """The rows of one step, sorted by cell, as a legacy VTK rectilinear grid in ASCII."""
     axes = [p.groupby(i)[c].first().tolist() for c, i in (("x", "i"), ("y", "j"), ("z", "k"))]
     lines = ["# vtk DataFile Version 2.0", title, "ASCII", "DATASET RECTILINEAR_GRID", "DIMENSIONS " + " ".join(str(len(a)) for a in axes)]
     for name, a in zip("XYZ", axes, strict=True):
         lines += [f"{name}_COORDINATES {len(a)} double", " ".join(map(repr, a))]
     lines.append(f"POINT_DATA {len(p)}")
     for v in variables:
-        lines += [f"SCALARS {v} double 1", "LOOKUP_TABLE default", " ".join(repr(float(x)) for x in p[v])]
+        lines += [f"SCALARS {v} double 1", "LOOKUP_TABLE default", " ".join(map(repr, p[v].astype(float).tolist()))]
     return "\n".join(lines) + "\n"
+
+
+def to_vtk(df: DataFrame, variables: list[str], step: int, title: str = "mesh") -> str:
+    """One step of a mesh as text for a viewer on the driver; `mesh_files.write_files` writes all steps from executors."""
+    p = df.where(F.col("step") == step).select("k", "j", "i", "z", "y", "x", *variables).toPandas().sort_values(["k", "j", "i"])
+    return vtk_text(p, variables, title)

@@ -18,7 +18,7 @@ from isobar.operators.temporal import OPERATORS
 
 def windowed_reduction(stream: DataFrame, time: str, width: str, variables: list[str], operator: str, by: list[str] | None = None, late: str = "1 day", slide: str | None = None) -> DataFrame:
     """A reduction over event-time windows; rows later than the watermark are left out."""
-    window = F.window(F.col(time).cast("timestamp"), width, slide) if slide else F.window(F.col(time).cast("timestamp"), width)
+    window = F.window(time, width, slide) if slide else F.window(time, width)  # of the column itself: an expression of it would lose its watermark
     marked = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     out = marked.groupBy(window.alias("interval"), *(by or [])).agg(*(OPERATORS[operator](v).alias(v) for v in variables), F.count("*").alias("n"))
     return out.select(F.col("interval.start").alias("start"), F.col("interval.end").alias("end"), *(by or []), *variables, "n")
