@@ -71,12 +71,28 @@ def register_interval(name: str, add: Interval) -> None:
     INTERVALS[name] = add
 
 
-def with_interval(df: DataFrame, interval: str, units: str, calendar: str, n_steps: int | None = None, step: str = "step", time: str = "time") -> DataFrame:
+def _placed(df: DataFrame, intervals: DataFrame, steps: DataFrame, on: list[str]) -> DataFrame:
+    n = steps.limit(MOST_STEPS + 1).count()
+    return df.join(F.broadcast(intervals) if n <= MOST_STEPS else intervals, on)
+
+
+def with_interval(df: DataFrame, interval: str, units: str, calendar: str, n_steps: int | None = None, step: str = "step", time: str = "time", axis: DataFrame | None = None) -> DataFrame:
     """Adds `interval`: yyyymmdd, yyyymm, yyyy, season year * 10 + (0 DJF .. 3 SON), 0, or the block of n_steps.
 
     Rows outside whole seasons (a season with a missing month) and of a last partial block of n_steps are dropped. What is
     needed for that is an aggregate by interval.
+
+    `axis` is the time axis, if a source knows it (a catalogue of files does): a row for each step, with `time`, `step` or both.
+    Dates are then decoded, and whole seasons and blocks found, there; the cells are read once. Cells at no step of the axis go.
     """
+    if axis is not None:
+        on = [c for c in (step, time) if c in axis.columns]
+        if interval != "all" and (step if interval == "n_steps" else time) not in on:
+            raise ValueError(f"the axis of {interval} intervals takes a column {step if interval == 'n_steps' else time}")
+        steps = axis.select(*on).distinct()
+        if len(on) < 2:  # the other is not looked at
+            steps = steps.withColumn(time if on == [step] else step, F.lit(0).cast("long"))
+        return _placed(df, with_interval(steps, interval, units, calendar, n_steps, step, time).select(*on, "interval"), steps, on)
     if interval == "n_steps":
         if not n_steps or n_steps < 1:
             raise ValueError("n_steps takes a number of steps")
@@ -89,27 +105,25 @@ def with_interval(df: DataFrame, interval: str, units: str, calendar: str, n_ste
     if interval == "seasonal":
         # dates are decoded and whole seasons found on the time axis, a row for each step, not on the cells
         steps = df.select(step, time).distinct()
-        n = steps.limit(MOST_STEPS + 1).count()
-        axis = _season(steps, step, time, units, calendar)
-        whole = axis.groupBy("interval").agg(F.count_distinct("__month").alias("__months")).where("__months = 3").select("interval")
-        axis = axis.join(whole, "interval", "left_semi").select(step, time, "interval")
-        return df.join(F.broadcast(axis) if n <= MOST_STEPS else axis, [step, time])
+        seasons = _season(steps, step, time, units, calendar)
+        whole = seasons.groupBy("interval").agg(F.count_distinct("__month").alias("__months")).where("__months = 3").select("interval")
+        return _placed(df, seasons.join(whole, "interval", "left_semi").select(step, time, "interval"), steps, [step, time])
     return INTERVALS[interval](df, step, time, units, calendar)
 
 
-def temporal_reduction(df: DataFrame, variables: list[str], operator: str, interval: str, units: str = "days since 1970-01-01", calendar: str = "standard", n_steps: int | None = None, cell: tuple[str, ...] = ("j", "i"), step: str = "step", time: str = "time") -> DataFrame:
+def temporal_reduction(df: DataFrame, variables: list[str], operator: str, interval: str, units: str = "days since 1970-01-01", calendar: str = "standard", n_steps: int | None = None, cell: tuple[str, ...] = ("j", "i"), step: str = "step", time: str = "time", axis: DataFrame | None = None) -> DataFrame:
     """A reduction of each variable over intervals, by cell: rows (interval, cell, time of the first step, variables).
 
     Missing values are skipped; an interval without a value is missing.
     """
-    keyed = with_interval(df, interval, units, calendar, n_steps, step, time)
+    keyed = with_interval(df, interval, units, calendar, n_steps, step, time, axis)
     build = OPERATORS[operator]
     return keyed.groupBy("interval", *cell).agg(F.min(time).alias(time), *(build(v).alias(v) for v in variables))
 
 
-def temporal_percentile(df: DataFrame, variables: list[str], percentile: float, interval: str, units: str = "days since 1970-01-01", calendar: str = "standard", n_steps: int | None = None, cell: tuple[str, ...] = ("j", "i"), step: str = "step", time: str = "time") -> DataFrame:
+def temporal_percentile(df: DataFrame, variables: list[str], percentile: float, interval: str, units: str = "days since 1970-01-01", calendar: str = "standard", n_steps: int | None = None, cell: tuple[str, ...] = ("j", "i"), step: str = "step", time: str = "time", axis: DataFrame | None = None) -> DataFrame:
     """The percentile (linear between order statistics, missing values skipped) over intervals, by cell."""
-    keyed = with_interval(df, interval, units, calendar, n_steps, step, time)
+    keyed = with_interval(df, interval, units, calendar, n_steps, step, time, axis)
     return keyed.groupBy("interval", *cell).agg(F.min(time).alias(time), *(F.percentile(v, F.lit(percentile / 100.0)).alias(v) for v in variables))
 
 

@@ -617,6 +617,18 @@ def netcdf_time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.read_time_axis(spark, exported(spark, sf_dir)).withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+@query(
+    f"WITH {MESH}, m AS (SELECT *, DATE '1970-01-01' + CAST(time AS INTEGER) AS day FROM mesh), s AS (SELECT *, {_KEYS['seasonal']} AS interval FROM m), "
+    "w AS (SELECT interval FROM s GROUP BY 1 HAVING count(DISTINCT month(day)) = 3) SELECT interval, j, i, min(time) AS time, round(avg(v0), 4) + 0.0 AS v FROM s WHERE interval IN (SELECT interval FROM w) GROUP BY 1, 2, 3"
+)
+def netcdf_seasonal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasons of a mesh in files, found on the time axis of the files' headers; the cells are read once."""
+    folder = exported(spark, sf_dir)
+    m = spark.read.format("netcdf3").options(path=folder, variables="v0", z_axis_variable="lev").load()
+    axis = catalogue.read_time_axis(spark, folder).select("time")
+    return temporal.temporal_reduction(m, ["v0"], "average", "seasonal", cell=("j", "i"), axis=axis).select("interval", "j", "i", "time", r("v0", 4).alias("v"))
+
+
 @query(f"WITH {MESH} SELECT step, j, i, time, round(v0, 6) + 0.0 AS v FROM mesh WHERE time >= 600 AND time < 1500 AND y >= 5 AND x < 175")
 def netcdf_catalogued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan planned from a catalogue: bounds leave out blocks by their times, then rows and columns of what is read."""

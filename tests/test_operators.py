@@ -568,3 +568,26 @@ def test_seasons_are_found_on_the_time_axis(spark):
     m = grid(spark, {"v": lambda x, y, z, t: t}, nx=2, ny=2, nt=14, bounds=(0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 390.0))  # days since 2000-01-01
     got = temporal.temporal_reduction(m, ["v"], "average", "seasonal", "days since 2000-01-01", "360_day").select("interval", "v").distinct().collect()
     assert {r["interval"]: r["v"] for r in got} == {20001: 90.0, 20002: 180.0, 20003: 270.0, 20010: 360.0}
+
+
+@pytest.mark.parametrize("interval", ["daily", "monthly", "seasonal", "yearly", "n_steps", "all"])
+def test_intervals_on_a_given_time_axis_equal_those_of_the_cells(spark, interval):
+    m = meshes.mesh_source(spark, 2, 2, 1, 400, (0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 20.0, 419.0), {"v": lambda x, y, z, t: x + t})
+    args = (["v"], "average", interval, "days since 2001-01-01", "noleap", 30)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    expected = key(temporal.temporal_reduction(m, *args))
+    axis = m.select("step", "time").distinct()
+    assert key(temporal.temporal_reduction(m, *args, axis=axis)) == expected
+    only = "step" if interval == "n_steps" else "time"
+    assert key(temporal.temporal_reduction(m, *args, axis=axis.select(only).unionByName(axis.select(only)))) == expected
+    assert key(temporal.temporal_reduction(m, *args, axis=axis.limit(0))) == []
+    if interval != "all":
+        with pytest.raises(ValueError, match="takes a column"):
+            temporal.temporal_reduction(m, *args, axis=axis.drop(only))
+
+
+def test_a_time_axis_spares_the_scan_of_the_cells(spark):
+    m = meshes.mesh_source(spark, 2, 2, 1, 400, (0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 399.0), {"v": lambda x, y, z, t: x + t})
+    scans = lambda **kw: temporal.temporal_reduction(m, ["v"], "average", "seasonal", "days since 2001-01-01", "noleap", **kw)._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 1600")
+    axis = spark.createDataFrame([(float(d),) for d in range(400)], "time double")
+    assert scans() == 3 and scans(axis=axis) == 1
