@@ -5,9 +5,13 @@ overlap each other and the base ones: addresses written out ("name at host dot c
 numbers without a plus. Boosted trees score a proposal by features of its format and of its context.
 
 They are trained here, without labels of people: spans of the base rules are positive, also rewritten as a writer would (no plus, "at" for @,
-other separators); proposals that touch no base span are negative. The counts of the distinct feature vectors over the whole corpus are all that the fit sees; they are
-made by Spark, and at most FIT_CELLS of them reach the driver. Half of the span texts are held out, and calibrate each kind's threshold: the least score from which on PRECISION of
-the held-out proposals are positive. Trees are rendered as SQL expressions.
+other separators); proposals that touch no base span are negative. The fit sees the counts of all distinct feature vectors of the whole corpus, without a
+sample or a cap. They stay in Spark: each level of a round's trees (of all kinds together) is one aggregation, of gradients by leaf, feature and value, and
+only these sums reach the driver, whose number follows from the ranges of FEATURES. Half of the span texts are held out, and calibrate each kind's threshold:
+the least score from which on PRECISION of the held-out proposals are positive. Trees are rendered as SQL expressions.
+
+Gradients are summed as whole numbers, so that a fit gives the same trees however the rows are dealt. Values of leaves are multiples of 1 / GRID up to LEAF:
+sums of trees are exact, and the scores that thresholds are chosen from are few.
 
 A proposal is taken if it reaches its kind's threshold, touches no base span, and scores higher than the proposals that it overlaps (of a
 chain, from left to right; ties stay with the first). Base spans always stay, also where they overlap each other.
@@ -21,19 +25,22 @@ columns of any other name pass through. Starts and ends count code points from 0
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import fresh
+from isobar.llm.common import Scratch, fresh
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct feature vectors (with their counts) that the fit reads, the most frequent first.
-FIT_CELLS = 20_000
 PRECISION = 0.95
 ROUNDS, DEPTH, RATE, L2 = 24, 3, 0.3, 1.0
+#: The largest value of a leaf, and how many values there are from one whole number to the next.
+LEAF, GRID = 2.0, 1024
+#: Rounds after which the odds so far are written, so that expressions stay short.
+STAGED = 6
 #: Spans that one step of a scan appends to at a time; keeps long lists linear.
 BLOCK = 256
 
@@ -156,51 +163,108 @@ def _free(df: DataFrame, items: str) -> DataFrame:
 
 @dataclass
 class Tree:
-    """A split of a feature at a value (up to it: left), or a leaf."""
+    """A split of a feature at a value (up to it: left), or a leaf; a leaf that may still be split has a number, its `node`."""
 
     feature: str | None = None
     cut: int = 0
     left: Tree | None = None
     right: Tree | None = None
     value: float = 0.0
+    node: int = -1
 
-    def sql(self) -> str:
-        return f"cast({self.value!r} as double)" if self.feature is None else f"if(x.f.{self.feature} <= {self.cut}, {self.left.sql()}, {self.right.sql()})"
+    def sql(self, what: str = "value") -> str:
+        return f"cast({getattr(self, what)!r} as double)" if self.feature is None else f"if(x.f.{self.feature} <= {self.cut}, {self.left.sql(what)}, {self.right.sql(what)})"
 
-    def of(self, x: np.ndarray, names: list[str]) -> np.ndarray:
+    def of(self, x: np.ndarray, names: list[str], what: str = "value") -> np.ndarray:
         if self.feature is None:
-            return np.full(len(x), self.value)
+            return np.full(len(x), getattr(self, what))
         on = x[:, names.index(self.feature)] <= self.cut
-        return np.where(on, self.left.of(x, names), self.right.of(x, names))
+        return np.where(on, self.left.of(x, names, what), self.right.of(x, names, what))
+
+
+def leaf(g: float, h: float) -> Tree:
+    return Tree(value=float(np.clip(np.rint(GRID * RATE * g / (h + L2)) / GRID, -LEAF, LEAF)))
+
 
+def divide(tree: Tree, sums: np.ndarray, weight: tuple[float, float], names: list[str]) -> list[Tree]:
+    """Splits a leaf where that lowers the loss most by its second-order form, and gives the two new ones; none if nothing lowers it.
 
-def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, names: list[str], depth: int) -> Tree:
-    """The tree that lowers the loss most by its second-order form, one split after the other."""
-    best = (1e-9, None, 0)
-    total = g.sum() ** 2 / (h.sum() + L2)
-    for j in range(x.shape[1]) if depth else ():
-        values, at = np.unique(x[:, j], return_inverse=True)
-        gl, hl = np.cumsum(np.bincount(at, g))[:-1], np.cumsum(np.bincount(at, h))[:-1]
-        gain = gl**2 / (hl + L2) + (g.sum() - gl) ** 2 / (h.sum() - hl + L2) - total
+    `sums` has rows (feature, value, g and h where y is 0, g and h where y is 1), whole numbers by feature, then value."""
+    of = lambda s: (weight[0] * s[..., 0] + weight[1] * s[..., 2], weight[0] * s[..., 1] + weight[1] * s[..., 3])
+    every = sums[sums[:, 0] == 0, 2:].sum(axis=0)
+    g, h = of(every)
+    tree.value, tree.node = leaf(g, h).value, -1
+    best = (1e-9, None, 0, None)
+    for j in range(len(names)):
+        rows = sums[sums[:, 0] == j]
+        left = np.cumsum(rows[:, 2:], axis=0)[:-1]
+        (gl, hl), (gr, hr) = of(left), of(every - left)
+        gain = gl**2 / (hl + L2) + gr**2 / (hr + L2) - g**2 / (h + L2)
         if len(gain) and gain.max() > best[0]:
-            best = (gain.max(), j, int(values[int(gain.argmax())]))
+            at = int(gain.argmax())
+            best = (gain[at], names[j], int(rows[at, 1]), left[at])
     if best[1] is None:
-        return Tree(value=float(RATE * g.sum() / (h.sum() + L2)))
-    on = x[:, best[1]] <= best[2]
-    return Tree(names[best[1]], best[2], grow(x[on], g[on], h[on], names, depth - 1), grow(x[~on], g[~on], h[~on], names, depth - 1))
+        return []
+    _, tree.feature, tree.cut, left = best
+    tree.left, tree.right = leaf(*of(left)), leaf(*of(every - left))
+    return [tree.left, tree.right]
 
 
-def boost(x: np.ndarray, y: np.ndarray, n: np.ndarray, names: list[str]) -> list[Tree]:
-    """Trees for the log odds of y, for rows that count n times; both labels weigh alike."""
-    w = n * np.where(y == 1, 0.5 / max(n[y == 1].sum(), 1), 0.5 / max(n[y == 0].sum(), 1)) * min(n.sum(), 10_000)
-    odds, trees = np.zeros(len(y)), []
+def class_weights(n: tuple[int, int], scale: int) -> tuple[float, float]:
+    """What a row weighs where y is 0 and 1, of n such rows; both labels weigh alike."""
+    return tuple(0.5 / max(m, 1) * min(sum(n), 10_000) / scale for m in n)
+
+
+def grow(weights: dict[int, tuple[float, float]], names: list[str], sums: Callable, settle: Callable) -> dict[int, list[Tree]]:
+    """Trees of each kind for the log odds of y.
+
+    `sums` gives the sums of `divide` by (kind, node) for trees by kind, `settle` adds finished trees to the odds."""
+    trees: dict[int, list[Tree]] = {k: [] for k in weights}
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-odds))
-        trees.append(grow(x, w * (y - p), w * p * (1 - p), names, DEPTH))
-        odds += trees[-1].of(x, names)
+        new = {k: Tree() for k in weights}
+        leaves = {k: [t] for k, t in new.items()}
+        for _ in range(DEPTH):
+            for of_kind in leaves.values():
+                for i, t in enumerate(of_kind):
+                    t.node = i
+            told = sums(new) if any(leaves.values()) else {}
+            leaves = {k: [t for i, node in enumerate(of_kind) for t in divide(node, told[k, i], weights[k], names)] for k, of_kind in leaves.items()}
+        settle(new)
+        for k, t in new.items():
+            trees[k].append(t)
     return trees
 
 
+def whole(n: int) -> int:
+    """The power of two by which gradients of n rows become whole numbers whose sums fit in a long."""
+    return 1 << min(30, 62 - int(n).bit_length())
+
+
+def boost(x: np.ndarray, y: np.ndarray, n: np.ndarray, names: list[str]) -> list[Tree]:
+    """The trees of one kind for rows in memory that count n times: what `train_personal_data` does with Spark's sums."""
+    n, odds, scale = n.astype(np.int64), np.zeros(len(y)), whole(n.sum())
+
+    def sums(trees: dict[int, Tree]) -> dict[tuple[int, int], np.ndarray]:
+        p, node, told = 1 / (1 + np.exp(-odds)), trees[0].of(x, names, "node"), {}
+        g, h = (n * np.rint(v * scale).astype(np.int64) for v in (y - p, p * (1 - p)))
+        for i in range(node.max() + 1):
+            rows = []
+            for j in range(len(names)):
+                values, at = np.unique(x[node == i, j], return_inverse=True)
+                out = np.zeros((len(values), 6), np.int64)
+                out[:, 0], out[:, 1] = j, values
+                for c, (v, label) in enumerate([(g, 0), (h, 0), (g, 1), (h, 1)]):
+                    np.add.at(out[:, c + 2], at, np.where(y == label, v, 0)[node == i])
+                rows.append(out)
+            told[0, i] = np.concatenate(rows)
+        return told
+
+    def settle(trees: dict[int, Tree]) -> None:
+        odds[:] += trees[0].of(x, names)
+
+    return grow({0: class_weights((n[y == 0].sum(), n[y == 1].sum()), scale)}, names, sums, settle)[0]
+
+
 def threshold(score: np.ndarray, y: np.ndarray, n: np.ndarray, precision: float) -> float | None:
     """Where scores from there on hold a share `precision` of positives, halfway to the next lower score; None if nowhere."""
     values, at = np.unique(-score, return_inverse=True)
@@ -235,21 +299,68 @@ def fit_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return cells.agg(F.count("*").alias("n"))
 
 
+class Cells:
+    """The feature vectors and their counts, staged with the odds so far; the sums and the settling of `grow` over them."""
+
+    def __init__(self, cells: DataFrame):
+        self.scratch = Scratch(cells.sparkSession)
+        x = F.struct(F.struct(*FEATURES).alias("f")).alias("x")
+        self.rows = self.scratch.keep(cells.select("kind", "held_out", "y", "n", x, F.lit(0.0).alias("odds")), "cells")
+        self.totals = {(r["kind"], r["held_out"], r["y"]): r["n"] for r in self.rows.groupBy("kind", "held_out", "y").agg(F.sum("n").alias("n")).collect()}
+        self.scale = whole(sum(self.totals.values()))
+        self.since: list[dict[int, Tree]] = []  # trees that the staged odds lack
+
+    @staticmethod
+    def _by_kind(trees: dict[int, Tree], what: str, other: float) -> str:
+        return "case kind " + " ".join(f"when {k} then {t.sql(what)}" for k, t in trees.items()) + f" else cast({other} as double) end"
+
+    def _odds(self) -> str:
+        return " + ".join(["odds", *(self._by_kind(t, "value", 0) for t in self.since)])
+
+    def sums(self, trees: dict[int, Tree]) -> dict[tuple[int, int], np.ndarray]:
+        rows = self.rows.where("not held_out").withColumn("node", F.expr(self._by_kind(trees, "node", -1)).cast("int")).where("node >= 0")
+        rows = rows.withColumn("p", F.expr(f"1 / (1 + exp(-({self._odds()})))"))
+        g, h = (F.expr(f"n * cast(rint({v} * {self.scale}) as bigint)") for v in ("(y - p)", "p * (1 - p)"))
+        told = rows.select("kind", "node", "y", g.alias("g"), h.alias("h"), F.posexplode(F.array(*(f"x.f.{c}" for c in FEATURES))).alias("j", "v"))
+        own = [F.sum(F.when(F.col("y") == y, F.col(c)).otherwise(0)) for y in (0, 1) for c in "gh"]
+        out: dict[tuple[int, int], list] = {}
+        for r in sorted(tuple(r) for r in told.groupBy("kind", "node", "j", "v").agg(*own).collect()):
+            out.setdefault(r[:2], []).append(r[2:])
+        return {k: np.array(v, np.int64) for k, v in out.items()}
+
+    def settle(self, trees: dict[int, Tree]) -> None:
+        self.since.append(trees)
+        if len(self.since) == STAGED:
+            self.stage()
+
+    def stage(self) -> None:
+        if self.since:
+            held, self.rows = self.rows, self.scratch.keep(self.rows.withColumn("odds", F.expr(self._odds())), "cells")
+            self.scratch.drop(held)
+            self.since = []
+
+    def held_out(self) -> dict[int, np.ndarray]:
+        """By kind, rows (score, y, n) of what is held out."""
+        self.stage()
+        out: dict[int, list] = {}
+        for r in self.rows.where("held_out").groupBy("kind", "odds", "y").agg(F.sum("n").alias("n")).collect():
+            out.setdefault(r["kind"], []).append((r["odds"], r["y"], r["n"]))
+        return {k: np.array(v, np.float64) for k, v in out.items()}
+
+
 def train_personal_data(docs: DataFrame, text_col: str = "text") -> Model:
-    """Trees and thresholds from the base spans of docs and from proposals that touch none."""
-    cells = fit_cells(docs, text_col).orderBy(F.desc("n"), *("kind", "held_out", "y", *FEATURES)).limit(FIT_CELLS).collect()
-    model, names = Model(), list(FEATURES)
-    for j, k in enumerate(KINDS):
-        rows = [r for r in cells if r["kind"] == j]
-        x = np.array([[r[c] for c in names] for r in rows], np.int64).reshape(-1, len(names))
-        y, n, out = (np.array([r[c] for r in rows], np.float64) for c in ("y", "n", "held_out"))
-        fit = out == 0
-        if not (y[fit] == 1).any() or not (y[~fit] == 1).any():
-            continue
-        trees = boost(x[fit], y[fit], n[fit], names)
-        least = threshold(sum(t.of(x[~fit], names) for t in trees), y[~fit], n[~fit], PRECISION)
-        if least is not None:
-            model.trees[k], model.least[k] = trees, least
+    """Trees and thresholds from the base spans of docs and from proposals that touch none, all of them."""
+    cells, model = Cells(fit_cells(docs, text_col)), Model()
+    fit = [j for j in range(len(KINDS)) if {(j, False, 1), (j, True, 1)} <= set(cells.totals)]
+    if fit:
+        weights = {j: class_weights(tuple(cells.totals.get((j, False, y), 0) for y in (0, 1)), cells.scale) for j in fit}
+        trees = grow(weights, list(FEATURES), cells.sums, cells.settle)
+        held = cells.held_out()
+        for j in fit:
+            least = threshold(*held[j].T, PRECISION)
+            if least is not None:
+                model.trees[KINDS[j]], model.least[KINDS[j]] = trees[j], least
+    cells.scratch.drop(cells.rows)
     return model
 
 

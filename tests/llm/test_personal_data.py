@@ -158,3 +158,25 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "é mail a@b.c or 1.2.3.4."), (2, "none"), (3, None), (4, "+4930123456 x")], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_personal_data(df, pii.Model())).collect()}
     assert out == {1: "é mail [EMAIL] or [IP].", 2: "none", 3: None, 4: "[PHONE] x"}
+
+
+def test_fit_reads_every_feature_vector(spark, monkeypatch):
+    """20,000 vectors of a frequent kind leave out no rare one; Spark's sums give the trees of plain arrays, however rows are dealt."""
+    names = list(pii.FEATURES)
+    told = lambda f: [f.get(c, "0") + f" AS {c}" for c in names]
+    many = {c: f"cast(id div {10**i} % 10 AS int)" for i, c in enumerate(names[:5])}
+    often = spark.range(20_000).selectExpr("0 AS kind", "id % 3 = 0 AS held_out", "cast(id % 10 > 4 and id div 100 % 10 < 7 AS int) AS y", *told(many), "2L AS n")
+    rare = spark.range(40).selectExpr("3 AS kind", "id % 4 >= 2 AS held_out", "cast(id % 2 AS int) AS y", *told({"plus": "cast(id % 2 AS int)", "first": "cast(id div 7 AS int)"}), "1L AS n")
+    cells = often.unionByName(rare)
+    monkeypatch.setattr(pii, "fit_cells", lambda docs, text_col="text": cells)
+    monkeypatch.setattr(pii, "ROUNDS", 8)
+    model = pii.train_personal_data(cells)
+    assert set(model.trees) == {"email", "phone"}
+    for k in model.trees:
+        rows = cells.where(f"kind = {pii.KINDS.index(k)}").toPandas()
+        fit, out = rows[~rows.held_out], rows[rows.held_out]
+        trees = pii.boost(fit[names].to_numpy(), fit.y.to_numpy(), fit.n.to_numpy(), names)
+        score = sum(t.of(out[names].to_numpy(), names) for t in trees)
+        assert model.trees[k] == trees and model.least[k] == pii.threshold(score, out.y.to_numpy(), out.n.to_numpy(), pii.PRECISION)
+    cells = cells.repartition(7, "digits")
+    assert pii.train_personal_data(cells) == model
