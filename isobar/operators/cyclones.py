@@ -7,13 +7,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from isobar.functions import geometry as geo
 from isobar.model import AXES, Axes, shared_folder
-from isobar.operators.graph import components
 
 # Candidates -----------------------------------------------------------------
 
@@ -191,22 +192,15 @@ def tc_candidates(df: DataFrame, wind: str = "surface_wind", vorticity: str = "8
 
 
 def link(t: pd.DataFrame, max_daily_distance: float, min_wind: float, min_duration: float, interval: int) -> pd.DataFrame:
-    """Greedy tracks over candidates in row order: each start takes the nearest free candidate of the next step until none is near enough.
-
-    The step that follows each row's and its time are read from next_step and next_time (missing: there is none), or else are the next in t.
-    """
+    """Greedy tracks over candidates in row order, the plain form: each start takes the nearest free candidate of the next step until none is near enough."""
     t = t.reset_index(drop=True)
     step, time = t["step"].to_numpy(), t["time"].to_numpy()
     lon, lat = np.radians(t["lon"].to_numpy()), np.radians(t["lat"].to_numpy())
     strong = ((t["surface_wind"] >= min_wind) & (t["have_core_temp"] != 0) & (t["have_thickness"] != 0)).to_numpy()
     starts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(t) else np.zeros(0, int)
     where = {int(step[a]): (a, b) for a, b in zip(starts, np.r_[starts[1:], len(t)], strict=True)}
-    if "next_step" in t:
-        then, then_time = t["next_step"].to_numpy(float, na_value=np.nan), t["next_time"].to_numpy(float, na_value=np.nan)
-        t = t.drop(columns=["next_step", "next_time"])
-    else:
-        after = np.searchsorted(starts, np.arange(len(t)), side="right")
-        then, then_time = (np.r_[x[starts].astype(float), np.nan][after] for x in (step, time))
+    after = np.searchsorted(starts, np.arange(len(t)), side="right")
+    then, then_time = (np.r_[x[starts].astype(float), np.nan][after] for x in (step, time))
     free = np.ones(len(t), dtype=bool)
     parts, track_id = [], 0
     for first in range(len(t)):
@@ -224,7 +218,7 @@ def link(t: pd.DataFrame, max_daily_distance: float, min_wind: float, min_durati
                 windy += dt
             a, b = where.get(int(then[tip]), (0, 0))
             near = a + np.flatnonzero(free[a:b])
-            dist = geo.MEAN_KM * np.hypot((lon[near] - lon[tip]) * np.cos(lat[tip]), lat[near] - lat[tip])
+            dist = _distance(lon[tip], lat[tip], lon[near], lat[near])
             fine = dist <= max_daily_distance * dt
             if not fine.any():
                 break
@@ -244,77 +238,271 @@ def link(t: pd.DataFrame, max_daily_distance: float, min_wind: float, min_durati
 
 
 TRACK_COLUMNS = ["track_id", "storm_id", "step", "time", "lon", "lat", "duration", "wind_duration", "surface_wind", "850mb_vorticity", "sea_level_pressure", "have_core_temp", "have_thickness", "core_temp", "thickness", "storm_speed"]
-TRACK_DDL = "bucket long, track_id long, storm_id int, step long, time double, lon double, lat double, duration double, wind_duration double, surface_wind double, `850mb_vorticity` double, sea_level_pressure double, have_core_temp int, have_thickness int, core_temp double, thickness double, storm_speed double"
-#: Links between near candidates that are made for each candidate at most; where there would be more, series are cut at gaps only.
+#: A candidate, its place in its series, the places of the next step near it, and its track so far (missing before the walk).
+WALK_DDL = f"{CANDIDATE_DDL}, shard long, at int, next_step long, next_time double, near binary, more boolean, first_step long, first_at int, duration double, wind_duration double, storm_speed double"
+#: Places of the next step that are listed for each candidate at most; a tip that finds all of them taken looks among all places that are free.
 MOST_NEAR = 32
+#: Candidates of a series that a task walks at once (a step at least); the next task goes on from its tips.
+WALKED = 1 << 19
+#: Entries of a matrix of distances.
+AT_ONCE = 1 << 21
+
+
+def _distance(lon: np.ndarray, lat: np.ndarray, to_lon: np.ndarray, to_lat: np.ndarray) -> np.ndarray:
+    """Kilometres from tips to candidates (radians), by the tips' latitude."""
+    return geo.MEAN_KM * np.hypot((to_lon - lon) * np.cos(lat), to_lat - lat)
 
 
-def _near(candidates: DataFrame, axis: DataFrame, reach: float, interval: int, counts: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Sides of an equal-keys join that pairs each candidate with those of the next step within its reach: (tips, others), keys __s, __y, __x.
+def _places(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longitudes and latitudes of the distinct places, in order of latitude, and each row's place (-1 where a coordinate is missing)."""
+    rows = np.flatnonzero(np.isfinite(lon) & np.isfinite(lat))
+    rows = rows[np.lexsort((lon[rows], lat[rows]))]
+    x, y = lon[rows], lat[rows]
+    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(rows)]
+    place = np.full(len(lon), -1)
+    place[rows] = np.cumsum(new) - 1
+    return x[new], y[new], place
 
-    Cells are as wide as the reach of a step; a tip looks into three rows of cells, and there as far as its reach in longitude.
+
+def _nearest(lon: np.ndarray, lat: np.ndarray, reach: np.ndarray, to_lon: np.ndarray, to_lat: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each point the nearest places within its reach, `most` at most: distances in order (inf: no more), places, and whether others may be in reach.
+
+    Of places at one distance all are listed or none. A point looks around itself as far as it takes to see enough places; points that look
+    equally far share a grid of bands of latitude, sorted by longitude.
+    """
+    n, m = len(lon), len(to_lon)
+    dist, place, more = np.full((n, most), np.inf), np.zeros((n, most), np.int32), np.zeros(n, bool)
+    if not m:
+        return dist, place, more
+    cos, far, x0, span, tall = np.abs(np.cos(lat)), reach / geo.MEAN_KM, to_lon.min(), np.ptp(to_lon), np.ptp(to_lat)
+    want = 1.5 * most + 8
+    guess = np.maximum(np.sqrt(want * span * tall * cos / (np.pi * m)), want * tall / (2 * m))
+    levels = lambda r: np.ceil(2 * np.log2(np.clip(r, 1e-12, 1e18))).astype(int)  # noqa: E731  of radii, by factors of the root of 2
+    level, few = np.minimum(levels(guess), levels(far)), np.full(n, -1000)
+    todo = np.flatnonzero(reach >= 0)
+    while len(todo):
+        now = level[todo[0]]
+        group, r = todo[level[todo] == now], 2.0 ** (now / 2)
+        side = r * (1 + 1e-9)
+        band = np.floor(to_lat / r)
+        order = np.lexsort((to_lon, band))
+        band, slot = band[order], span + 1
+        key = (band - band[0]) * slot + (to_lon[order] - x0)
+        slack = 4 * np.spacing(key[-1])
+        low, wide = np.floor((lat[group] - side) / r), side / np.maximum(cos[group], 1e-30)
+        west, east = np.clip(lon[group] - wide - x0, 0, slot), np.clip(lon[group] + wide - x0, -0.5, span)
+        start, size = np.zeros((2, len(group), 4), int)
+        for k in range(4):
+            own = low + k
+            a, b = np.searchsorted(band, own), np.searchsorted(band, own, side="right")
+            start[:, k] = np.clip(np.searchsorted(key, (own - band[0]) * slot + west - slack), a, b)
+            size[:, k] = np.clip(np.searchsorted(key, (own - band[0]) * slot + east + slack, side="right"), start[:, k], b) - start[:, k]
+        total = size.sum(axis=1)
+        many = (total > 8 * want) & (few[group] < now - 1) & (now > -80)
+        level[group[many]] -= 1
+        found = np.zeros(len(group), bool)
+        rest = np.flatnonzero(~many)
+        rest = rest[np.argsort(total[rest], kind="stable")]
+        while len(rest):
+            # rows of like counts, as many as fit
+            fit = max(1, int(np.count_nonzero((np.arange(len(rest)) + 1) * np.maximum(total[rest], 1) <= AT_ONCE)))
+            part, rest = rest[:fit], rest[fit:]
+            g, width = group[part], max(int(total[part].max()), 1)
+            pos, ends = np.arange(width), np.cumsum(size[part], axis=1)
+            shift = start[part] - ends + size[part]
+            at = pos + shift[:, :1]
+            for k in range(1, 4):
+                at += (pos >= ends[:, k - 1 : k]) * (shift[:, k] - shift[:, k - 1])[:, None]
+            out = pos >= ends[:, 3:]
+            at[out] = 0
+            at = order[at]
+            d = _distance(lon[g, None], lat[g, None], to_lon[at], to_lat[at])
+            whole = (r >= far[g]) | (total[part] == m)
+            d[out | (d > np.where(whole, reach[g], r * geo.MEAN_KM)[:, None])] = np.inf
+            done = whole | (np.count_nonzero(d < np.inf, axis=1) > most)
+            found[part] = done
+            few[g[~done]] = now
+            level[g[~done]] += 1
+            g, d, at = g[done], d[done], at[done]
+            if width > most + 1:
+                first = np.argpartition(d, most, axis=1)[:, : most + 1]
+                d, at = np.take_along_axis(d, first, 1), np.take_along_axis(at, first, 1)
+            first = np.argsort(d, axis=1, kind="stable")
+            d, at = np.take_along_axis(d, first, 1), np.take_along_axis(at, first, 1)
+            if width > most:
+                more[g] = d[:, most] < np.inf
+                d = np.where(d[:, :most] < d[:, most:], d[:, :most], np.inf)
+            dist[g, : d.shape[1]], place[g, : d.shape[1]] = d, at[:, : d.shape[1]]
+        todo = np.setdiff1d(todo, group[found], assume_unique=True)
+    return dist, place, more
+
+
+def _numbers(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+
+
+def _near(tips: pa.Table, others: pa.Table, max_daily_distance: float, interval: int, most: int) -> pa.Table:
+    """The candidates of a step in their order, each with the places of the next step within its reach (a place tied with the one before it: inverted)."""
+    tips = tips.sort_by("storm_id")
+    lon, lat, to_lon, to_lat = (np.radians(_numbers(t, c)) for t, c in ((tips, "lon"), (tips, "lat"), (others, "to_lon"), (others, "to_lat")))
+    reach = max_daily_distance * (_numbers(tips, "next_time") - _numbers(tips, "time"))
+    reach[~((_numbers(tips, "next_step") - _numbers(tips, "step") == interval) & np.isfinite(lon) & np.isfinite(lat) & (reach >= 0))] = -1.0
+    x, y, own = _places(lon, lat)
+    farthest = np.full(len(x), -1.0)
+    np.maximum.at(farthest, own[own >= 0], reach[own >= 0])
+    dist, place, more = _nearest(x, y, farthest, *_places(to_lon, to_lat)[:2], most)
+    place[:, 1:] ^= -(dist[:, 1:] == dist[:, :-1]).astype(np.int32)
+    held = dist[own] <= reach[:, None]
+    near = np.ascontiguousarray(place[own][held])
+    ends = np.r_[0, np.cumsum(4 * held.sum(axis=1))].astype(np.int32)
+    ended = ((dist[own] < np.inf) & ~held).any(axis=1) | (reach < 0)
+    n = len(tips)
+    made = {
+        "at": pa.array(np.arange(n, dtype=np.int32)), "near": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(near)]), "more": pa.array(more[own] & ~ended),
+        "first_step": pa.nulls(n, pa.int64()), "first_at": pa.nulls(n, pa.int32()), **{c: pa.nulls(n, pa.float64()) for c in ("duration", "wind_duration", "storm_speed")},
+    }
+    for name, values in made.items():
+        tips = tips.append_column(name, values)
+    return tips
+
+
+def _taken(lon: np.ndarray, lat: np.ndarray, reach: np.ndarray, near: tuple[list[int], list[int], list[int]], more: list[bool], to_lon: np.ndarray, to_lat: np.ndarray) -> np.ndarray:
+    """The candidate that each tip takes, in the order of the tips: of the nearest that are free the last (-1: none is within reach). near: all lists in one, and where each begins and ends."""
+    x, y, place = _places(to_lon, to_lat)
+    rows = np.flatnonzero(place >= 0)
+    rows = rows[np.argsort(place[rows], kind="stable")]
+    same = np.r_[False, place[rows[1:]] == place[rows[:-1]]][: len(rows)]
+    below = np.full(len(place), -1)  # the row before it at its place
+    below[rows[same]] = rows[np.flatnonzero(same) - 1]
+    last = rows[np.r_[~same[1:], True][: len(rows)]].tolist()  # of each place, the last row that is free
+    place, below, free = place.tolist(), below.tolist(), np.ones(len(x), bool)
+    left, heights, closed = np.arange(len(x)), y, 0  # places that were free a while ago, their latitudes, and how many were taken since
+
+    def search(n: int) -> int:
+        nonlocal left, heights, closed
+        if closed > 16 + len(left) // 8:
+            left, closed = np.flatnonzero(free), 0
+            heights = y[left]
+        middle, width = int(np.searchsorted(heights, lat[n])), 64
+        while True:
+            a, b = max(0, middle - width), min(len(left), middle + width)
+            at = left[a:b]
+            at = at[free[at]]
+            d = _distance(lon[n], lat[n], x[at], y[at])
+            nearest = d.min(initial=np.inf)
+            beyond = min(lat[n] - heights[a - 1] if a else np.inf, heights[b] - lat[n] if b < len(left) else np.inf)
+            if geo.MEAN_KM * beyond * (1 - 1e-9) > min(nearest, reach[n]) or b - a == len(left):
+                return max((last[p] for p in at[d == nearest].tolist()), default=-1) if nearest <= reach[n] else -1
+            width *= 4
+
+    taken, (listed, starts, ends) = [], near
+    for n, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        best = -1
+        for p in listed[a:b]:
+            if p < 0:
+                p = ~p
+            elif best >= 0:
+                break
+            if last[p] > best:
+                best = last[p]
+        if best < 0 and more[n]:
+            best = search(n)
+        taken.append(best)
+        if best >= 0:
+            p = place[best]
+            last[p] = below[best]
+            if last[p] < 0:
+                free[p] = False
+                closed += 1
+    return np.array(taken, dtype=int)
+
+
+def _walk(t: pa.Table, min_wind: float, interval: int, max_daily_distance: float) -> pa.Table:
+    """Some steps of a series: every candidate with its track's start, its speed, and the track's durations when it has looked at the next step. Rows that have a start are tips of an earlier walk.
+
+    All tracks are led on together, a step at a time, in the order of their starts: a track only ever meets candidates that an earlier start has left.
     """
-    lat, lon = F.radians("lat"), F.radians("lon")
-    # a step's cells are those of its predecessor's reach
-    own = axis.where(F.col("next_step") - F.col("step") == interval).withColumn("__h", F.lit(reach / geo.MEAN_KM) * (F.col("next_time") - F.col("first_time"))).where("__h > 0")
-    cell = lambda c: F.floor(c / F.col("__h"))
-    tips = candidates.join(F.broadcast(own.select("step", "__h", F.col("next_time").alias("__then"), F.col("next_step").alias("__s"))), "step")
-    tips = tips.withColumns({"__row": cell(lat), "__far": F.abs(lat), "__low": lon, "__high": lon})
-    others = candidates.join(F.broadcast(own.select(F.col("next_step").alias("step"), "__h")), "step").select(F.col("step").alias("__s"), cell(lat).alias("__y"), cell(lon).alias("__x"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("storm_id").alias("__storm"))
-    if counts:  # by cell: as wide as its tips together
-        tips = tips.groupBy("__s", "__h", "__row", cell(lon).alias("__col")).agg(F.count("*").alias("n"), F.max("__far").alias("__far"), F.min("__low").alias("__low"), F.max("__high").alias("__high"))
-        others = others.groupBy("__s", "__y", "__x").agg(F.count("*").alias("m"))
-    wide, most = F.col("__h") / F.greatest(F.cos("__far"), F.lit(1e-6)), F.lit(4 * np.pi)
-    tips = tips.withColumn("__y", F.explode(F.sequence(F.col("__row") - 1, F.col("__row") + 1)))
-    return tips.withColumn("__x", F.explode(F.sequence(cell(F.greatest(F.col("__low") - wide, -most)), cell(F.least(F.col("__high") + wide, most))))), others
+    t = t.take(np.lexsort((t.column("at").to_numpy(), t.column("step").to_numpy()))).combine_chunks()
+    step, at, time, then_time, then = (t.column(c).to_numpy(zero_copy_only=False) for c in ("step", "at", "time", "next_time", "next_step"))
+    time, then_time, then = (x.astype(float) for x in (time, then_time, then))
+    lon, lat = np.radians(_numbers(t, "lon")), np.radians(_numbers(t, "lat"))
+    strong = (_numbers(t, "surface_wind") >= min_wind) & (_numbers(t, "have_core_temp") != 0) & (_numbers(t, "have_thickness") != 0)
+    more, near = t.column("more").to_numpy(zero_copy_only=False), t.column("near").chunk(0) if t.num_rows else None
+    ends, values = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(t) + 1] // 4, np.frombuffer(near.buffers()[2] or b"", np.int32)
+    first_step, first_at, duration, windy = (t.column(c).fill_null(0).to_numpy().copy() for c in ("first_step", "first_at", "duration", "wind_duration"))
+    old, speed, dt = t.column("first_step").is_valid().to_numpy(zero_copy_only=False), np.zeros(len(t)), then_time - time
+    adjacent = then - step == interval
+    starts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
+    tips = np.zeros(0, int)
+    for a, b in zip(starts, np.r_[starts[1:], len(t)], strict=True):
+        if not old[a]:
+            first_step[a:b], first_at[a:b] = step[a:b], at[a:b]
+            if len(tips):
+                listed, low = values[ends[tips[0]] : ends[tips[-1] + 1]].tolist(), ends[tips[0]]
+                tips = tips[np.lexsort((first_at[tips], first_step[tips]))]
+                lists = listed, (ends[tips] - low).tolist(), (ends[tips + 1] - low).tolist()
+                taken = _taken(lon[tips], lat[tips], max_daily_distance * dt[tips], lists, more[tips].tolist(), lon[a:b], lat[a:b])
+                tips, rows = tips[taken >= 0], a + taken[taken >= 0]
+                for x in (first_step, first_at, duration, windy):
+                    x[rows] = x[tips]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    speed[rows] = _distance(lon[tips], lat[tips], lon[rows], lat[rows]) / dt[tips]
+            duration[a:b] += np.where(np.isnan(then[a:b]), 0.0, dt[a:b])
+            windy[a:b] += np.where(adjacent[a:b] & strong[a:b], dt[a:b], 0.0)
+        tips = a + np.flatnonzero((ends[a + 1 : b + 1] > ends[a:b]) | more[a:b])
+    made = {"first_step": first_step, "first_at": first_at, "duration": duration, "wind_duration": windy, "storm_speed": speed}
+    kept = pc.if_else(pa.array(step == step[-1]), near, pa.scalar(None, pa.binary()))  # of the last step alone, for the next walk
+    for name, x in [("near", kept), *((c, pa.array(v)) for c, v in made.items())]:
+        t = t.set_column(t.column_names.index(name), name, x)
+    return t.filter(pa.array(~old))
 
 
 def tc_trajectory(candidates: DataFrame, max_daily_distance: float = 1600.0, min_wind_speed: float = 17.0, min_wind_duration: float = 2.0, step_interval: int = 1) -> DataFrame:
     """Tracks of candidates; track ids number the kept tracks in order of their start. A storm_id is taken to be unique within its step.
 
-    The linking is sequential, but a greedy track only ever sees candidates near its tip. So the candidates of adjacent steps that are
-    near each other are linked (an equal-keys join on step and cells), and connected components of these links cannot touch: any
-    union of whole components linked on its own gives the tracks of the whole. Components are dealt in buckets by hash. Where candidates are so dense
-    that there would be more than MOST_NEAR links for each (counted by cell beforehand), the whole would be one component anyway, and series are
-    cut only where steps are missing. A track's duration includes the time to the next step that had candidates, as when the walk ended.
+    First, each step meets the next one, and every candidate gets a list of the nearest places there (a group is a pair of steps). What is
+    sequential is then short: tips take, in the order of their starts, the first on their lists that is free. Series are cut where steps are missing,
+    and each is walked in blocks of whole steps, WALKED candidates or so to a task; the tips of a block's last step are handed to the next by a table in the
+    shared folder. A track's duration includes the time to the next step that had candidates, as when the walk ended.
     """
-    spark = candidates.sparkSession
+    spark, held, most = candidates.sparkSession, shared_folder(candidates.sparkSession), MOST_NEAR
+    names = [f.name for f in StructType.fromDDL(WALK_DDL).fields]
+    own = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in StructType.fromDDL(CANDIDATE_DDL).fields]
+    candidates = candidates.select(*own)
     # the windows over the steps see the time axis, a row for each step, not the candidates
     order = W.orderBy("step")
-    steps = candidates.groupBy("step").agg(F.min_by("time", "storm_id").alias("at"), F.min("time").alias("first_time"))
-    axis = steps.select("step", "first_time", F.lead("step").over(order).alias("next_step"), F.lead("at").over(order).alias("next_time"), (F.col("step") - F.lag("step").over(order) != step_interval).alias("new"))
-    axis = axis.withColumn("shard", F.sum(F.coalesce(F.col("new").cast("int"), F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0)).cast("long"))
-    cells = ["__s", "__y", "__x"]
-    tips, others = _near(candidates, axis, max_daily_distance, step_interval, counts=True)
-    pairs = tips.join(others, cells).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
-    tips, others = _near(candidates, axis, max_daily_distance, step_interval)
-    rows = candidates.join(F.broadcast(axis.select("step", "next_step", "next_time", "shard")), "step")
-    node = F.xxhash64("step", "storm_id")  # nodes of one hash are linked together, which changes nothing
-    if pairs <= MOST_NEAR * candidates.count():
-        dx, dy = (F.radians("__lon") - F.radians("lon")) * F.cos(F.radians("lat")), F.radians("__lat") - F.radians("lat")
-        near = geo.MEAN_KM * F.sqrt(dx * dx + dy * dy) <= max_daily_distance * (F.col("__then") - F.col("time")) * (1 + 1e-9)
-        links = tips.join(others, cells).where(near).select(node.alias("a"), F.xxhash64("__s", "__storm").alias("b"))
-        held = components(links.distinct())
-        rows = rows.withColumn("node", node).join(held, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("node", "component", "shard")
-        parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(parts))).drop("group")
-    else:
-        rows = rows.withColumnRenamed("shard", "bucket")
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["step", "storm_id"], kind="stable")
-        bucket = int(t["bucket"].iloc[0])
-        return link(t.drop(columns="bucket"), max_daily_distance, min_wind_speed, min_wind_duration, step_interval).assign(bucket=bucket)[["bucket", *TRACK_COLUMNS]]
-
-    held = shared_folder(spark)
-    rows.groupBy("bucket").applyInPandas(one, TRACK_DDL).write.parquet(f"{held}/tracks")  # read twice below
-    tracks = spark.read.schema(TRACK_DDL).parquet(f"{held}/tracks")
+    steps = candidates.where("step IS NOT NULL").groupBy("step").agg(F.min_by("time", "storm_id").alias("first_time"), F.count("*").alias("n"))
+    axis = steps.select("step", "n", F.lag("step").over(order).alias("last_step"), F.lead("step").over(order).alias("next_step"), F.lead("first_time").over(order).alias("next_time"))
+    new = F.coalesce((F.col("step") - F.col("last_step") != step_interval).cast("long"), F.lit(0).cast("long"))
+    axis = axis.withColumn("shard", F.sum(new).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    axis.withColumn("block", F.floor(before / WALKED).cast("int")).write.parquet(f"{held}/axis")
+    axis = spark.read.parquet(f"{held}/axis")
+    tips = candidates.join(F.broadcast(axis.select("step", "shard", "next_step", "next_time", "block")), "step")
+    others = candidates.select("step", F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat")).join(F.broadcast(axis.where(F.col("step") - F.col("last_step") == step_interval).select("step", "last_step")), "step").drop("step")
+
+    def near(t: pa.Table, others: pa.Table) -> pa.Table:
+        return _near(t, others, max_daily_distance, step_interval, most).select(["block", *names])
+
+    def walk(t: pa.Table) -> pa.Table:
+        return _walk(t, min_wind_speed, step_interval, max_daily_distance).select(names)
+
+    tips.groupBy("step").cogroup(others.groupBy("last_step")).applyInArrow(near, f"block int, {WALK_DDL}").write.partitionBy("block").parquet(f"{held}/near")
+    listed = spark.read.schema(f"{WALK_DDL}, block int").parquet(f"{held}/near")
+    walked = [f"{held}/walked/{k}" for k in range((axis.agg(F.max("block")).first()[0] or 0) + 1)]
+    for k, path in enumerate(walked):
+        rows = listed.where(F.col("block") == k).select(*names)
+        if k:
+            rows = rows.unionByName(spark.read.schema(WALK_DDL).parquet(walked[k - 1]).where("near IS NOT NULL AND (length(near) > 0 OR more)"))
+        rows.groupBy("shard").applyInArrow(walk, WALK_DDL).write.parquet(path)
+    tracks = spark.read.schema(WALK_DDL).parquet(*walked).drop("duration", "wind_duration")
+    ends = spark.read.schema(WALK_DDL).parquet(*walked).groupBy("first_step", "first_at").agg(F.max_by(F.struct("duration", "wind_duration"), "step").alias("end")).select("first_step", "first_at", "end.*")
+    kept = ends.where((F.col("wind_duration") >= min_wind_duration) & ~F.isnan("wind_duration"))
     # Numbers by start: the tracks that start at earlier steps (a row for each step), then those of the same step.
-    own = tracks.groupBy("bucket", "track_id").agg(F.min(F.struct("step", "storm_id")).alias("start")).select("bucket", "track_id", F.col("start.step").alias("__step"), F.col("start.storm_id").alias("__storm"))
-    before = own.groupBy("__step").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("__step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    number = F.row_number().over(W.partitionBy("__step").orderBy("__storm", "bucket", "track_id")) - 1 + F.col("before")
-    numbered = own.join(F.broadcast(before.select("__step", "before")), "__step").select("bucket", "track_id", number.cast("long").alias("number"))
-    return tracks.join(numbered, ["bucket", "track_id"]).withColumn("track_id", F.col("number")).select(*TRACK_COLUMNS)
+    before = kept.groupBy("first_step").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("first_step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    number = F.row_number().over(W.partitionBy("first_step").orderBy("first_at")) - 1 + F.col("before")
+    numbered = kept.join(F.broadcast(before.select("first_step", "before")), "first_step").withColumn("track_id", number.cast("long"))
+    return tracks.join(numbered.drop("before"), ["first_step", "first_at"]).select(*(F.col(f"`{c}`") for c in TRACK_COLUMNS))
 
 
 # Classification --------------------------------------------------------------------

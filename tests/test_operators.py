@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,6 +353,68 @@ def test_trajectories_of_a_year_without_a_gap(spark):
     assert key(got) == key(want)
 
 
+@pytest.mark.parametrize("most", [0, 3, 32])
+def test_trajectories_walked_in_blocks(spark, monkeypatch, most):
+    """Dense steps of candidates at few places, many at one place or equally far, some without a coordinate, a wind or a flag, walked in blocks of a step or two."""
+    monkeypatch.setattr(cyclones, "MOST_NEAR", most)
+    monkeypatch.setattr(cyclones, "WALKED", 100)
+    rng = np.random.default_rng(3)
+    points = [(s, k, float(rng.integers(0, 12) * 3), float(rng.choice([rng.integers(-8, 9) * 5.0, 90.0])), float(rng.uniform(5, 40))) for s in [*range(12), *range(14, 20)] for k in range(int(rng.integers(30, 90)))]
+    rows = [(*r[:3], None if k % 31 == 7 else r[3], r[4], None if k % 29 == 5 else r[5], *r[6:8], None if k % 23 == 3 else int(k % 7 > 0), *r[9:]) for k, r in enumerate(candidates(points))]
+    df = spark.createDataFrame(rows, CANDIDATES).withColumn("time", F.col("time") + F.col("storm_id") / 1000)
+    args = (4000.0, 17.0, 0.3, 1)
+    want = cyclones.link(df.orderBy("step", "storm_id").toPandas(), *args)
+    got = cyclones.tc_trajectory(df, *args).toPandas().sort_values(["track_id", "step"]).reset_index(drop=True)
+    want = want.sort_values(["track_id", "step"])[list(got.columns)].reset_index(drop=True)
+    assert want["track_id"].nunique() > 50
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, check_exact=True)
+
+
+def test_trajectories_compare_few_candidates(monkeypatch):
+    """Two steps of 3,000 candidates, all in reach of each other: lists and walk look at few of the 9,000,000 pairs and take what a walk over all does."""
+    rng, looked, n = np.random.default_rng(4), [], 3000
+    rows = [(s, s * 0.25, k, float(rng.uniform(0, 360)), float(rng.uniform(-90, 90)), 30.0, 2e-4, 99000.0, 1, 1, 1.0, 60.0) for s in range(2) for k in range(n)]
+    both = pd.DataFrame(rows, columns=[c.split()[0].strip("`") for c in CANDIDATES.split(", ")])
+    want = cyclones.link(both, 200000.0, 17.0, 0.25, 1).groupby("track_id")["storm_id"].agg(list)
+    plain = cyclones._distance
+    monkeypatch.setattr(cyclones, "_distance", lambda *a: looked.append(d := plain(*a)) or d)
+    steps = [pa.Table.from_pandas(both[both["step"] == s].assign(next_step=1.0 if s == 0 else np.nan, next_time=0.25 if s == 0 else np.nan), preserve_index=False) for s in range(2)]
+    others = [steps[1].select(["lon", "lat"]).rename_columns(["to_lon", "to_lat"]), pa.table({"to_lon": pa.array([], pa.float64()), "to_lat": pa.array([], pa.float64())})]
+    out = cyclones._walk(pa.concat_tables([cyclones._near(a, b, 200000.0, 1, 32) for a, b in zip(steps, others, strict=True)]), 17.0, 1, 200000.0).to_pandas()
+    tracks = out.sort_values("step").groupby(["first_step", "first_at"])["storm_id"].agg(list).loc[0]
+    assert tracks.tolist() == want.tolist()
+    assert sum(d.size for d in looked) < n * n / 10
+
+
+@pytest.mark.parametrize("kind", ["even", "lattice", "crowded", "pole", "meridian"])
+def test_nearest_places(kind):
+    """Lists against all distances; reaches of nothing, of some and of everything."""
+    rng = np.random.default_rng(7)
+    for n, m, most in [(40, 150, 8), (40, 150, 0), (30, 20, 32), (5, 1, 3), (5, 0, 3), (60, 400, 1)]:
+        sides = []
+        for k in (n, m):
+            lon, lat = rng.uniform(0, 360, k), rng.uniform(-90, 90, k)
+            if kind == "lattice":
+                lon, lat = np.floor(lon / 30) * 30, np.round(lat / 10) * 10
+            elif kind == "crowded":
+                lon, lat = np.where(rng.random(k) < 0.9, 100 + lon * 1e-7, lon), np.where(rng.random(k) < 0.9, lat * 1e-7, lat)
+            elif kind == "pole":
+                lat = np.where(rng.random(k) < 0.5, 90.0, lat)
+            elif kind == "meridian":
+                lon[:] = 7.0
+            sides.append((np.radians(lon), np.radians(lat)))
+        (x, y), (to_x, to_y, _) = sides[0], cyclones._places(*sides[1])
+        reach = rng.choice([-1.0, 0.0, 100.0, 3000.0, 1e9], n)
+        dist, place, more = cyclones._nearest(x, y, reach, to_x, to_y, most)
+        for i in range(n):
+            d = cyclones._distance(x[i], y[i], to_x, to_y)
+            near = np.flatnonzero(d <= reach[i])
+            near = near[np.argsort(d[near], kind="stable")]
+            want = near[d[near] < d[near[most]]] if len(near) > most else near
+            got = place[i][dist[i] < np.inf]
+            assert sorted(got) == sorted(want) and (d[got] == d[want]).all() and more[i] == (len(near) > most)
+
+
 @pytest.mark.parametrize("tile, periodic", [((1, 1), True), ((3, 4), True), ((3, 4), False), ((5, 100), True), ((100, 2), False)])
 def test_labels_do_not_depend_on_tiles(spark, tile, periodic):
     rng = np.random.default_rng(hash(tile) % 1000)
