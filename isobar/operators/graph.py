@@ -50,9 +50,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Rows (node, component) of all nodes (longs) that have links with others, the component named by its smallest node.
 
-    Tasks contract the links that they read to stars; each node then keeps its smallest neighbour, and its other neighbours are linked to that one. A
-    round at least halves the way to the smallest node, and where one task holds all links, one round does. A round is a table in the shared
-    folder: a lost executor costs no earlier round.
+    Tasks contract the links that they read to stars; each node then keeps its smallest neighbour, its other neighbours are linked to that one, and links go
+    on to where their smaller node leads. A round at least halves the way to the smallest node, and where one task holds all links, one round does. A round
+    is a table in the shared folder: a lost executor costs no earlier round.
     """
     spark, base = links.sparkSession, shared_folder(links.sparkSession)
     open_ = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
@@ -68,5 +68,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if not open_.join(twice.unionByName(centres), "a", "left_semi").limit(1).count():
             forest = open_.distinct()
             return forest.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(forest.select("b", "b").distinct().toDF("node", "component"))
-        open_ = open_.repartition(F.xxhash64("b"))  # stars of one centre meet in one task
+        # A link goes on to where its centre leads: a star and the link of its centre may lie in unlike tasks, in every round.
+        on = open_.join(centres, "a", "left_semi").groupBy("a").agg(F.min("b").alias("next")).withColumnRenamed("a", "b")
+        open_ = open_.join(on, "b", "left").select("a", F.coalesce("next", "b").alias("b")).repartition(F.xxhash64("b"))  # stars of one centre meet in one task
     raise RuntimeError(f"components did not settle in {rounds} rounds")

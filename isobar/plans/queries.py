@@ -815,7 +815,7 @@ def tc_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tc_trajectory_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links short enough for the candidates to fall into components."""
+    """The default reach: few candidates of the next step are near."""
     return cyclones.tc_trajectory(_storms(spark, sf_dir), max_daily_distance=1600.0, min_wind_duration=0.5)
 
 

@@ -386,6 +386,31 @@ def test_trajectories_compare_few_candidates(monkeypatch):
     assert sum(d.size for d in looked) < n * n / 10
 
 
+@pytest.fixture
+def partitions_as_they_are(spark):
+    """As where tables are large: small partitions are not put together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_near_trajectories_in_many_partitions(spark, partitions_as_they_are):
+    """Candidates that have a few others in reach each, nearly all of them linked: the rounds that looked for components did not settle."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(candidates([(s, k, float(rng.uniform(0, 40)), float(rng.uniform(-20, 20)), 30.0) for s in range(20) for k in range(60)]), CANDIDATES)
+    want = cyclones.link(df.orderBy("step", "storm_id").toPandas(), 1600.0, 17.0, 0.5, 1)
+    got = cyclones.tc_trajectory(df, min_wind_duration=0.5).toPandas()
+    key = lambda t: sorted(zip(t["track_id"], t["step"], t["storm_id"], t["storm_speed"]))
+    assert want["track_id"].nunique() > 50 and key(got) == key(want)
+
+
+def test_components_settle_in_many_partitions(spark, partitions_as_they_are):
+    path = np.random.default_rng(1).permutation(200).tolist()
+    links = [(a, b) for n, (a, b) in enumerate(zip(path[:-1], path[1:], strict=True)) if n % 50 != 49]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(4), rounds=12).collect()}
+    assert got == dict(zip(*(x.tolist() for x in graph.roots(*np.array(links).T)), strict=True)) and len(set(got.values())) == 4
+
+
 @pytest.mark.parametrize("kind", ["even", "lattice", "crowded", "pole", "meridian"])
 def test_nearest_places(kind):
     """Lists against all distances; reaches of nothing, of some and of everything."""
