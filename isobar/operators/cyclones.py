@@ -244,6 +244,8 @@ WALK_DDL = f"{CANDIDATE_DDL}, shard long, at int, next_step long, next_time doub
 MOST_NEAR = 32
 #: Candidates of a series that a task walks at once (a step at least); the next task goes on from its tips.
 WALKED = 1 << 19
+#: Candidates whose lists a task makes at once (a step at least).
+LISTED = 1 << 14
 #: Entries of a matrix of distances.
 AT_ONCE = 1 << 21
 
@@ -276,7 +278,7 @@ def _nearest(lon: np.ndarray, lat: np.ndarray, reach: np.ndarray, to_lon: np.nda
         return dist, place, more
     cos, far, x0, span, tall = np.abs(np.cos(lat)), reach / geo.MEAN_KM, to_lon.min(), np.ptp(to_lon), np.ptp(to_lat)
     want = 1.5 * most + 8
-    guess = np.maximum(np.sqrt(want * span * tall * cos / (np.pi * m)), want * tall / (2 * m))
+    guess = np.maximum(np.sqrt(want * span * tall * cos / (np.pi * m)), want / (2 * m) * np.maximum(tall, span * cos)) if m > 8 * want else np.inf
     levels = lambda r: np.ceil(2 * np.log2(np.clip(r, 1e-12, 1e18))).astype(int)  # noqa: E731  of radii, by factors of the root of 2
     level, few = np.minimum(levels(guess), levels(far)), np.full(n, -1000)
     todo = np.flatnonzero(reach >= 0)
@@ -366,6 +368,16 @@ def _near(tips: pa.Table, others: pa.Table, max_daily_distance: float, interval:
     return tips
 
 
+def _near_steps(tips: pa.Table, others: pa.Table, *args) -> pa.Table:
+    """_near() for each of some steps; others name the step before theirs."""
+    tips, others = tips.sort_by("step"), others.sort_by("last_step")
+    step, last = tips.column("step").to_numpy(), others.column("last_step").to_numpy()
+    starts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
+    ends, low, high = np.r_[starts[1:], len(step)], *(np.searchsorted(last, step[starts], side=s) for s in ("left", "right"))
+    each = zip(*(x.tolist() for x in (starts, ends, low, high)), strict=True)
+    return pa.concat_tables([_near(tips.slice(a, b - a), others.slice(c, d - c), *args) for a, b, c, d in each]).combine_chunks()
+
+
 def _taken(lon: np.ndarray, lat: np.ndarray, reach: np.ndarray, near: tuple[list[int], list[int], list[int]], more: list[bool], to_lon: np.ndarray, to_lat: np.ndarray) -> np.ndarray:
     """The candidate that each tip takes, in the order of the tips: of the nearest that are free the last (-1: none is within reach). near: all lists in one, and where each begins and ends."""
     x, y, place = _places(to_lon, to_lat)
@@ -460,7 +472,7 @@ def _walk(t: pa.Table, min_wind: float, interval: int, max_daily_distance: float
 def tc_trajectory(candidates: DataFrame, max_daily_distance: float = 1600.0, min_wind_speed: float = 17.0, min_wind_duration: float = 2.0, step_interval: int = 1) -> DataFrame:
     """Tracks of candidates; track ids number the kept tracks in order of their start. A storm_id is taken to be unique within its step.
 
-    First, each step meets the next one, and every candidate gets a list of the nearest places there (a group is a pair of steps). What is
+    First, each step meets the next one, and every candidate gets a list of the nearest places there (a group is a step, or several short ones). What is
     sequential is then short: tips take, in the order of their starts, the first on their lists that is free. Series are cut where steps are missing,
     and each is walked in blocks of whole steps, WALKED candidates or so to a task; the tips of a block's last step are handed to the next by a table in the
     shared folder. A track's duration includes the time to the next step that had candidates, as when the walk ended.
@@ -476,18 +488,19 @@ def tc_trajectory(candidates: DataFrame, max_daily_distance: float = 1600.0, min
     new = F.coalesce((F.col("step") - F.col("last_step") != step_interval).cast("long"), F.lit(0).cast("long"))
     axis = axis.withColumn("shard", F.sum(new).over(order.rowsBetween(W.unboundedPreceding, 0)))
     before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    axis.withColumn("block", F.floor(before / WALKED).cast("int")).write.parquet(f"{held}/axis")
+    axis = axis.withColumns({"block": F.floor(before / WALKED).cast("int"), "lot": F.floor(before / LISTED)})
+    axis.withColumn("last_lot", F.lag("lot").over(order)).write.parquet(f"{held}/axis")
     axis = spark.read.parquet(f"{held}/axis")
-    tips = candidates.join(F.broadcast(axis.select("step", "shard", "next_step", "next_time", "block")), "step")
-    others = candidates.select("step", F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat")).join(F.broadcast(axis.where(F.col("step") - F.col("last_step") == step_interval).select("step", "last_step")), "step").drop("step")
+    tips = candidates.join(F.broadcast(axis.select("step", "shard", "lot", "next_step", "next_time", "block")), "step")
+    others = candidates.select("step", F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat")).join(F.broadcast(axis.where(F.col("step") - F.col("last_step") == step_interval).select("step", "last_step", F.col("shard").alias("last_shard"), "last_lot")), "step").drop("step")
 
     def near(t: pa.Table, others: pa.Table) -> pa.Table:
-        return _near(t, others, max_daily_distance, step_interval, most).select(["block", *names])
+        return _near_steps(t, others, max_daily_distance, step_interval, most).select(["block", *names])
 
     def walk(t: pa.Table) -> pa.Table:
         return _walk(t, min_wind_speed, step_interval, max_daily_distance).select(names)
 
-    tips.groupBy("step").cogroup(others.groupBy("last_step")).applyInArrow(near, f"block int, {WALK_DDL}").write.partitionBy("block").parquet(f"{held}/near")
+    tips.groupBy("shard", "lot").cogroup(others.groupBy("last_shard", "last_lot")).applyInArrow(near, f"block int, {WALK_DDL}").write.partitionBy("block").parquet(f"{held}/near")
     listed = spark.read.schema(f"{WALK_DDL}, block int").parquet(f"{held}/near")
     walked = [f"{held}/walked/{k}" for k in range((axis.agg(F.max("block")).first()[0] or 0) + 1)]
     for k, path in enumerate(walked):
